@@ -271,7 +271,8 @@ def suffix_order(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     while have < depth:
         step = min(have, depth - have)
         second = np.full(n, -1, np.int64)
-        second[: n - step] = rank[step:]
+        if step < n:
+            second[: n - step] = rank[step:]
         rank = np.unique(rank * (n + 1) + second + 1, return_inverse=True)[1].astype(np.int64)
         have += step
     return np.argsort(rank, kind="stable"), rank

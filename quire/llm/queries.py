@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalike, neardup, packing, splitting
+from . import language, leakage, lookalike, markup, neardup, packing, sentences, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# 1 ---------------------------------------------------------------------------
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    blocks = _table(spark, d, "blocks").where("type = 'text' and extraction_method = 'direct'").select(F.concat(F.lit("b"), "block_id").alias("item"), F.col("content").alias("text"), F.col("lang").alias("label"))
+    hits = _table(spark, d, "retrieved").select(F.concat(F.lit("r"), "id").alias("item"), F.col("content").alias("text"), F.col("metadata")["lang"].alias("label"))
+    return blocks.unionAll(hits)
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    items = _labelled(spark, d)
+    sure = language.labelled_sample(_table(spark, d, "documents"), "doc_id", "text", "lang")
+    net = language.fit_twice(sure, language.labelled_sample(items, "item", "text", "label", language.SAMPLE_ITEMS))
+    found = language.identify(items, "item", "text", "label", net)
+    src = F.when(F.col("item").startswith("b"), "blocks").otherwise("retrieved")
+    return found.withColumn("src", src).withColumn("item_id", F.expr("substring(item, 2)")).drop("item")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _languages(spark, d)
+    case = (F.size("langs") > 1) | F.col("label").isNull() | (F.col("label") != F.col("langs")[0])
+    return found.where(case).select("src", "item_id", F.explode("langs").alias("lang_code")).distinct()
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    found = _languages(spark, d).dropDuplicates(["src", "item_id"])
+    return found.select("src", "item_id", F.explode("segments").alias("s")).select("src", "item_id", "s.start", "s.end", "s.lang", F.round("s.confidence", 6).alias("confidence"))
+
+
 # 3 ---------------------------------------------------------------------------
 def _records(spark: SparkSession, d: str) -> DataFrame:
     segments = _table(spark, d, "segments").select(F.lit("segments").alias("src"), "id", "text")
@@ -50,6 +77,43 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).drop("runs", "has_run").dropDuplicates(["src", "item_id", "piece_no"])
 
 
+# 5 ---------------------------------------------------------------------------
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    blocks = _table(spark, d, "blocks").where("type = 'text' and extraction_method = 'direct'")
+    return sentences.split_sentences(blocks, "block_id", "content").select("block_id", "sent_end").distinct()
+
+
+# 6 ---------------------------------------------------------------------------
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    blocks = _table(spark, d, "blocks")
+    text = blocks.where("type = 'text' and extraction_method in ('direct', 'structure')").select(F.concat(F.lit("c"), "block_id").alias("item"), F.col("content").alias("text"), F.lit(False).alias("is_table"), "source")
+    table = blocks.where("type = 'table'").select(F.concat(F.lit("m"), "block_id").alias("item"), F.col("markdown").alias("text"), F.lit(True).alias("is_table"), "source")
+    return text.unionAll(table)
+
+
+def _field() -> Column:
+    return F.when(F.col("item").startswith("c"), "content").otherwise("markdown")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.clean_markup(_marked(spark, d), "item", "text", "is_table", units=False)
+    return found.where(F.size("kinds") > 0).select(F.expr("substring(item, 2)").alias("block_id"), _field().alias("field"), F.explode("kinds").alias("markup")).distinct()
+
+
+def p6_units(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.clean_markup(_marked(spark, d), "item", "text", "is_table").dropDuplicates(["item"])
+    return found.select(F.expr("substring(item, 2)").alias("block_id"), _field().alias("field"), F.posexplode("units").alias("unit_no", "unit")).select("block_id", "field", "unit_no", "unit.role", "unit.text")
+
+
+def p6_unique_runs(spark: SparkSession, d: str) -> DataFrame:
+    items = _marked(spark, d)
+    clean = markup.clean_markup(items, "item", "text", "is_table").dropDuplicates(["item"])
+    lines = clean.select("item", F.array_join(F.transform("units", lambda u: u["text"]), "\n").alias("text"))
+    hosts = items.select("item", "source").dropDuplicates(["item"])
+    runs = markup.boilerplate(lines.join(hosts, "item"), "source", "item", "text")
+    return runs.select(F.expr("substring(item, 2)").alias("block_id"), _field().alias("field"), "text", "removed")
+
+
 # 8 ---------------------------------------------------------------------------
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents"), "doc_id", "text").where("piece_no > 0").select("doc_id").distinct()
