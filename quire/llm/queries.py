@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, leakage, lookalike, markup, neardup, packing, sentences, splitting
+from . import language, leakage, lookalike, markup, neardup, neighbours, packing, scans, sentences, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,21 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("src", "item_id", F.explode("segments").alias("s")).select("src", "item_id", "s.start", "s.end", "s.lang", F.round("s.confidence", 6).alias("confidence"))
 
 
+# 2 ---------------------------------------------------------------------------
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "blocks").where("type = 'text' and extraction_method = 'region'")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    noise = scans.page_noise(_scans(spark, d), "block_id", "doc_id", "page", "content")
+    kinds = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in ("hyphen", "char", "header", "pageno")]))
+    return noise.select("block_id", F.explode(kinds).alias("noise")).distinct()
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair_pages(_scans(spark, d), "block_id", "doc_id", "page", "content")
+
+
 # 3 ---------------------------------------------------------------------------
 def _records(spark: SparkSession, d: str) -> DataFrame:
     segments = _table(spark, d, "segments").select(F.lit("segments").alias("src"), "id", "text")
@@ -114,6 +129,15 @@ def p6_unique_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.select(F.expr("substring(item, 2)").alias("block_id"), _field().alias("field"), "text", "removed")
 
 
+# 7 ---------------------------------------------------------------------------
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_neighbours(spark, d).select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.most_similar(_table(spark, d, "vectors"), "id", "seq", "op", "embedding")
+
+
 # 8 ---------------------------------------------------------------------------
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents"), "doc_id", "text").where("piece_no > 0").select("doc_id").distinct()
