@@ -2,8 +2,8 @@
 
 Headers and footers are lines at page edges that recur on pages of one document,
 compared in a folded form in which characters that are misread for each other are
-equal; what the folding leaves apart is joined on thirds of the line and held to an
-edit distance. Page numbers are recognised by form and checked as sequences. Words
+equal; what the folding leaves apart is joined on the line's beginning or end and held
+to an edit distance. Page numbers are recognised by form and checked as sequences. Words
 are judged by the vocabulary of the corpus, counted over all pages: it tells cut
 words from compounds and misread words from rare ones.
 """
@@ -154,7 +154,7 @@ def page_number(line: str) -> tuple[str, int | None, str]:
         return "", roman(line), "weak"
     for rx in _SEP_NUMBER:
         if (m := rx.match(line)) and len(m.group("rest")) < 80 and any(map(str.isalpha, m.group("rest"))):
-            return m.group("rest"), int(m.group("n")), "beside"
+            return m.group("rest").strip(" |\t"), int(m.group("n")), "beside"
     return line, None, ""
 
 
@@ -277,9 +277,8 @@ def page_noise(df: DataFrame, key: str, doc: str, page: str, text: str) -> DataF
 
     lines = edges.where("doc is not null and length(key) >= 3")
     recurring = lines.groupBy("doc", "key").agg(F.countDistinct("page_id").alias("pages"))
-    # folding leaves some misreadings apart: rarer lines that share a third with a recurring one, at its place, and are within an edit distance
-    third = lambda k: F.expr(f"substring(key, {k} * (length(key) div 3) + 1, length(key) div 3)")
-    parts = recurring.where("length(key) >= 6").select("doc", "key", "pages", F.posexplode(F.array(third(0), third(1), F.expr("substring(key, 2 * (length(key) div 3) + 1, 1000)"))).alias("no", "part"))
+    # folding leaves some misreadings apart: rarer lines that begin or end like a recurring one and are within an edit distance
+    parts = recurring.where("length(key) >= 6").select("doc", "key", "pages", F.posexplode(F.array(F.left("key", F.lit(4)), F.right("key", F.lit(4)))).alias("no", "part"))
     most = parts.where("pages >= 2").select("doc", "no", "part", F.col("key").alias("main"), F.col("pages").alias("main_pages"))
     near = parts.join(most, ["doc", "no", "part"]).where((F.col("pages") < F.col("main_pages")) & (F.col("key") != F.col("main")) & (F.levenshtein("key", "main") * 6 <= F.greatest(F.length("key"), F.lit(12))))
     alias = near.groupBy("doc", "key").agg(F.max_by("main", F.struct("main_pages", "main")).alias("main"))
