@@ -153,14 +153,17 @@ def windows_of(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: list[tuple[str, str]], windows: int = TRAIN_WINDOWS, epochs: int = 6, seed: int = 0) -> ByteNet:
-    """Trains on (text, language) pairs; the windows of each language are as many, repeated where there are few."""
+    """Trains on (text, language) pairs; the windows of each language are as many, repeated where there are few.
+
+    Without any labelled text the network knows no language, and finds none.
+    """
     rng = np.random.default_rng(seed)
     pool: dict[str, list[str]] = {}
     for text, lang in labelled:
         pool.setdefault(lang, []).extend(text[a:b] for a, b in sentence_spans(text) if _FEW_LETTERS.search(text, a, b))
     classes = tuple(x for x in LANGUAGES if pool.get(x))
     if not classes:
-        raise ValueError("no labelled text to learn from")
+        return ByteNet.fresh((), seed)
     xs, ys = [], []
     for c, lang in enumerate(classes):
         own, _ = windows_of(pool[lang])
@@ -182,6 +185,8 @@ def labelled_sample(df: DataFrame, key: str, text: str, lang: str, each: int = S
 def fit_twice(sure: list[tuple[str, str]], doubtful: list[tuple[str, str]]) -> ByteNet:
     """Learns from sure labels, then again with those doubtful rows whose label a first network confirms for the whole text."""
     net = fit(sure, TRAIN_WINDOWS // 2, 4)
+    if not net.classes:
+        return net
     agreed = []
     for k in range(0, len(doubtful), 256):
         part = doubtful[k : k + 256]
@@ -233,7 +238,7 @@ def segments(net: ByteNet, texts: list[str], certain: float = 0.75) -> list[list
                 units.append(unit)
                 where.append((i, a, b))
     out: list[list[tuple[int, int, str, float, bool]]] = [[] for _ in texts]
-    if not units:
+    if not units or not net.classes:
         return out
     p = text_probabilities(net, units)
     best, sure = p.argmax(axis=1).tolist(), p.max(axis=1).tolist()

@@ -72,7 +72,7 @@ def twins() -> tuple[tuple[str, str], ...]:
             tag, *codes = to.split()
             look = "".join(chr(int(x, 16)) for x in codes)
             width = tag in ("<wide>", "<narrow>", "<noBreak>")
-            if tag[1:-1] in SAME_LOOK and (width or kind[0] == "L" and all(unicodedata.category(x)[0] in "LM" for x in look) or "RADICAL" in unicodedata.name(ch, "")):
+            if tag[1:-1] in SAME_LOOK and (width or (kind[0] == "L" or kind == "Nl") and all(unicodedata.category(x)[0] in "LM" for x in look) or "RADICAL" in unicodedata.name(ch, "")):
                 pairs.append((ch, unicodedata.normalize("NFD", look)))
     for table in (LATIN_TWINS, KANA_TWINS, RADICAL_TWINS):
         pairs += [(unicodedata.normalize("NFD", y), unicodedata.normalize("NFD", x)) for x, ys in table.items() for y in ys]
