@@ -131,15 +131,15 @@ class Index:
         return best
 
 
-def _search(index: Index, normal: Rewriter, passage: int):
-    schema = pa.schema([("key", pa.string()), ("item", pa.int32()), ("run", pa.int32()), ("score", pa.float64())])
+def _search(index: Index, names: list[str], normal: Rewriter, passage: int):
+    schema = pa.schema([("key", pa.string()), ("item", pa.string()), ("run", pa.int32()), ("score", pa.float64())])
     step = passage - index.run + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.vocabulary.get
         for batch in batches:
             keys, items, runs, scores = [], [], [], []
-            names = batch.column(0)
+            own_keys = batch.column(0)
             for row, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
                     continue
@@ -165,8 +165,8 @@ def _search(index: Index, normal: Rewriter, passage: int):
                         if (n := index.verify(own, item)) > found.get(item, (0, 0.0))[0]:
                             found[item] = (n, score)
                 for item, (n, score) in found.items():
-                    keys.append(row), items.append(item), runs.append(n), scores.append(score)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(keys, pa.int64())), pa.array(items, pa.int32()), pa.array(runs, pa.int32()), pa.array(scores, pa.float64())], schema=schema)
+                    keys.append(row), items.append(names[item]), runs.append(n), scores.append(score)
+            yield pa.RecordBatch.from_arrays([own_keys.take(pa.array(keys, pa.int64())), pa.array(items, pa.string()), pa.array(runs, pa.int32()), pa.array(scores, pa.float64())], schema=schema)
 
     return run
 
@@ -195,9 +195,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     for part in parts:
         part.sort()
         index = Index([words for _, words in part], run)
-        hits = texts.mapInArrow(_search(index, normal, max(passage, 2 * run)), "key string, item int, run int, score double")
-        names = F.array(*[F.lit(k) for k, _ in part]) if part else F.array(F.lit(""))
-        hits = hits.select("key", F.element_at(names, F.col("item") + 1).alias("item"), "run", "score")
+        hits = texts.mapInArrow(_search(index, [k for k, _ in part], normal, max(passage, 2 * run)), "key string, item string, run int, score double")
         out = hits if out is None else out.unionAll(hits)
     best = out.groupBy("key", "item").agg(F.max("run").alias("shared_run"), F.max("score").alias("score"))
     return best.select(F.col("key").cast(corpus.schema[key].dataType).alias(key), F.col("item").cast(items.schema[item_key].dataType).alias(item_key), "shared_run", "score")

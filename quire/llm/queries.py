@@ -173,8 +173,38 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
 
+_SIMILAR = r"""
+WITH r AS (SELECT 'segments' AS src, id, text FROM segments UNION SELECT 'retrieved', id, content FROM retrieved),
+t AS (SELECT src, id, text, regexp_extract_all(regexp_replace(lower(nfc_normalize(text)), '([\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS w FROM r WHERE text <> '' AND id IS NOT NULL),
+g AS (SELECT src, id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS gram FROM t WHERE len(w) > 0),
+n AS (SELECT src, id, count(*) AS n FROM g GROUP BY src, id),
+j AS (SELECT a.src, a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.src = b.src AND a.gram = b.gram AND a.id < b.id GROUP BY 1, 2, 3)
+SELECT j.src, id_a, id_b FROM j JOIN n x ON x.src = j.src AND x.id = id_a JOIN n y ON y.src = j.src AND y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)
+UNION SELECT a.src, a.id, b.id FROM t a JOIN t b ON a.src = b.src AND a.text = b.text AND a.id < b.id
+"""
+
+_RUNS = """
+WITH i AS (SELECT DISTINCT 'blocks' AS src, block_id AS item_id, content AS c FROM blocks WHERE length(content) > 500 UNION SELECT DISTINCT 'retrieved', id, content FROM retrieved WHERE length(content) > 500),
+p AS (SELECT src, item_id, unnest(string_split_regex(c, '[ \\t\\n\\r\\x{3000}.!?;:,\\x{3002}\\x{FF01}\\x{FF1F}\\x{FF1B}\\x{FF1A}\\x{FF0C}\\x{3001}\\x{2026}]')) AS part,
+ generate_subscripts(string_split_regex(c, '[ \\t\\n\\r\\x{3000}.!?;:,\\x{3002}\\x{FF01}\\x{FF1F}\\x{FF1B}\\x{FF1A}\\x{FF0C}\\x{3001}\\x{2026}]'), 1) AS k FROM i),
+o AS (SELECT src, item_id, part, sum(length(part) + 1) OVER (PARTITION BY src, item_id ORDER BY k) - length(part) - 1 AS run_start FROM p),
+l AS (SELECT src, item_id, run_start::BIGINT AS run_start FROM o WHERE length(part) > 500)
+SELECT * FROM l UNION ALL SELECT src, item_id, -1 FROM i WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.src = i.src AND l.item_id = i.item_id)
+"""
+
+_NEAREST = """
+WITH v AS (SELECT id, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM vectors) WHERE r = 1 AND op = 'add' AND len(embedding) = 384
+ AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+h AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS r FROM v a JOIN v b ON a.id <> b.id)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM h WHERE r <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Only for what DuckDB can say on whole tables."""
+    """Only for what DuckDB can say on whole tables; the rest is tested against brute force."""
     return {
+        "p3_found": _SIMILAR,
+        "p4_found": _RUNS,
+        "p7_found": _NEAREST,
         "p8_found": "SELECT DISTINCT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 2048",
     }
