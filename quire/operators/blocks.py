@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import tables as B
+
 TYPES = ("text", "image", "table", "formula")
 IMAGE, TABLE, FORMULA, RULE = "[image]", "[table]", "[formula]", "---"
 
@@ -109,3 +111,25 @@ def banding(readings: DataFrame, key: str, conf: str, text: str, order: str) ->
 def enhancement_confidence(hits: DataFrame, key: str, similarity: str) -> DataFrame:
     """min(0.5 + mean similarity / 2 + 0.2, 0.98); 0.5 without a hit."""
     return hits.groupBy(key).agg(F.round(F.when(F.count(similarity) == 0, 0.5).otherwise(F.least(F.avg(similarity) / 2 + 0.5 + 0.2, F.lit(0.98))), 6).alias("confidence"))
+
+
+def paragraphs(blocks: DataFrame, key: str = "block_id") -> DataFrame:
+    """Text blocks cut at blank lines: the block, place (from 0), paragraph."""
+    return blocks.where("type = 'text' and content is not null").select(key, F.posexplode(F.split("content", "\n\n")).alias("place", "paragraph"))
+
+
+def to_html(text: Column | str) -> Column:
+    """An integrated text as HTML, part by part: tables, display formulas, images, rules and paragraphs."""
+    parts = F.split(F.col(text) if isinstance(text, str) else text, "\n\n")
+
+    def part(p: Column) -> Column:
+        formula = p.startswith("$$") | p.startswith("\\[") | p.startswith("\\begin{")
+        return (
+            F.when(p.startswith("|"), B.markdown_to_html(p))
+            .when(formula, F.concat(F.lit('<div class="formula">'), p, F.lit("</div>")))
+            .when(p.startswith(IMAGE), F.concat(F.lit("<figure>"), p, F.lit("</figure>")))
+            .when(p == RULE, F.lit("<hr>"))
+            .otherwise(F.concat(F.lit("<p>"), p, F.lit("</p>")))
+        )
+
+    return F.array_join(F.transform(F.filter(parts, lambda p: F.trim(p) != ""), part), "\n")

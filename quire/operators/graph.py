@@ -28,3 +28,12 @@ def associations(entries: DataFrame, core: DataFrame, depth: int = 2, fan: int =
         frontier = edges.select(F.col("dst").alias("id")).distinct()
         visited = visited.unionAll(frontier).distinct()
     return out
+
+
+def knowledge_graph(entries: DataFrame, core: DataFrame, topic: str, depth: int = 2, fan: int = 3) -> DataFrame:
+    """The associations of a topic's core entries as nodes: topic, id, level (0 for the core), degree."""
+    edges = associations(entries, core, depth, fan)
+    nodes = core.select("id", F.lit(0).alias("level")).unionAll(edges.select(F.col("dst").alias("id"), (F.col("level") + 1).alias("level")))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    first = nodes.groupBy("id").agg(F.min("level").alias("level"))
+    return first.join(ends, "id", "left").select(F.lit(topic).alias("topic"), "id", "level", F.coalesce("degree", F.lit(0)).alias("degree"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 HALF_DAY = 12 * 3600.0
 DAY = 86400.0
 
@@ -83,3 +85,37 @@ def merge_metadata(old: Column | str, new: Column | str) -> Column:
 def tier_stats(sizes: DataFrame, capacity: int, tier: str) -> DataFrame:
     return sizes.agg(F.least(F.count("*"), F.lit(capacity)).alias("used")).select(F.lit(tier).alias("tier"), F.lit(capacity).alias("capacity"), "used", F.round(F.col("used") / capacity * 100, 4).alias("usage_percent"))
 
+
+
+def entry_id(*parts: Column | str) -> Column:
+    """A deterministic id of an entry from what identifies it; nulls count as empty."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(_col(p).cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def added_segments(segments: DataFrame, now: float, source: str = "unknown") -> DataFrame:
+    """Texts as new entries: id, text and metadata with source, timestamp, access_count and importance as strings.
+
+    ``segments`` has doc_id, seg_no, text; empty texts are no entries.
+    """
+    meta = F.create_map(
+        F.lit("source"), F.lit(source), F.lit("timestamp"), F.lit(str(now)), F.lit("access_count"), F.lit("0"), F.lit("importance"), T.initial_importance("text", F.lit(source)).cast("string"), F.lit("index"), F.coalesce(F.col("seg_no").cast("string"), F.lit("0"))
+    )
+    return segments.where(F.length(F.trim("text")) > 0).select(entry_id("doc_id", "seg_no", "text").alias("id"), "text", meta.alias("metadata"))
+
+
+def indexed_blocks(blocks: DataFrame) -> DataFrame:
+    """One entry for each block with content: id, text and metadata with source, document_id and type."""
+    meta = F.create_map(F.lit("source"), F.coalesce("source", F.lit("unknown")), F.lit("document_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("type"), F.col("type"))
+    return blocks.where(F.length(F.trim("content")) > 0).select(entry_id("block_id").alias("id"), F.col("content").alias("text"), meta.alias("metadata"))
+
+
+def updated(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """Entries with changes applied: a new text where one is given, metadata merged (new wins). ``changes``: id, new_text, new_metadata."""
+    both = entries.join(changes, "id", "left")
+    return both.withColumn("text", F.coalesce("new_text", "text")).withColumn("metadata", merge_metadata("metadata", "new_metadata")).drop("new_text", "new_metadata")
+
+
+def access_update(entries: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
+    """Entries with the accesses of the log added to their counts; ``log``: id, ts."""
+    seen = access_counts(log.select(key, "ts"), key, "ts").withColumnRenamed("access_count", "_n")
+    return entries.join(seen, key, "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).drop("_n")

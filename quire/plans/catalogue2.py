@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalogue import BLK, COS, N, B, DataFrame, F, K, SparkSession, T, X, _blocks, _t, _top, _vectors, graph, query, render, split, warnings
+from .catalogue import BLK, COS, NOW, SEG, B, DataFrame, F, K, L, N, SparkSession, T, X, _blocks, _segments, _t, _top, _vectors, graph, query, render, split, warnings
 
 
 def _tables(spark: SparkSession, d: str) -> DataFrame:
@@ -226,6 +226,41 @@ def enh_confidence(spark, d):
     return K.enhancement_confidence(_t(spark, d, "retrieved"), "query_no", "similarity")
 
 
+@query(f"WITH {BLK} SELECT block_id, generate_subscripts(string_split(content, chr(10) || chr(10)), 1)::INT - 1 AS place, unnest(string_split(content, chr(10) || chr(10))) AS paragraph FROM b WHERE type = 'text' AND content IS NOT NULL")
+def blk_paragraphs(spark, d):
+    return K.paragraphs(_blocks(spark, d))
+
+
+@query()
+def blk_html(spark, d):
+    return K.integrate(_blocks(spark, d)).select("doc_id", K.to_html("text").alias("html"))
+
+
+@query(f"WITH {BLK} SELECT sha256(coalesce(block_id, '')) AS id, content AS text, coalesce(source, 'unknown') AS source, coalesce(doc_id::VARCHAR, '') AS document_id, type FROM b WHERE length(trim(content, ' ')) > 0")
+def mem_index_blocks(spark, d):
+    rows = L.indexed_blocks(_blocks(spark, d))
+    return rows.select("id", "text", *[F.col("metadata")[k].alias(k) for k in ("source", "document_id", "type")])
+
+
+@query(f"WITH {SEG} SELECT sha256(concat_ws(chr(31), coalesce(doc_id::VARCHAR, ''), coalesce(seg_no::VARCHAR, ''), text)) AS id, text, 'user_input' AS source, '0' AS access_count FROM s WHERE length(trim(text, ' ')) > 0")
+def mem_add_segments(spark, d):
+    rows = L.added_segments(_segments(spark, d), NOW, "user_input")
+    return rows.select("id", "text", *[F.col("metadata")[k].alias(k) for k in ("source", "access_count")])
+
+
+@query(f"WITH {SEG}, l AS (SELECT 's' || event_id AS k, user_id, epoch(ts) AS ts FROM events), a AS (SELECT user_id, count(*) AS n FROM l GROUP BY user_id) SELECT s.id, s.access_count + coalesce(a.n, 0) AS access_count FROM s LEFT JOIN a ON a.user_id = s.doc_id")
+def life_access_update(spark, d):
+    log = _t(spark, d, "events").select(F.col("user_id").alias("doc_id"), "ts")
+    return L.access_update(_segments(spark, d).drop("ts"), log, "doc_id").select("id", "access_count")
+
+
+@query(f"WITH {SEG} SELECT id, CASE WHEN seg_no % 7 = 0 THEN 'edited' ELSE text END AS text, CASE WHEN seg_no % 7 = 0 THEN 'desk' ELSE metadata['source'] END AS source FROM s")
+def life_update_entries(spark, d):
+    s = _segments(spark, d).select("id", "text", "metadata", "seg_no")
+    changes = s.where("seg_no % 7 = 0").select("id", F.lit("edited").alias("new_text"), F.create_map(F.lit("source"), F.lit("desk")).alias("new_metadata"))
+    return L.updated(s, changes).select("id", "text", F.col("metadata")["source"].alias("source"))
+
+
 # Notes -----------------------------------------------------------------------------
 def _notes(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "segments").where("doc_id is not null").dropDuplicates(["id"]).withColumn("place", F.struct("seg_no", "id"))
@@ -282,3 +317,9 @@ def graph_associations(spark, d):
     v = _vectors(spark, d)
     return graph.associations(v, v.where("id % 100 = 0"), depth=2)
 
+
+
+@query()
+def graph_knowledge(spark, d):
+    v = _vectors(spark, d)
+    return graph.knowledge_graph(v, v.where("id % 100 = 0"), "hundreds")

@@ -217,3 +217,28 @@ def test_associations_visit_once(spark):
 def test_warning_counts(spark):
     df = spark.createDataFrame([("pdf",), ("odd",), (None,)], "kind string")
     assert {r.type: r.n for r in warnings.warning_counts(df, "kind", ["pdf"]).collect()} == {"pdf": 1, "other_warnings": 2}
+
+
+def test_knowledge_base_modes(spark, basis):
+    from quire.plans.session import KnowledgeBase
+
+    entries = basis.where("size(embedding) = 3").withColumn("text", F.concat(F.lit("about "), "id")).withColumn("ts", F.lit(0.0))
+    base = KnowledgeBase(entries, k=2, threshold=0.1, now=86400.0)
+    q = spark.createDataFrame([("q", [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], ["about"])], "query_id string, query_vector array<double>, context_vector array<double>, keywords array<string>")
+    assert [r.content for r in base.documents(q).collect()] == ["about a"]
+    assert {r.id for r in base.query(q, "context_aware").collect()} == {"a", "b"}
+    assert base.query(q, "hybrid").orderBy("rank").first().id == "a" and base.query(q, "time_weighted").count() == 2
+    assert base.query(q, "unknown").count() == 1 and base.get(q.select(F.lit("a").alias("id"))).count() == 1
+
+
+def test_html_of_parts(spark):
+    df = spark.createDataFrame([("one\n\n| a |\n| - |\n| b |\n\n---\n\n$$x$$\n\n[image]: c",)], "t string")
+    assert df.select(K.to_html("t")).first()[0].split("\n") == ["<p>one</p>", "<table><thead><tr><th>a</th></tr></thead><tbody><tr><td>b</td></tr></tbody></table>", "<hr>", '<div class="formula">$$x$$</div>', "<figure>[image]: c</figure>"]
+
+
+def test_entries_are_added_once_and_updated(spark):
+    seg = spark.createDataFrame([(1, 0, "text"), (1, 1, " "), (1, 2, None)], "doc_id long, seg_no int, text string")
+    new = L.added_segments(seg, 5.0, "expert_input")
+    assert new.count() == 1 and new.first().metadata["timestamp"] == "5.0" and new.first().id == L.added_segments(seg, 6.0).first().id
+    changes = new.select("id", F.lit(None).cast("string").alias("new_text"), F.create_map(F.lit("source"), F.lit("x")).alias("new_metadata"))
+    assert L.updated(new, changes).first().metadata["source"] == "x" and L.updated(new, changes).first().text == "text"
