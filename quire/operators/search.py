@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,11 +53,13 @@ def _partial(keys: list, matrix: np.ndarray, k: int, metric: str, digits: int, k
         dim = matrix.shape[1]
         for batch in batches:
             column, ids = batch.column(1), batch.column(0)
-            good = [i for i, v in enumerate(column.to_pylist()) if v is not None and len(v) == dim and None not in v]
-            if not good:
+            sized = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+            rows = column.filter(sized).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            whole = ~np.isnan(rows).any(axis=1)
+            rows = rows[whole]
+            if not len(rows):
                 continue
-            rows = np.array(column.take(pa.array(good)).to_pylist(), dtype=np.float64)
-            names = np.array(ids.take(pa.array(good)).to_pylist())
+            names = np.array(ids.filter(sized).to_pylist())[whole]
             score = np.round(_scores(matrix, rows, metric), digits) + 0.0
             out: tuple[list, list, list] = ([], [], [])
             for q, row in enumerate(score):
@@ -74,8 +77,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     ``queries`` is a stated set with columns ``query_id`` and ``query_vector``; it is read in
     blocks of a bounded number of vectors, each scored against all rows with one product per
     Arrow batch. Every batch passes on its own k best only. Similarities are rounded to
-    ``digits`` before ranking, ties go to the smaller id. Vectors that are null or of another
-    size match nothing; zero vectors have similarity 0. No queries or no rows give no hits.
+    ``digits`` before ranking, ties go to the smaller id. Vectors that are null, of another size
+    or without a number somewhere match nothing; zero vectors have similarity 0. No queries or no rows give no hits.
     """
     name = vectors.schema[key].dataType.simpleString()
     kind = {"bigint": pa.int64(), "int": pa.int32()}.get(name, pa.string())
