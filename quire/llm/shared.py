@@ -11,8 +11,8 @@ def cut(df: DataFrame, what: str = "") -> DataFrame:
     """The same rows, written once to ``spark.checkpoint.dir``, which all executors share.
 
     Executors can be lost afterwards: the rows are read from the folder again. Only
-    on one
-    machine without such a folder, as in tests, one of its own is set; a cluster must name it.
+    on one machine without such a folder, as in tests, one of its own is set; a cluster
+    must name it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
