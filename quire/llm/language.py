@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import spread
 from .sentences import TERMINATORS, sentence_spans
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt", "ja", "ru", "th", "hi")
@@ -305,5 +306,5 @@ def identify(df: DataFrame, key: str, text: str, label: str | None, net: ByteNet
     """
     given = F.lit(None).cast("string") if label is None else F.col(label)
     rows = df.select(F.col(key).cast("string").alias("row"), given.alias("label"), F.col(text).alias("text")).where(F.length("text") > 0)
-    out = rows.mapInArrow(_identify(net), "row string, label string, lang string, confidence double, langs array<string>, segments array<struct<start:bigint,end:bigint,lang:string,confidence:double>>")
+    out = spread(rows).mapInArrow(_identify(net), "row string, label string, lang string, confidence double, langs array<string>, segments array<struct<start:bigint,end:bigint,lang:string,confidence:double>>")
     return out.withColumn("row", F.col("row").cast(df.schema[key].dataType)).withColumnRenamed("row", key)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lookalike import Rewriter, plain_table
+from .shared import spread
 from .tokens import TOKEN
 
 #: Shared tokens that make a leak, tokens a passage has, postings a block has, BM25's k1 and b.
@@ -191,7 +192,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
         room -= len(row.t) * 4
         parts[-1].append((row.k, TOKEN.findall(normal(row.t).lower())))
     out = None
-    texts = corpus.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    texts = spread(corpus.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")))
     for part in parts:
         part.sort()
         index = Index([words for _, words in part], run)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 # Letters of other scripts that look like a Latin one.
 LATIN_TWINS = {
     "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СᏟϹ", "D": "Ꭰ", "E": "ΕЕᎬ", "F": "Ϝ", "G": "Ԍ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫ", "K": "ΚКᏦ",
@@ -154,7 +156,7 @@ def rewrite_table(df: DataFrame, text: str) -> dict[str, str]:
 
     The counts are one row for each code point in use, which Unicode bounds.
     """
-    rows = df.select(text).mapInArrow(_counts, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = spread(df.select(text)).mapInArrow(_counts, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     return Classes(twins()).rewrites(Counter({chr(r.code): r.n for r in rows}))
 
 
@@ -188,7 +190,7 @@ def canonical(df: DataFrame, key: str, text: str) -> DataFrame:
     accents, digits, punctuation and line breaks are visible and stay as they are.
     """
     kind = df.schema[key].dataType
-    out = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInArrow(_forms(rewrite_table(df, text)), "key string, form string, form_hash binary, text_hash binary")
+    out = spread(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))).mapInArrow(_forms(rewrite_table(df, text)), "key string, form string, form_hash binary, text_hash binary")
     return out.select(F.col("key").cast(kind).alias(key), "form", "form_hash", "text_hash")
 
 

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spread
 from .tokens import TOKEN
 
 # Element names of HTML, magic words and tags of wikis, commands of LaTeX.
@@ -249,6 +250,7 @@ def clean_markup(df: DataFrame, key: str, text: str, is_table: str | None = None
     """
     table = F.lit(False) if is_table is None else F.coalesce(F.col(is_table), F.lit(False))
     rows = df.select(F.col(key).cast("string").alias("row"), F.col(text).alias("text"), table.alias("is_table")).where(F.length("text") > 0)
+    rows = spread(rows)
     out = rows.mapInArrow(_clean, "row string, kinds array<string>, units array<struct<role:string,text:string>>") if units else rows.mapInArrow(_kinds, "row string, kinds array<string>")
     return out.withColumn("row", F.col("row").cast(df.schema[key].dataType)).withColumnRenamed("row", key)
 

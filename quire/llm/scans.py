@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, spread
 
 #: Share of all words from which a word belongs to the vocabulary, which bounds it to 1 / share entries; and a least count.
 SHARE, LEAST = 5e-6, 3
@@ -271,6 +271,7 @@ def page_noise(df: DataFrame, key: str, doc: str, page: str, text: str) -> DataF
     Null and empty texts have no row. Repeated rows of a key stay and count as one page.
     """
     rows = df.select(F.col(key).cast("string").alias("row"), F.col(doc).cast("string").alias("doc"), F.col(page).cast("int").alias("page"), F.col(text).alias("text")).where(F.length("text") > 0)
+    rows = spread(rows)
     edge = "array<struct<line:string,key:string,number:int,strength:string,place:int>>"
     seen = cut(rows.mapInArrow(_features(vocabulary(rows, "text")), f"row string, doc string, page int, hyphen boolean, char boolean, edges {edge}"), "pages")
     edges = seen.select("row", "doc", F.coalesce(F.col("page").cast("string"), F.concat(F.lit("?"), "row")).alias("page_id"), "page", F.explode("edges").alias("e")).select("row", "doc", "page_id", "page", "e.*").distinct()

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 # Abbreviations that never end a sentence.
 NEVER = """
 Mr Mrs Ms Dr Prof Rev Hon Gen Col Sgt Capt Lt Gov Pres Sen Rep St Mt Ft e.g i.e cf viz vs v approx est Inc Ltd Co Corp Bros Dept dept
@@ -278,5 +280,5 @@ def split_sentences(df: DataFrame, key: str, text: str, with_text: bool = False)
     one sentence a line.
     """
     kind = df.schema[key].dataType
-    found = df.select(F.col(key).cast("string").alias("row"), F.col(text).alias("text")).where(F.length("text") > 0).mapInArrow(_find, "row string, ends array<bigint>")
+    found = spread(df.select(F.col(key).cast("string").alias("row"), F.col(text).alias("text")).where(F.length("text") > 0)).mapInArrow(_find, "row string, ends array<bigint>")
     return found.select(F.col("row").cast(kind).alias(key), F.posexplode("ends").alias("sent_no", "sent_end"))

@@ -24,3 +24,17 @@ def cut(df: DataFrame, what: str = "") -> DataFrame:
             folder = tempfile.mkdtemp(prefix="quire-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+#: Bytes a core for which an input in fewer files than cores is small enough to be dealt out.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that lies in fewer files than there are cores, dealt out to all of them; any other as it is.
+
+    Only the planner's size estimate and the list of files are looked at; nothing is executed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * SMALL and len(df.inputFiles()) < cores else df
