@@ -53,45 +53,49 @@ def _signatures(n: int, bands: int, rows: int, seed: int):
     mul = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
     mix = rng.integers(1, 1 << 63, rows, dtype=np.uint64) | np.uint64(1)
-    schema = pa.schema([("src", pa.string()), ("th", pa.string()), ("bands", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("th", pa.binary()), ("bands", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, sig, grams = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            for i, (text, src) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 h = shingle_hashes(text, n)
                 if not len(h):
                     continue
                 with np.errstate(over="ignore"):
                     low = np.min((h[:, None] * mul[None, :] + add[None, :]) >> np.uint64(16), axis=0).reshape(bands, rows)
                     band = (low * mix[None, :]).sum(axis=1, dtype=np.uint64)
-                    band ^= band >> np.uint64(29)
+                    # texts of different sources never share a band
+                    band ^= (band >> np.uint64(29)) ^ np.uint64(xxhash.xxh3_64_intdigest(src))
                 keep.append(i), sig.append(band.view(np.int64)), grams.append(h.view(np.int64))
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sig, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(sig, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
 def _similar_texts(base: DataFrame, n: int, threshold: float, recall: float, seed: int) -> DataFrame:
-    """Pairs (src, ta, tb) of different texts, by their hashes, with similarity at or above the threshold."""
+    """Pairs (ta, tb) of different texts of one source, by their hashes, with similarity at or above the threshold.
+
+    A band travels as one hash of its number and value with the text's hash beside it, 24 bytes a row.
+    """
     bands, rows = banding(threshold, recall)
-    texts = base.dropDuplicates(["src", "th"]).select("src", "th", "text")
-    signed = cut(texts.mapInArrow(_signatures(n, bands, rows, seed), "src string, th string, bands array<bigint>, grams array<bigint>"), "minhash")
-    band = signed.select("src", "th", F.posexplode("bands").alias("no", "bh"))
-    a = band.select("src", "no", "bh", F.col("th").alias("ta"))
-    b = band.select("src", "no", "bh", F.col("th").alias("tb"))
-    pairs = a.join(b, ["src", "no", "bh"]).where("ta < tb").select("src", "ta", "tb").distinct()
-    full = signed.select("src", "th", "grams")
-    both = pairs.join(full.select("src", F.col("th").alias("ta"), F.col("grams").alias("ga")), ["src", "ta"]).join(full.select("src", F.col("th").alias("tb"), F.col("grams").alias("gb")), ["src", "tb"])
+    texts = base.dropDuplicates(["th"]).select("th", "text", "src")
+    signed = cut(texts.mapInArrow(_signatures(n, bands, rows, seed), "th binary, bands array<bigint>, grams array<bigint>"), "minhash")
+    band = signed.select(F.posexplode("bands").alias("no", "bh"), "th").select(F.xxhash64("no", "bh").alias("key"), "th")
+    pairs = band.select("key", F.col("th").alias("ta")).join(band.select("key", F.col("th").alias("tb")), "key").where("ta < tb").select("ta", "tb").distinct()
+    full = signed.select("th", "grams")
+    both = pairs.join(full.select(F.col("th").alias("ta"), F.col("grams").alias("ga")), "ta").join(full.select(F.col("th").alias("tb"), F.col("grams").alias("gb")), "tb")
     common = F.size(F.array_intersect("ga", "gb"))
-    joint = both.select("src", "ta", "tb", common.alias("common"), (F.size("ga") + F.size("gb") - common).alias("joint"))
-    return joint.where(F.col("common") >= F.lit(threshold) * F.col("joint")).select("src", "ta", "tb", (F.col("common") / F.col("joint")).alias("similarity"))
+    joint = both.select("ta", "tb", common.alias("common"), (F.size("ga") + F.size("gb") - common).alias("joint"))
+    return joint.where(F.col("common") >= F.lit(threshold) * F.col("joint")).select("ta", "tb", (F.col("common") / F.col("joint")).alias("similarity"))
 
 
 def _base(df: DataFrame, key: str, text: str, src: str | None) -> DataFrame:
-    from_ = F.lit("") if src is None else F.col(src)
-    return df.select(from_.alias("src"), F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null and text <> '' and id is not null").withColumn("th", F.md5("text"))
+    """Rows with a text and its hash, which holds the source too."""
+    from_ = F.lit("") if src is None else F.coalesce(F.col(src).cast("string"), F.lit(""))
+    rows = df.select(from_.alias("src"), F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null and text <> '' and id is not null")
+    return rows.withColumn("th", F.unhex(F.md5(F.concat("src", F.lit("\x1f"), "text"))))
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, src: str | None = None, n: int = 5, threshold: float = 0.8, recall: float = 0.999, seed: int = 7) -> DataFrame:
@@ -102,11 +106,11 @@ def similar_pairs(df: DataFrame, key: str, text: str, src: str | None = None, n:
     """
     base = _base(df, key, text, src)
     members = base.select("src", "id", "th").distinct()
-    texts = _similar_texts(base, n, threshold, recall, seed).select("src", "ta", "tb")
-    same = members.groupBy("src", "th").agg(F.count("*").alias("k")).where("k > 1").select("src", F.col("th").alias("ta"), F.col("th").alias("tb"))
+    texts = _similar_texts(base, n, threshold, recall, seed).select("ta", "tb")
+    same = members.groupBy("th").agg(F.count("*").alias("k")).where("k > 1").select(F.col("th").alias("ta"), F.col("th").alias("tb"))
     a = members.select("src", F.col("id").alias("x"), F.col("th").alias("ta"))
-    b = members.select("src", F.col("id").alias("y"), F.col("th").alias("tb"))
-    both = texts.unionAll(same).join(a, ["src", "ta"]).join(b, ["src", "tb"]).where("x <> y")
+    b = members.select(F.col("id").alias("y"), F.col("th").alias("tb"))
+    both = texts.unionAll(same).join(a, "ta").join(b, "tb").where("x <> y")
     return both.select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
@@ -119,20 +123,20 @@ def similar_groups(df: DataFrame, key: str, text: str, src: str | None = None, n
     """
     base = _base(df, key, text, src)
     members = cut(base.select("src", "id", "th").distinct(), "members")
-    links = _similar_texts(base, n, threshold, recall, seed).select("src", "ta", "tb")
-    edges = cut(links.unionAll(links.select("src", F.col("tb").alias("ta"), F.col("ta").alias("tb"))), "edges")
-    label = cut(edges.select("src", F.col("ta").alias("th")).distinct().withColumn("label", F.col("th")), "label0")
+    links = _similar_texts(base, n, threshold, recall, seed).select("ta", "tb")
+    edges = cut(links.unionAll(links.select(F.col("tb").alias("ta"), F.col("ta").alias("tb"))), "edges")
+    label = cut(edges.select(F.col("ta").alias("th")).distinct().withColumn("label", F.col("th")), "label0")
     for k in range(max_rounds):
-        near = edges.join(label.select("src", F.col("th").alias("tb"), "label"), ["src", "tb"]).groupBy("src", F.col("ta").alias("th")).agg(F.min("label").alias("near"))
-        step = label.join(near, ["src", "th"]).select("src", "th", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        jump = step.join(step.select("src", F.col("th").alias("label"), F.col("label").alias("far")), ["src", "label"], "left")
-        new = cut(jump.select("src", "th", F.coalesce(F.least("label", "far"), "label").alias("label"), "moved"), f"label{k + 1}")
-        label = new.select("src", "th", "label")
+        near = edges.join(label.select(F.col("th").alias("tb"), "label"), "tb").groupBy(F.col("ta").alias("th")).agg(F.min("label").alias("near"))
+        step = label.join(near, "th").select("th", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
+        jump = step.join(step.select(F.col("th").alias("label"), F.col("label").alias("far")), "label", "left")
+        new = cut(jump.select("th", F.coalesce(F.least("label", "far"), "label").alias("label"), "moved"), f"label{k + 1}")
+        label = new.select("th", "label")
         if new.where("moved").limit(1).count() == 0:
             break
     else:
         raise RuntimeError(f"classes still change after {max_rounds} rounds")
-    degree = edges.groupBy("src", F.col("ta").alias("th")).agg(F.count("*").alias("n_links"))
-    seen = members.join(label, ["src", "th"], "left").join(degree, ["src", "th"], "left").withColumn("label", F.coalesce("label", "th"))
-    names = seen.groupBy("src", "label").agg(F.min("id").alias("class_id"))
-    return seen.join(names, ["src", "label"]).select("src", "id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree = edges.groupBy(F.col("ta").alias("th")).agg(F.count("*").alias("n_links"))
+    seen = members.join(label, "th", "left").join(degree, "th", "left").withColumn("label", F.coalesce("label", "th"))
+    names = seen.groupBy("label").agg(F.min("id").alias("class_id"))
+    return seen.join(names, "label").select("src", "id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
