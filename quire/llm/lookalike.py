@@ -4,9 +4,10 @@ Pairs of strings that look alike come from the character database of Python
 (width, joined letters, ideographs of another block, kinds of blank, invisible
 characters) and from a fixed table of letters of other scripts. Union-find over
 these strings and code points gives transitive classes. The representative of a
-class is its most frequent member in the corpus, counted over all rows. An
-Aho-Corasick automaton then rewrites every member into its representative,
-leftmost longest first. Accents are decomposed before and composed after.
+class is its most frequent member in the corpus, counted over all rows, strings of
+several characters too. Aho-Corasick automata then rewrite every member into its
+representative, leftmost longest first: single characters, then strings of several.
+Accents are decomposed before and composed after.
 """
 
 from __future__ import annotations
@@ -100,45 +101,98 @@ class Classes:
             self.parent[x], x = root, self.parent[x]
         return root
 
+    def members(self) -> list[list[str]]:
+        out: dict[str, list[str]] = {}
+        for x in list(self.parent):
+            out.setdefault(self.find(x), []).append(x)
+        return list(out.values())
+
+    def to_count(self, count: Counter) -> list[str]:
+        """The strings of several characters whose own frequency matters: one character of their look is in use.
+
+        Different strings can have one look (``ſt`` and ``st``), so classes that share one count together.
+        """
+        single = self._singles(count)
+        looks = {x for own in self._joined(single) if any(count.get(x, 0) for x in own if len(x) == 1) for x in own if len(x) > 1}
+        return sorted(x for x in self.parent if len(x) > 1 and self._look(x, single) in looks)
+
+    def _singles(self, count: Counter) -> dict[str, str]:
+        """Representatives of the classes of single characters."""
+        out = {}
+        for own in self.members():
+            if all(len(x) < 2 for x in own):
+                best = min(own, key=lambda x: (x not in ("", " "), -count.get(x, 0), x))
+                out |= {x: best for x in own if x != best}
+        return out
+
+    @staticmethod
+    def _look(x: str, single: dict[str, str]) -> str:
+        return x if len(x) < 2 else "".join(single.get(c, c) for c in x)
+
+    def _joined(self, single: dict[str, str]) -> list[list[str]]:
+        """Classes that hold a string of several characters, whose characters may have been rewritten themselves."""
+        return Classes((self._look(own[0], single), self._look(x, single)) for own in self.members() if any(len(x) > 1 for x in own) for x in own).members()
+
     def rewrites(self, count: Counter) -> dict[str, str]:
         """Representative: the most frequent member; of equals the plain one (lowest code points).
 
         The class of invisible characters always becomes the empty string and that of blanks the blank.
+        Single characters are rewritten first, joined letters into their letters; where the joined
+        form is the frequent one, its letters are a pattern that is rewritten then (see ``Rewriter``).
         """
-        members: dict[str, list[str]] = {}
-        for x in list(self.parent):
-            members.setdefault(self.find(x), []).append(x)
-        out = {}
-        for own in members.values():
-            best = min(own, key=lambda x: (x not in ("", " "), -count.get(x, 0), x))
-            out |= {x: best for x in own if x != best}
-        # a string of several characters is one pattern; its characters may have been rewritten themselves
-        single = {a: b for a, b in out.items() if len(a) == 1}
-        return {a: b if len(b) < 2 else "".join(single.get(c, c) for c in b) for a, b in out.items() if len(a) == 1}
+        out = self._singles(count)
+        seen: Counter = Counter()
+        for own in self.members():
+            for x in own:
+                seen[self._look(x, out)] += count.get(x, 0)
+        patterns = {}
+        for own in self._joined(out):
+            order = lambda x: (-seen.get(x, 0), x)
+            best, letters = min(own, key=order), min((x for x in own if len(x) > 1), key=order)
+            out |= {x: letters for x in own if len(x) == 1}
+            patterns |= {x: best for x in own if len(x) > 1 and x != best}
+        return out | patterns
+
+
+def _automaton(table: dict[str, str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for pattern, to in table.items():
+        out.add_word(pattern, (len(pattern), to))
+    out.make_automaton()
+    return out
+
+
+def _replaced(text: str, automaton: ahocorasick.Automaton) -> str:
+    out, at = [], 0
+    for end, (length, to) in automaton.iter_long(text):
+        out.append(text[at : end + 1 - length])
+        out.append(to)
+        at = end + 1
+    out.append(text[at:])
+    return "".join(out)
 
 
 class Rewriter:
-    """Rewrites text by a dictionary of patterns with an Aho-Corasick automaton."""
+    """Rewrites text by a dictionary of patterns with Aho-Corasick automata.
+
+    Single characters go first, then patterns of several characters: so letters meet in a
+    pattern whatever characters they were written with, or were joined by, before.
+    """
 
     def __init__(self, table: dict[str, str]):
         self.table = table
-        self.marks = frozenset("".join(table))
-        self.automaton = ahocorasick.Automaton()
-        for pattern, to in table.items():
-            self.automaton.add_word(pattern, (len(pattern), to))
-        self.automaton.make_automaton()
+        single = {a: b for a, b in table.items() if len(a) == 1}
+        self.patterns = [a for a in table if len(a) > 1]
+        self.marks = frozenset(single)
+        self.single, self.several = _automaton(single), _automaton({a: table[a] for a in self.patterns})
 
     def __call__(self, text: str) -> str:
         whole = unicodedata.normalize("NFD", text)
-        if self.marks.isdisjoint(whole):
-            return unicodedata.normalize("NFC", text)
-        out, at = [], 0
-        for end, (length, to) in self.automaton.iter_long(whole):
-            out.append(whole[at : end + 1 - length])
-            out.append(to)
-            at = end + 1
-        out.append(whole[at:])
-        return unicodedata.normalize("NFC", "".join(out))
+        if not self.marks.isdisjoint(whole):
+            whole = unicodedata.normalize("NFD", _replaced(whole, self.single))
+        if any(p in whole for p in self.patterns):
+            whole = _replaced(whole, self.several)
+        return unicodedata.normalize("NFC", whole)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +205,31 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"code": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
 
 
+def _string_counts(strings: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            whole = unicodedata.normalize("NFD", "\n".join(x for x in batch.column(0).to_pylist() if x))
+            for x in strings:
+                total[x] += whole.count(x)
+        yield pa.RecordBatch.from_pydict({"string": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+
+    return run
+
+
 def rewrite_table(df: DataFrame, text: str) -> dict[str, str]:
     """Look-alike rewrites with representatives chosen by the counts of all texts.
 
-    The counts are one row for each code point in use, which Unicode bounds.
+    The counts are one row for each code point in use, which Unicode bounds, and then one
+    for each string of several characters that has a twin in use.
     """
-    rows = spread(df.select(text)).mapInArrow(_counts, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    return Classes(twins()).rewrites(Counter({chr(r.code): r.n for r in rows}))
+    given = spread(df.select(text))
+    rows = given.mapInArrow(_counts, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    count, classes = Counter({chr(r.code): r.n for r in rows}), Classes(twins())
+    if strings := classes.to_count(count):
+        found = given.mapInArrow(_string_counts(strings), "string string, n long").groupBy("string").agg(F.sum("n").alias("n")).collect()
+        count.update({r.string: r.n for r in found})
+    return classes.rewrites(count)
 
 
 def plain_table() -> dict[str, str]:

@@ -386,6 +386,15 @@ def test_representative_is_the_frequent_one():
     assert latin["о"] == "o" and greek["o"] == "о"
 
 
+def test_joined_letters_in_use(spark):
+    for more in ([], [(9, "ﬁ ﬃ " * 9)]):
+        rows = [(1, "the oﬃce finds"), (2, "the office ﬁnds"), (3, "the oﬀice finds"), (4, "the of\u200bﬁсe finds"), (5, "the ofice finds"), (6, "น\u0e33 น\u0e33"), (7, "น\u0e4d\u0e32 น\u0e33"), (8, "น\u0e32 น\u0e33"), *more]
+        df = texts(spark, rows)
+        assert {(r.a, r.b) for r in lookalike.same_look_pairs(df, "id", "text").collect()} == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (6, 7)}
+        forms = {r.id: r.form for r in lookalike.canonical(df, "id", "text").collect()}
+        assert forms[7] == "น\u0e33 น\u0e33" and forms[1] == ("the oﬃce ﬁnds" if more else "the office finds")
+
+
 def test_same_look_pairs_and_groups(spark):
     rows = [(1, "note"), (2, "nоte"), (3, "note"), (4, "n\u200bote"), (5, "Note"), (6, None), (7, ""), (8, "other"), (8, "other")]
     df = texts(spark, rows)
