@@ -4,12 +4,14 @@ A text is processed in ranges. A range finds its own boundary characters and
 needs nothing else of its neighbours than where the next range's first boundary
 lies: the place after the first boundary of a range is an anchor, where a piece
 always begins, so the ranges between anchors are cut independently. For files a
-worker reads only its range of bytes and a halo; lengths in code points are
-stitched by a prefix sum.
+worker reads only its range of bytes and a halo; a long text of a column becomes
+one row a range. Lengths in code points and numbers of pieces are stitched by prefix
+sums, stretches without a boundary by the first boundary of later ranges.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: Code points a piece may have, and those that consecutive pieces share at most.
 LIMIT, OVERLAP = 500, 100
 #: Code points (of a column) or bytes (of a file) in a range.
@@ -87,8 +91,12 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_size: in
     return out, long_runs(after, n, limit)
 
 
+_PIECES = pa.schema([("row", pa.string()), ("piece_no", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("piece", pa.string()), ("runs", pa.list_(pa.int64())), ("has_run", pa.bool_())])
+_ROWS = "row string, piece_no int, start long, end long, piece string, runs array<bigint>, has_run boolean"
+
+
 def _split(limit: int, overlap: int, range_size: int):
-    schema = pa.schema([("row", pa.string()), ("piece_no", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("piece", pa.string()), ("runs", pa.list_(pa.int64())), ("has_run", pa.bool_())])
+    schema = _PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,18 +113,114 @@ def _split(limit: int, overlap: int, range_size: int):
     return run
 
 
+def _advance(raw: np.ndarray, at: int, n: int) -> int:
+    """The byte at which the n-th code point after the one at byte ``at`` begins, or the end."""
+    starts = np.flatnonzero((raw[at : at + 4 * n + 4] & 0xC0) != 0x80)
+    return at + int(starts[n]) if n < len(starts) else len(raw)
+
+
+def _back(raw: np.ndarray, at: int, n: int) -> int:
+    """The byte at which the n-th code point before byte ``at`` begins, or 0."""
+    low = max(0, at - 4 * n)
+    starts = np.flatnonzero((raw[low:at] & 0xC0) != 0x80)
+    return low + int(starts[-n]) if n <= len(starts) else 0
+
+
+def _cut_ranges(overlap: int, range_size: int):
+    """Range rows of long texts: the bytes from one anchor to the next and a halo before them; the text is never decoded whole."""
+    schema = pa.schema([("row", pa.string()), ("rid", pa.string()), ("k", pa.int64()), ("halo", pa.string()), ("own", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1)):
+                raw, rid = np.frombuffer(text.as_buffer(), np.uint8), uuid.uuid4().hex
+                decoded = lambda a, b: raw[a:b].tobytes().decode("utf-8", "replace")  # noqa: E731, B023
+                k = first = at = 0
+                while first < len(raw):
+                    # up to the next range's first boundary, else its own start
+                    at = stop = _advance(raw, at, range_size)
+                    if at < len(raw):
+                        after = boundary_places(decoded(at, _advance(raw, at, range_size)))
+                        stop = _advance(raw, at, int(after[0])) if len(after) else at
+                    if stop == first:
+                        continue
+                    row = (key.as_py(), rid, k, decoded(_back(raw, first, overlap + 1), first), decoded(first, stop))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+                    first, k = stop, k + 1
+
+    return run
+
+
+def _range_cuts(halo: str, own: str, limit: int, overlap: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Boundaries and pieces of a range with its halo, counted from the halo's start."""
+    after, before = boundary_places(halo + own), len(halo)
+    return after, cut_between(after, overlap_start(after, before, overlap), before, before + len(own), limit, overlap)
+
+
+def _range_table(limit: int, overlap: int):
+    """A range's length and pieces, its first boundary, the long runs that end in it, and the stretch that it leaves open."""
+    schema = pa.schema([("rid", pa.string()), ("k", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("first", pa.int64()), ("inner", pa.list_(pa.int64())), ("open", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                after, cuts = _range_cuts(r["halo"], r["own"], limit, overlap)
+                fresh = not r["halo"] or _TABLE[min(ord(r["halo"][-1]), 0xFFFF)]
+                n, own = len(r["own"]), after[after > len(r["halo"])] - len(r["halo"])
+                starts = np.concatenate(([0] if fresh else [], own[own < n])).astype(np.int64)
+                ends = (own if fresh else own[1:]) - 1
+                closed = starts[: len(ends)]
+                row = (r["rid"], r["k"], n, len(cuts), int(own[0]) - 1 if len(own) else None, closed[ends - closed > limit].tolist(), int(starts[-1]) if len(starts) > len(ends) else None)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+
+    return run
+
+
+def _range_pieces(limit: int, overlap: int):
+    schema = _PIECES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                _, cuts = _range_cuts(r["halo"], r["own"], limit, overlap)
+                text, shift, runs = r["halo"] + r["own"], r["base"] - len(r["halo"]), np.array(sorted(r["runs"]), np.int64)
+                at = np.searchsorted(runs, [r["base"], *(b + shift for _, b in cuts)])
+                rows = [(r["row"], r["skip"] + k, a + shift, b + shift, text[a:b], runs[at[k] : at[k + 1]].tolist(), r["has_run"]) for k, (a, b) in enumerate(cuts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _split_ranges(giants: DataFrame, limit: int, overlap: int, range_size: int) -> DataFrame:
+    """Pieces of texts longer than a range: each range is cut on its own and placed by prefix sums."""
+    ranges = cut(giants.mapInArrow(_cut_ranges(overlap, range_size), "row string, rid string, k long, halo string, own string").repartition("rid", "k"))
+    table = ranges.mapInArrow(_range_table(limit, overlap), "rid string, k long, n long, m long, first long, inner array<bigint>, open long")
+    item = Window.partitionBy("rid")
+    before, later = item.orderBy("k").rowsBetween(Window.unboundedPreceding, -1), item.orderBy("k").rowsBetween(1, Window.unboundedFollowing)
+    placed = table.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("skip", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    ends = F.coalesce(F.first(F.col("base") + F.col("first"), ignorenulls=True).over(later), F.sum("n").over(item))
+    stretch = F.when(ends - F.col("base") - F.col("open") > limit, F.array("open")).otherwise(F.array().cast("array<bigint>"))
+    runs = F.transform(F.concat("inner", stretch), lambda x: x + F.col("base"))
+    found = placed.withColumn("runs", runs).withColumn("has_run", F.max(F.size("runs") > 0).over(item)).select("rid", "k", "base", "skip", "runs", "has_run")
+    return ranges.join(found, ["rid", "k"]).mapInArrow(_range_pieces(limit, overlap), _ROWS)
+
+
 def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_size: int = RANGE) -> DataFrame:
     """Pieces of the items that exceed ``limit`` code points.
 
     Columns: the key, piece_no, start, end (0-based code points, end exclusive), piece,
     runs (starts of the stretches over the limit without a boundary that begin in the
     piece's own part), has_run. Items within the limit, null and empty ones have no
-    row: they need no cut. Repeated rows are cut once each.
+    row: they need no cut. Repeated rows are cut once each. An item longer than a range
+    is dealt out: no worker decodes or tables more than two ranges of it.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be under the limit")
     long = df.select(F.col(key).cast("string").alias("row"), F.col(text).alias("text")).where(F.length("text") > limit)
-    out = long.mapInArrow(_split(limit, overlap, range_size), "row string, piece_no int, start long, end long, piece string, runs array<bigint>, has_run boolean")
+    giant = (F.octet_length("text") > range_size) & (F.length("text") > range_size)
+    out = long.where(~giant).mapInArrow(_split(limit, overlap, range_size), _ROWS).unionAll(_split_ranges(long.where(giant), limit, overlap, range_size))
     return out.select(F.col("row").cast(df.schema[key].dataType).alias(key), "piece_no", "start", "end", "piece", "runs", "has_run")
 
 

@@ -170,6 +170,34 @@ def test_split_items_edges(spark):
     assert splitting.split_items(texts(spark, rows).limit(0), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("range_size", [3000, 450])
+def test_long_items_go_by_ranges(spark, monkeypatch, range_size):
+    rng = random.Random(8)
+    one = lambda: rng.choice(["word ", "日本語。", "x" * rng.randint(1, 900), "é, ", "𝒳", "y" * rng.choice([1, 1, 1, 4000])])
+    rows = [(i, "".join(one() for _ in range(rng.randint(1, 120)))) for i in range(12)]
+    rows += [(20, "z" * 9000), (21, ("w " * 1499 + "w" * 701) * 3), (22, "𝒳 " * 4000), (22, "𝒳 " * 4000), (23, " " * 3000 + "v" * 3000 + " " * 3000)]
+    seen = lambda r: (r.piece_no, r.start, r.end, r.piece, tuple(sorted(r.runs)), r.has_run)
+    want = []
+    for i, t in rows:
+        cuts, runs = splitting.pieces(t, 500, 100, range_size)
+        ends = [0, *(b for _, b in cuts)]
+        want += [(i, k, a, b, t[a:b], tuple(r for r in runs if ends[k] <= r < b), bool(runs)) for k, (a, b) in enumerate(cuts) if len(t) > 500]
+    # the way for texts in memory sees no text longer than a range
+    plain = splitting._split
+
+    def guarded(limit, overlap, size):
+        def run(batches):
+            for batch in batches:
+                assert all(len(t) <= size for t in batch.column(1).to_pylist())
+                yield from plain(limit, overlap, size)(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(splitting, "_split", guarded)
+    got = splitting.split_items(texts(spark, rows), "id", "text", 500, 100, range_size).collect()
+    assert sorted((r.id, *seen(r)) for r in got) == sorted(want)
+
+
 def test_files_by_ranges(spark, tmp_path):
     rng = random.Random(7)
     text = "".join(rng.choice(["word ", "日本語。", "x" * rng.randint(1, 900), "é, ", "𝒳"]) for _ in range(1500))
