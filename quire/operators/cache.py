@@ -40,19 +40,25 @@ def unexpired(log: DataFrame, now: float) -> DataFrame:
 
 
 def _fold(capacity: int, threshold: float | None):
+    """Folds logs in order of shard and time; between batches only the entries of one cache are held."""
+
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: OrderedDict = OrderedDict()
+        shard = None
         for rows in pages:
-            rows = rows.sort_values(["ts", "log_no"], kind="stable")
             out = []
             for r in rows.itertuples(index=False):
+                if r.shard != shard:
+                    held.clear()
+                    shard = r.shard
+                vector = None if threshold is None or r.vector is None else list(map(float, r.vector))
                 if r.op == "evict":
                     held.pop(r.key, None)
                 elif r.op == "put":
                     # only a new key can exceed the capacity
                     if r.key not in held and len(held) >= capacity:
                         held.popitem(last=False)
-                    held[r.key] = (r.ts, r.ttl_s, r.vector if threshold is not None else None)
+                    held[r.key] = (r.ts, r.ttl_s, vector)
                     held.move_to_end(r.key)
                 elif r.op == "get":
                     kind = "miss"
@@ -65,13 +71,13 @@ def _fold(capacity: int, threshold: float | None):
                         else:
                             held.move_to_end(r.key)
                             kind = "exact"
-                    elif threshold is not None and r.vector is not None:
+                    elif vector is not None:
                         best, key = threshold, None
                         for k, (ts, ttl, v) in held.items():
-                            if v is None or len(v) != len(r.vector) or ttl == ttl and ttl is not None and r.ts - ts > ttl:
+                            if v is None or len(v) != len(vector) or ttl == ttl and ttl is not None and r.ts - ts > ttl:
                                 continue
-                            a, b = sum(x * x for x in v) ** 0.5, sum(x * x for x in r.vector) ** 0.5
-                            s = sum(x * y for x, y in zip(v, r.vector)) / (a * b) if a and b else 0.0
+                            a, b = sum(x * x for x in v) ** 0.5, sum(x * x for x in vector) ** 0.5
+                            s = sum(x * y for x, y in zip(v, vector)) / (a * b) if a and b else 0.0
                             if s > best or s == best and key is None:
                                 best, key = s, k
                         if key is not None:
@@ -80,28 +86,27 @@ def _fold(capacity: int, threshold: float | None):
                     out.append((r.log_no, r.shard, r.key, kind))
             yield pd.DataFrame(out, columns=["log_no", "shard", "key", "kind"])
 
-    def per_shard(rows: pd.DataFrame) -> pd.DataFrame:
-        return next(iter(run(iter([rows]))))
-
-    return per_shard
+    return run
 
 
-def fold(log: DataFrame, capacity: int, threshold: float | None = None, shards: int = 64) -> DataFrame:
+def fold(log: DataFrame, capacity: int, threshold: float | None = None, shards: int = 1) -> DataFrame:
     """Gets with their kind under a capacity (least recently used goes) and, with ``threshold``, similarity.
 
-    The cache is a set of independent shards by hash of the key (of the vector's
-    signs where similarity counts), each of ``capacity`` entries, as a distributed
-    cache is: a shard's log is folded in order of time. ``threshold`` needs a column
-    ``vector``. Columns: log_no, shard, key, kind (exact, similar, expired, miss).
+    One cache of ``capacity`` entries, its log folded in order of time: each step depends on
+    all before it, so the fold is one task, which holds the entries of the cache and no more
+    of the log than a batch. ``shards`` above 1 asks for as many independent caches by hash of
+    the key instead, each of ``capacity`` entries; a similar entry may be in any of them, so
+    ``threshold`` has one cache only. It needs a column ``vector``. Columns: log_no, shard,
+    key, kind (exact, similar, expired, miss).
     """
+    if threshold is not None and shards != 1:
+        raise ValueError("similarity is searched in one cache")
     given = log.where("key is not null and ts is not null")
-    if threshold is None:
-        given = given.withColumn("vector", F.lit(None).cast("array<double>"))
-        shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    else:
-        shard = F.pmod(F.xxhash64(F.transform(F.slice("vector", 1, 6), lambda x: x > 0)), F.lit(shards))
-    dealt = given.withColumn("shard", F.coalesce(shard, F.lit(0)).cast("int")).select("log_no", "key", "op", "ttl_s", "ts", "vector", "shard")
-    return dealt.groupBy("shard").applyInPandas(_fold(capacity, threshold), "log_no long, shard int, key string, kind string")
+    vector = [] if threshold is None else ["vector"]
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    dealt = given.withColumn("shard", shard).select("log_no", "key", "op", "ttl_s", "ts", *vector, "shard")
+    order = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "ts", "log_no")
+    return order.mapInPandas(_fold(capacity, threshold), "log_no long, shard int, key string, kind string")
 
 
 def query_key(text: str) -> Column:

@@ -122,6 +122,41 @@ def test_cache_similar_and_expired(spark):
     assert {r.log_no: r.kind for r in C.fold(df, 5, 0.9).collect()} == {2: "similar", 3: "expired"}
 
 
+def plain_cache(rows, capacity, threshold):
+    held, out = [], {}  # least recently used first
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    for n, key, op, ttl, ts, v in sorted(rows, key=lambda r: (r[4], r[0])):
+        own = next((e for e in held if e[0] == key), None)
+        if own and op in ("put", "evict"):
+            held.remove(own)
+        if op == "put":
+            held = [*held[max(0, len(held) + 1 - capacity) :], (key, ttl, ts, v)]
+        elif op == "get":
+            live = [e for e in held if e[1] is None or ts - e[2] <= e[1]]
+            near = max((e for e in live if threshold and cos(e[3], v) >= threshold), key=lambda e: cos(e[3], v), default=None)
+            hit, out[n] = (own, "exact" if own in live else "expired") if own else (near, "similar") if near else (None, "miss")
+            if hit:
+                held.remove(hit)
+                held += [hit] if out[n] != "expired" else []
+    return out
+
+
+@pytest.mark.parametrize("threshold", [None, 0.8])
+def test_cache_is_one_of_its_capacity(spark, threshold):
+    import random
+
+    rng = random.Random(3)
+    # the vectors of neighbouring keys are similar and differ in the signs of their coordinates
+    vector = {f"k{i}": [1.0 + i / 100, 0.5, *(0.01 * rng.choice([-1, 1]) * (1 + rng.random()) for _ in range(4))] if i % 2 else [rng.gauss(0, 1) for _ in range(6)] for i in range(40)}
+    rows = []
+    for n in range(1500):
+        key = rng.choice(list(vector))
+        rows.append((n, key, rng.choice(["get", "get", "get", "put", "put", "evict"]), rng.choice([None, 20.0]), float(rng.randrange(1000)), vector[key]))
+    df = spark.createDataFrame(rows, "log_no long, key string, op string, ttl_s double, ts double, vector array<double>").repartition(4)
+    want = plain_cache(rows, 6, threshold)
+    assert {r.log_no: r.kind for r in C.fold(df, 6, threshold).collect()} == want and len(set(want.values())) == (4 if threshold else 3)
+
+
 BLOCK = "block_id string, doc_id long, type string, page int, coordinates array<double>, content string, caption string, extracted_text string, markdown string, formula_text string, latex string"
 
 
