@@ -34,11 +34,10 @@ def distinct_lines(text: Column | str) -> Column:
 
 
 def unwrap_answer(text: Column | str) -> Column:
-    """A model's answer without the enclosing code fence and the enclosing quotes."""
-    bare = F.trim(F.regexp_replace(_col(text), f"^{SPACE}+|{SPACE}+$", ""))
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^```[A-Za-z]*\n?", ""), r"\n?```$", "")
-    bare = F.regexp_replace(bare, f"^{SPACE}+|{SPACE}+$", "")
-    return F.regexp_replace(bare, "^\"([\\s\\S]*)\"$|^'([\\s\\S]*)'$", "$1$2")
+    """A model's answer without the enclosing code fence and the enclosing quotes; a mark on one side only stays."""
+    strip = lambda x: F.regexp_replace(x, rf"\A{SPACE}+|{SPACE}+\z", "")
+    bare = strip(F.regexp_replace(strip(_col(text)), r"\A```(?:[A-Za-z]*\n)?([\s\S]*)```\z", "$1"))
+    return strip(F.regexp_replace(bare, r"""\A"([\s\S]*)"\z|\A'([\s\S]*)'\z""", "$1$2"))
 
 
 def keyword_score(text: Column | str, keywords: Column | str) -> Column:
@@ -95,6 +94,6 @@ def page_text(html: Column | str) -> Column:
     for rx in (r"(?is)<body[^>]*>(.*)</body>", r'(?is)<div[^>]*class="main"[^>]*>(.*?)</div>', r'(?is)<div[^>]*id="main"[^>]*>(.*?)</div>', r'(?is)<div[^>]*class="content"[^>]*>(.*?)</div>', r'(?is)<div[^>]*id="content"[^>]*>(.*?)</div>', r"(?is)<article[^>]*>(.*?)</article>", r"(?is)<main[^>]*>(.*?)</main>"):
         hit = F.regexp_extract(body, rx, 1)
         part = F.when(hit != "", hit).otherwise(part)
-    lines = F.filter(F.transform(F.split(F.regexp_replace(F.when(part != "", part).otherwise(body), "<[^>]*>", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.when(part != "", part).otherwise(body), r"<!--[\s\S]*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     title = page_title(html)
     return F.concat(F.when(title != "", F.concat(title, F.lit("\n"))).otherwise(F.lit("")), F.array_join(lines, "\n"))

@@ -40,6 +40,11 @@ def test_unwrap_answer(spark):
     assert one(spark, T.unwrap_answer("t"), t="plain") == "plain"
 
 
+@pytest.mark.parametrize("answer, want", [("```x", "```x"), ("x\n```", "x\n```"), ("```hello```", "hello"), ("```py\n' a '\n```", "a"), ("\"x", "\"x"), ("\" x \"", "x"), ("\"x'", "\"x'"), ("say \"x\"", "say \"x\"")])
+def test_unwrap_answer_needs_both_sides(spark, answer, want):
+    assert one(spark, T.unwrap_answer("t"), t=answer) == want
+
+
 def test_keyword_score_without_keywords(spark):
     df = spark.createDataFrame([("The Cat", ["cat", "dog"]), ("x", [])], "t string, k array<string>")
     assert [r[0] for r in df.select(T.keyword_score("t", "k")).collect()] == [0.5, 0.0]

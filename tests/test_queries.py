@@ -36,6 +36,38 @@ def test_gives_rows(spark, data, name):
     assert QUERIES[name](spark, data).limit(1).count() >= 0
 
 
+def test_all_answers_and_pages(spark, tmp_path):
+    import html.parser
+
+    texts = ["plain", " a ", "\"said\"", "'said'", "it's '", "``` x", "x\n```", "```py\ny\n```", "\u3000z\u3000", "", "a <b>bold</b> c", "> one\n> two", "1 < 2 and 3 > 2", "x <- y", "<!-- gone -->k", "<p>q</p>\n\n <i>r", None]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    spark.createDataFrame([*rows, (99, "<b>", None)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    class Reader(html.parser.HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            self.at = [*getattr(self, "at", []), "\n"]
+
+        def handle_endtag(self, tag):
+            self.at.append("\n")
+
+        def handle_comment(self, data):
+            self.at.append("\n")
+
+        def handle_data(self, data):
+            self.at.append(data)
+
+    def page(t):
+        reader = Reader()
+        reader.feed(f"<p>{t}</p>")
+        reader.close()
+        return "s\n" + "\n".join(x for line in "".join(reader.at).split("\n") if (x := line.strip(" ")))
+
+    answers = {r.doc_id: r.text for r in QUERIES["text_llm_postprocess_all"](spark, str(tmp_path)).collect()}
+    assert answers.pop(99) == "<b>" and answers == {i: t.strip() for i, t, _ in rows if t is not None}
+    pages = {r.doc_id: (r.title, r.text) for r in QUERIES["web_text_all"](spark, str(tmp_path)).collect()}
+    assert pages == {i: ("s", page(t)) for i, t, _ in rows if t is not None}
+
+
 def test_entry(spark, data):
     import __spark_entry__ as entry
 
