@@ -140,7 +140,7 @@ def windows_of(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     raw = [u.lower().encode("utf-8", "replace") for u in units]
     size = np.array([len(r) for r in raw], dtype=np.int64)
-    count = np.maximum(1, -(-(size - WINDOW // 2) // WINDOW))
+    count = np.maximum(1, -(-size // WINDOW))
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
     owner = np.repeat(np.arange(len(units)), count)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)

@@ -34,6 +34,14 @@ def test_labels():
     assert [language.label_code(x) for x in (None, "", " UND ", "n/a", "en-GB", "eng", "English", "zh_Hans", "pt (BR)", "klingon")] == [None, None, None, None, "en", "en", "en", "zh", "pt", "klingon"]
 
 
+def test_windows_cover_the_unit():
+    sizes = [0, 1, 63, 64, 65, 96, 97, 128, 129, 160, 300]
+    windows, count = language.windows_of([bytes([97 + i % 26 for i in range(n)]).decode() for n in sizes])
+    assert count.tolist() == [max(1, -(-n // language.WINDOW)) for n in sizes]
+    lasts = windows[np.cumsum(count) - 1, : language.WINDOW]
+    assert all(row[min(n, language.WINDOW) - 1] == 97 + (n - 1) % 26 for n, row in zip(sizes, lasts) if n)
+
+
 def test_network_tells_held_out_sentences(net):
     held = {"en": "The boat carries her letter to the old house.", "de": "Das Boot trägt ihren Brief in das alte Haus.", "ru": "Лодка несёт её письмо в старый дом.", "zh": "船把她的信带到古老的屋里。"}
     p = language.text_probabilities(net, list(held.values()))
