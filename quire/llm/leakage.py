@@ -51,7 +51,7 @@ class Index:
         mean = sum(length.values()) / max(1, len(usable))
         df = Counter(t for i in usable for t in set(pairs[i]))
         idf = {t: math.log(1 + (len(usable) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        self.grams: dict[int, set[tuple[int, ...]]] = {}
+        self.grams: dict[int, dict[tuple[int, ...], list[int]]] = {}
         postings: dict[int, list[tuple[int, float]]] = {}
         for i in usable:
             tf = Counter(pairs[i])
@@ -61,7 +61,9 @@ class Index:
             least = min(sum(weight[t] for t in set(own[k : k + run - 1])) for k in range(len(own) - run + 2))
             for t, w in weight.items():
                 postings.setdefault(t, []).append((i, w / least))
-            self.grams[i] = {tuple(ids[i][k : k + run]) for k in range(len(ids[i]) - run + 1)}
+            self.grams[i] = {}
+            for k in range(len(ids[i]) - run + 1):
+                self.grams[i].setdefault(tuple(ids[i][k : k + run]), []).append(k)
         self.terms = np.array(sorted(postings), dtype=np.int64)
         self.lists = [postings[t] for t in self.terms.tolist()]
         self.docs = [[i for i, _ in p] for p in self.lists]
@@ -121,14 +123,15 @@ class Index:
             at = {t: k for t, k in at.items() if k < len(docs[t])}
         return out
 
-    def verify(self, passage: list[int], item: int) -> int:
-        """Length of the longest run of tokens that the passage shares with the item, 0 if under ``run``."""
-        grams, run, best, k, n = self.grams[item], self.run, 0, 0, len(passage)
-        held = 0
-        while k <= n - run:
-            held = held + 1 if tuple(passage[k : k + run]) in grams else 0
-            best = max(best, held and held + run - 1)
-            k += 1
+    def verify(self, text: list[int], item: int) -> int:
+        """Length of the longest run of tokens that the text shares with the item, 0 if under ``run``."""
+        grams, run, best = self.grams[item], self.run, 0
+        held: dict[int, int] = {}
+        for k in range(len(text) - run + 1):
+            # places of the item that go on from the place matched one token before
+            held = {at: held.get(at - 1, run - 1) + 1 for at in grams.get(tuple(text[k : k + run]), ())}
+            if held:
+                best = max(best, max(held.values()))
         return best
 
 
@@ -158,15 +161,15 @@ def _search(index: Index, names: list[str], normal: Rewriter, passage: int):
                 upper = np.concatenate(([0.0], np.cumsum(np.where(hit, index.best[place], 0.0))))
                 starts = np.arange(0, max(1, len(ids) - index.run + 1), step)
                 ends = np.minimum(starts + passage - 1, len(pair))
-                found: dict[int, tuple[int, float]] = {}
+                scored: dict[int, float] = {}
                 for s, e in zip(starts[upper[ends] - upper[starts] >= 1 - 1e-6].tolist(), ends[upper[ends] - upper[starts] >= 1 - 1e-6].tolist()):
                     terms = np.unique(place[s:e][hit[s:e]]).tolist()
-                    own = ids[s : e + 1].tolist()
                     for item, score in index.search(terms):
-                        if (n := index.verify(own, item)) > found.get(item, (0, 0.0))[0]:
-                            found[item] = (n, score)
-                for item, (n, score) in found.items():
-                    keys.append(row), items.append(names[item]), runs.append(n), scores.append(score)
+                        scored[item] = max(score, scored.get(item, 0.0))
+                whole = ids.tolist() if scored else []
+                for item, score in scored.items():
+                    if n := index.verify(whole, item):
+                        keys.append(row), items.append(names[item]), runs.append(n), scores.append(score)
             yield pa.RecordBatch.from_arrays([own_keys.take(pa.array(keys, pa.int64())), pa.array(items, pa.string()), pa.array(runs, pa.int32()), pa.array(scores, pa.float64())], schema=schema)
 
     return run
@@ -175,8 +178,8 @@ def _search(index: Index, names: list[str], normal: Rewriter, passage: int):
 def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, run: int = RUN, passage: int = PASSAGE, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Documents that share ``run`` or more consecutive tokens with an item.
 
-    Columns: the document's key, the item's key, shared_run (longest run seen in one
-    passage), score (BM25 of that passage over the item's threshold). Width, look-alike
+    Columns: the document's key, the item's key, shared_run (the longest run of tokens they
+    share), score (BM25 of the best passage over the item's threshold). Width, look-alike
     letters, invisible characters and kinds of blank don't count. Null and empty texts
     leak nothing; items of fewer than ``run`` tokens can't be found. Repeated rows give
     one row. The items are a stated set; each index is held to ``index_bytes`` of text,

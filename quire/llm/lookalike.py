@@ -56,6 +56,11 @@ def invisible(ch: str) -> bool:
     return unicodedata.category(ch) == "Cf" or ch in MORE_INVISIBLE or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF
 
 
+def plain(x: str) -> bool:
+    """Whether a character is nothing but itself: no radical, and no compatibility form of another one."""
+    return not unicodedata.decomposition(x).startswith("<") and "RADICAL" not in unicodedata.name(x, "") if len(x) == 1 else True
+
+
 @lru_cache(maxsize=1)
 def twins() -> tuple[tuple[str, str], ...]:
     """All pairs of strings that look alike, by rule and from the tables above."""
@@ -121,7 +126,7 @@ class Classes:
         out = {}
         for own in self.members():
             if all(len(x) < 2 for x in own):
-                best = min(own, key=lambda x: (x not in ("", " "), -count.get(x, 0), x))
+                best = min(own, key=lambda x: (x not in ("", " "), -count.get(x, 0), not plain(x), x))
                 out |= {x: best for x in own if x != best}
         return out
 
@@ -134,7 +139,7 @@ class Classes:
         return Classes((self._look(own[0], single), self._look(x, single)) for own in self.members() if any(len(x) > 1 for x in own) for x in own).members()
 
     def rewrites(self, count: Counter) -> dict[str, str]:
-        """Representative: the most frequent member; of equals the plain one (lowest code points).
+        """Representative: the most frequent member; of equals the plain one, then that of the lowest code points.
 
         The class of invisible characters always becomes the empty string and that of blanks the blank.
         Single characters are rewritten first, joined letters into their letters; where the joined

@@ -388,6 +388,23 @@ def test_leaks_are_those_of_brute_force(spark):
     assert leakage.find_leaks(df.limit(0), "id", "text", it, "item_id", "text").count() == 0 and leakage.find_leaks(df, "id", "text", it.limit(0), "item_id", "text").count() == 0
 
 
+def test_chinese_leaks_and_whole_runs(spark):
+    # a normaliser of its own: the compatibility form of the character database, which turns radicals into ideographs
+    plain = lambda t: tokens("".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf"))
+    items = [(1, "概率论里有一个方法可以用来计算方差的大小。"), (2, "一口井里有十二个人在工作，门口的马车不动。"), (3, " ".join(f"w{i}" for i in range(59)))]
+    rows = [(1, f"前言。{items[0][1][:14]}后来"), (2, items[1][1].replace("一", "⼀").replace("口", "⼝")), (3, "概率论里有两个方法可以用来"), (4, ("x " * 60) + items[2][1] + " y" * 60), (5, "一" * 40), (6, items[0][1].replace("方", "\u200b方"))]
+    got = {(r.id, r.item_id): r.shared_run for r in leakage.find_leaks(texts(spark, rows), "id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()}
+    want = {}
+    for d, t in rows:
+        for i, own in items:
+            a, b = plain(t), plain(own)
+            n = max((k for x in range(len(a)) for y in range(len(b)) for k in [next((j for j in range(len(b)) if x + j >= len(a) or y + j >= len(b) or a[x + j] != b[y + j]), len(b))]), default=0)
+            if n >= 12:
+                want[d, i] = n
+    assert got == want and got[4, 3] == 59 and {(1, 1), (2, 2), (6, 1)} <= set(got)
+    assert all(lookalike.Rewriter(lookalike.plain_table())(c) == c for c in "一方里门马食长")
+
+
 def test_wand_returns_all_above_the_threshold():
     rng = random.Random(10)
     items = [[f"t{rng.randrange(40)}" for _ in range(25)] for _ in range(60)]
