@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: Tokens a container holds, and items a group holds on average.
 CAPACITY = 2048
 GROUP_ITEMS = 4096
@@ -93,30 +95,33 @@ def cut_points(raw: bytes, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(capacity: int):
-    schema = pa.schema([("key", pa.string()), ("piece_no", pa.int32()), ("byte_start", pa.int64()), ("tokens", pa.int32())])
+    schema = pa.schema([("key", pa.string()), ("content", pa.int64()), ("piece_no", pa.int32()), ("byte_start", pa.int64()), ("tokens", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(1).cast(pa.binary())
+            text = batch.column(2).cast(pa.binary())
             size = pc.add(pc.binary_length(text), 1).to_pylist()
-            keys, no, start, tokens = [], [], [], []
-            for i, (key, n) in enumerate(zip(batch.column(0).to_pylist(), size)):
+            row, no, start, tokens = [], [], [], []
+            for i, n in enumerate(size):
                 if n <= capacity:
-                    keys.append(key), no.append(0), start.append(0), tokens.append(n)
+                    row.append(i), no.append(0), start.append(0), tokens.append(n)
                     continue
                 cuts = cut_points(text[i].as_py(), capacity)
                 for k, (at, length) in enumerate(cuts):
-                    keys.append(key), no.append(k), start.append(at), tokens.append(length + (k == len(cuts) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip((keys, no, start, tokens), schema)], schema=schema)
+                    row.append(i), no.append(k), start.append(at), tokens.append(length + (k == len(cuts) - 1))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(a, f.type) for a, f in zip((no, start, tokens), list(schema)[2:]))], schema=schema)
 
     return run
 
 
 def _fill(capacity: int):
     def run(table: pa.Table) -> pa.Table:
+        # an order of its own, so that bins don't depend on how the rows arrive
+        table = table.sort_by([("salt", "ascending"), ("key", "ascending"), ("piece_no", "ascending"), ("copy", "ascending")])
         sizes = table.column("tokens").to_pylist()
         bins = first_fit_decreasing(sizes, capacity)
-        return table.append_column("bin_no", pa.array(bins, pa.int32()))
+        return table.select(["key", "piece_no", "byte_start", "tokens", "grp"]).append_column("bin_no", pa.array(bins, pa.int32()))
 
     return run
 
@@ -129,17 +134,21 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, group_ite
     texts are not packed. Repeated rows are packed once each. A null key stays null.
     An empty input gives an empty result.
 
-    Rows are dealt to groups by a hash of the row, not of the key, so that a key
-    held by a third of all rows spreads over all groups; a group therefore holds
-    about ``group_items`` pieces whatever the input.
+    Pieces are dealt to groups by a hash of key, content, piece and copy number, so
+    containers don't depend on how the rows lie in files, and a key or a row that is
+    repeated in a third of all rows spreads over all groups. The groups are as many as
+    the counted pieces need, so each holds about ``group_items`` of them whatever the input.
     """
     if capacity < 8:
         raise ValueError("capacity must be 8 or more")
     kind = df.schema[key].dataType
-    texts = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    pieces = texts.where(F.length("text") > 0).mapInArrow(_pieces(capacity), "key string, piece_no int, byte_start long, tokens int")
-    groups = max(1, math.ceil(df.count() / group_items))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("key", "piece_no", F.monotonically_increasing_id()), F.lit(groups)))
+    texts = df.select(F.col(key).cast("string").alias("key"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
+    pieces = texts.where(F.length("text") > 0).mapInArrow(_pieces(capacity), "key string, content long, piece_no int, byte_start long, tokens int")
+    counted = cut(pieces.groupBy("key", "content", "piece_no", "byte_start", "tokens").agg(F.count("*").alias("copies")), "pieces")
+    total = counted.agg(F.sum("copies")).first()[0] or 0
+    groups = max(1, math.ceil(total / group_items))
+    single = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    salted = single.withColumn("salt", F.xxhash64("key", "content", "piece_no", "copy")).withColumn("grp", F.pmod("salt", F.lit(groups)))
     schema = "key string, piece_no int, byte_start long, tokens int, grp long, bin_no int"
-    packed = dealt.groupBy("grp").applyInArrow(_fill(capacity), schema)
+    packed = salted.select("key", "piece_no", "byte_start", "tokens", "copy", "salt", "grp").groupBy("grp").applyInArrow(_fill(capacity), schema)
     return packed.select(F.col("key").cast(kind).alias(key), "piece_no", "byte_start", "tokens", F.concat_ws("-", "grp", "bin_no").alias("container"))

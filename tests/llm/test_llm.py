@@ -362,6 +362,18 @@ def test_packing_keeps_every_token(spark):
     assert all((a + n == 4000 or "é".encode()[0] == ("é" * 2000).encode()[a + n]) for a, n in packing.cut_points(("é" * 2000).encode(), 2048))
 
 
+def test_packing_is_the_same_however_rows_lie(spark):
+    rows = [(k % 50, f"text {k % 70} " * (k % 90)) for k in range(2000)] + [(7, "é" * 9000)] * 3 + [(8, "copy")] * 3000
+    df = texts(spark, rows)
+    a, b = (sorted((r.id, r.piece_no, r.byte_start, r.tokens, r.container) for r in packing.pack(x, "id", "text", group_items=200).collect()) for x in (df.repartition(2), df.orderBy(F.rand(3)).repartition(7)))
+    assert a == b
+    groups = {}
+    for _, _, _, n, c in a:
+        groups.setdefault(c.split("-")[0], []).append(n)
+    # the copies of one row, and the pieces of large ones, are spread over groups of about that many pieces
+    assert sum(n for own in groups.values() for n in own) == sum(len(t.encode()) + 1 for _, t in rows if t) and max(map(len, groups.values())) < 300
+
+
 # 9 ----------------------------------------------------------------------------
 def test_leaks_are_those_of_brute_force(spark):
     rng = random.Random(9)
