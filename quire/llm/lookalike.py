@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread
+from .shared import cut, spread
 
 # Letters of other scripts that look like a Latin one.
 LATIN_TWINS = {
@@ -276,19 +276,24 @@ def _ambiguous(forms: DataFrame) -> DataFrame:
     return forms.where(F.col("form_hash").isNotNull()).groupBy("form_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo <> hi").select("form_hash")
 
 
+def _hashes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The key, form_hash and text_hash of every row, written once: what is asked of them is asked several times."""
+    return cut(canonical(df, key, text).select(key, "form_hash", "text_hash"), "forms")
+
+
 def same_look_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows whose text looks like a different text: the key, class_id (its smallest key), n_texts.
 
     One row a document; null texts and texts of one form only have none.
     """
-    forms = canonical(df, key, text).select(key, "form_hash", "text_hash").distinct()
+    forms = _hashes(df, key, text).distinct()
     groups = forms.where("form_hash is not null").groupBy("form_hash", "text_hash").agg(F.min(key).alias("lo")).groupBy("form_hash").agg(F.min("lo").alias("class_id"), F.count("*").alias("n_texts")).where("n_texts > 1")
     return forms.join(groups, "form_hash").select(key, "class_id", "n_texts").distinct()
 
 
 def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs of keys (a < b) whose different texts have one form. Exact copies are no pair."""
-    forms = canonical(df, key, text).select(key, "form_hash", "text_hash")
+    forms = _hashes(df, key, text)
     kept = forms.join(_ambiguous(forms), "form_hash", "left_semi").distinct()
     a = kept.select(F.col(key).alias("a"), "form_hash", F.col("text_hash").alias("ta"))
     b = kept.select(F.col(key).alias("b"), "form_hash", F.col("text_hash").alias("tb"))
