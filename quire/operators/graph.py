@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .search import top_k
 
 
@@ -13,7 +14,8 @@ def associations(entries: DataFrame, core: DataFrame, depth: int = 2, fan: int =
 
     ``core`` has a column ``id``. Each entry of the frontier is linked to its ``fan`` most
     similar entries that no earlier level has visited; those are the next frontier. One
-    batched search a level; visited entries are excluded by an anti-join.
+    batched search a level, whose edges are written before the next one starts from them, so
+    that no level is searched twice; visited entries are excluded by an anti-join.
     """
     spark = entries.sparkSession
     kind = entries.schema["id"].dataType.simpleString()
@@ -23,7 +25,7 @@ def associations(entries: DataFrame, core: DataFrame, depth: int = 2, fan: int =
         queries = entries.join(frontier, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
         open_ = entries.join(visited, "id", "left_anti")
         hits = top_k(open_, queries, fan).where(F.col("similarity") >= threshold)
-        edges = hits.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.lit(level).alias("level"), "similarity")
+        edges = cut(hits.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.lit(level).alias("level"), "similarity"))
         out = out.unionAll(edges)
         frontier = edges.select(F.col("dst").alias("id")).distinct()
         visited = visited.unionAll(frontier).distinct()

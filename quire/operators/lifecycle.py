@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
+from .lineage import cut
+
 HALF_DAY = 12 * 3600.0
 DAY = 86400.0
+#: Rows that a range has on average when ranks are counted.
+RANGE_ROWS = 500_000
 
 
 def _col(c: Column | str) -> Column:
@@ -52,17 +56,39 @@ def access_counts(log: DataFrame, key: str, ts: str) -> DataFrame:
     return log.groupBy(key).agg(F.count("*").alias("access_count"), F.max(ts).alias("last_accessed"))
 
 
+def _nth(entries: DataFrame, order: str, key: str, n: int, total: int) -> tuple:
+    """The n-th smallest (order, key) of all rows, nulls first.
+
+    The two columns are dealt into ranges of bounded size and counted; only the range that
+    holds the n-th row is sorted. One row of it comes to the driver, and a count a range.
+    """
+    first = F.col("o").asc_nulls_first()
+    pairs = entries.select(F.col(order).alias("o"), F.col(key).alias("k"))
+    ranged = cut(pairs.repartitionByRange(max(1, -(-total // RANGE_ROWS)), first, "k").withColumn("p", F.spark_partition_id()))
+    for p, size in sorted((r.p, r.n) for r in ranged.groupBy("p").agg(F.count("*").alias("n")).collect()):
+        if n <= size:
+            row = ranged.where(F.col("p") == p).orderBy(first, "k").offset(n - 1).limit(1).first()
+            return row.o, row.k
+        n -= size
+    raise ValueError("fewer rows than that")
+
+
 def trim(entries: DataFrame, order: str, most: int, key: str = "id", share: float = 0.8) -> DataFrame:
     """Entries that stay when more than ``most`` are trimmed to ``share`` of it, lowest ``order`` first, ties by key.
 
-    Only keys are sorted; the rows themselves are joined, not ordered.
+    Nulls of ``order`` go first. Keys are unique and not null. The last entry that goes is found
+    by counting ranges; what stays is then a filter, without a sort or join of the entries.
     """
     total = entries.count()
     drop = total - int(share * most) if total > most else 0
     if drop <= 0:
         return entries
-    ranked = entries.orderBy(F.col(order).asc_nulls_first(), key).limit(drop).select(key)
-    return entries.join(ranked, key, "left_anti")
+    value, last = _nth(entries, order, key, drop, total)
+    behind = F.col(key) > F.lit(last)
+    if value is None:
+        return entries.where(F.col(order).isNotNull() | behind)
+    kind = entries.schema[order].dataType
+    return entries.where((F.col(order) > F.lit(value).cast(kind)) | ((F.col(order) == F.lit(value).cast(kind)) & behind))
 
 
 def recent(log: DataFrame, order: str, capacity: int, n: int) -> DataFrame:

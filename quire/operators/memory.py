@@ -6,6 +6,10 @@ Entries have ``id``, ``text``, ``embedding``, ``ts`` (epoch seconds), queries ``
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +20,24 @@ from .search import rank_hits, top_k
 DAY = 86400.0
 
 
+def _most_common(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = [[w for w, _ in Counter(words).most_common(n)] for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.list_(pa.string()))], names=[batch.schema.names[0], "keywords"])
+
+    return run
+
+
 def keywords(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """The n most frequent words of each text, ties by first occurrence: the key, keywords, in order."""
-    words = df.select(key, F.posexplode(F.split(F.lower(text), T.SPACE + "+")).alias("pos", "word"))
-    kept = words.where((F.length("word") > 1) & ~F.col("word").isin(*T.STOPWORDS))
-    counted = kept.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    order = Window.partitionBy(key).orderBy(F.desc("n"), "first")
-    best = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
-    return best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("keywords"))
+    """The n most frequent words of each text, ties by first occurrence: the key, keywords, in order.
+
+    Words of one character and stop words are none; texts without a word have no row. Each row is
+    counted where it lies, without a shuffle.
+    """
+    words = F.filter(F.split(F.lower(text), T.SPACE + "+"), lambda w: (F.length(w) > 1) & ~w.isin(*T.STOPWORDS))
+    rows = df.where(F.col(text).isNotNull()).select(key, words.alias("words")).where(F.size("words") > 0)
+    return rows.mapInArrow(_most_common(n), f"`{key}` {df.schema[key].dataType.simpleString()}, keywords array<string>")
 
 
 def simple(entries: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.6) -> DataFrame:

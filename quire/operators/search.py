@@ -10,10 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions import vector as V
-
-#: Query vectors that one pass over the index answers; a larger query set takes several passes.
-QUERY_BLOCK = 2048
+#: Query vectors that one pass over the index answers; a larger query set meets the index in a grid of boxes of about so many rows.
+QUERY_BLOCK = 4096
+ROW_BOX = 65536
 
 
 def latest_state(log: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
@@ -46,62 +45,128 @@ def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return out if metric == "raw_cosine" else np.clip(out, 0, 1)
 
 
-def _partial(keys: list, matrix: np.ndarray, k: int, metric: str, digits: int, kind: pa.DataType):
-    schema = pa.schema([("query_id", kind), ("id", kind), ("similarity", pa.float64())])
+def _rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a list column that have ``dim`` numbers, as a matrix, and their places."""
+    sized = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    rows = column.filter(sized).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    whole = ~np.isnan(rows).any(axis=1)
+    return rows[whole], np.flatnonzero(sized.to_numpy(zero_copy_only=False))[whole]
+
+
+def _by_size(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(matrix, places) of the vectors of each size that occurs."""
+    sizes = pc.unique(pc.list_value_length(column).drop_null()).to_pylist()
+    return [_rows(column, n) for n in sizes if n]
+
+
+def _chunk_best(asked: np.ndarray, keys: np.ndarray, rows: np.ndarray, names: np.ndarray, k: int, metric: str, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query keys, names, scores) of the k best rows of each query; of equal scores the smaller name."""
+    for a in range(0, len(asked), 1024):
+        score = np.round(_scores(asked[a : a + 1024], rows, metric), digits) + 0.0
+        for q, row in enumerate(score):
+            chosen = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+            chosen = chosen[np.lexsort((names[chosen], -row[chosen]))][:k]
+            yield np.repeat(keys[a + q : a + q + 1], len(chosen)), names[chosen], row[chosen]
 
+
+def _hits(found: list, schema: pa.Schema) -> pa.RecordBatch:
+    parts = [np.concatenate([f[i] for f in found]).tolist() if found else [] for i in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(parts, schema)], schema=schema)
+
+
+def _one_pass(asked: list[tuple[np.ndarray, np.ndarray]], k: int, metric: str, digits: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim = matrix.shape[1]
         for batch in batches:
-            column, ids = batch.column(1), batch.column(0)
-            sized = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
-            rows = column.filter(sized).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            whole = ~np.isnan(rows).any(axis=1)
-            rows = rows[whole]
-            if not len(rows):
-                continue
-            names = np.array(ids.filter(sized).to_pylist())[whole]
-            score = np.round(_scores(matrix, rows, metric), digits) + 0.0
-            out: tuple[list, list, list] = ([], [], [])
-            for q, row in enumerate(score):
-                chosen = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
-                chosen = chosen[np.lexsort((names[chosen], -row[chosen]))][:k]
-                out[0].extend([keys[q]] * len(chosen)), out[1].extend(names[chosen].tolist()), out[2].extend(row[chosen].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+            found: list = []
+            for keys, matrix in asked:
+                rows, places = _rows(batch.column(1), matrix.shape[1])
+                if len(rows):
+                    names = np.array(batch.column(0).take(pa.array(places)).to_pylist())
+                    found += _chunk_best(matrix, keys, rows, names, k, metric, digits)
+            yield _hits(found, schema)
 
     return run
 
 
+def _one_box(k: int, metric: str, digits: int, schema: pa.Schema):
+    """The best rows of one box for the queries that meet it, kept to k a query while its rows pass."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        held: dict[int, list] = {}
+        if not len(rows) or not len(queries):
+            return schema.empty_table()
+        column, names = rows.column("v").combine_chunks(), rows.column("id").combine_chunks()
+        asked = queries.column("query_vector").combine_chunks()
+        for matrix, at in _by_size(asked):
+            for start in range(0, len(rows), 8192):
+                values, places = _rows(column.slice(start, 8192), matrix.shape[1])
+                if not len(values):
+                    continue
+                own = np.array(names.take(pa.array(places + start)).to_pylist())
+                for q, n, s in _chunk_best(matrix, at, values, own, k, metric, digits):
+                    if len(q):
+                        if int(q[0]) in held:
+                            n, s = (np.concatenate(x) for x in ((held[int(q[0])][0], n), (held[int(q[0])][1], s)))
+                            best = np.lexsort((n, -s))[:k]
+                            n, s = n[best], s[best]
+                        held[int(q[0])] = [n, s]
+        keys = queries.column("query_id").combine_chunks()
+        at = np.repeat(np.fromiter(held, np.int64, len(held)), [len(n) for n, _ in held.values()])
+        both = [pa.array(np.concatenate([x[i] for x in held.values()]).tolist() if held else [], schema.field(i + 1).type) for i in range(2)]
+        return pa.Table.from_arrays([keys.take(pa.array(at, pa.int64())), *both], schema=schema)
+
+    return run
+
+
+def _kind(df: DataFrame, key: str) -> tuple[str, pa.DataType]:
+    name = df.schema[key].dataType.simpleString()
+    return name, {"bigint": pa.int64(), "int": pa.int32()}.get(name, pa.string())
+
+
+def _search_boxes(vectors: DataFrame, queries: DataFrame, k: int, metric: str, digits: int, box: int, asked: int, least: int = 1) -> DataFrame:
+    """Hits of (id, v, cell) for (query_id, query_vector, cell), cell by cell.
+
+    A cell of any size is dealt by hash into boxes of about ``box`` rows and its queries into
+    sets of about ``asked``; each box meets each set in one task, which returns k hits a query
+    at most. Only the counts of the cells, which the index bounds, are broadcast.
+    """
+    name, kind = _kind(vectors, "id")
+    wanted, q_kind = _kind(queries, "query_id")
+    schema = pa.schema([("query_id", q_kind), ("id", kind), ("similarity", pa.float64())])
+    rows_of = vectors.groupBy("cell").agg(F.greatest(F.lit(least), F.ceil(F.count("*") / box)).cast("int").alias("boxes"))
+    sets_of = queries.groupBy("cell").agg(F.ceil(F.count("*") / asked).cast("int").alias("sets"))
+    plan = F.broadcast(rows_of.join(sets_of, "cell"))
+    left = vectors.join(plan, "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id", "v"), F.col("boxes")).cast("int").alias("box"), F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("set"))
+    right = queries.join(plan, "cell").select("query_id", "query_vector", "cell", F.explode(F.sequence(F.lit(0), F.col("boxes") - 1)).alias("box"), F.pmod(F.xxhash64("query_id"), F.col("sets")).cast("int").alias("set"))
+    keys = ("cell", "box", "set")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_one_box(k, metric, digits, schema), f"query_id {wanted}, id {name}, similarity double")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "id", vector: str = "embedding", digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
     """The k most similar rows of the index for every query: query_id, id, similarity, rank.
 
-    ``queries`` is a stated set with columns ``query_id`` and ``query_vector``; it is read in
-    blocks of a bounded number of vectors, each scored against all rows with one product per
-    Arrow batch. Every batch passes on its own k best only. Similarities are rounded to
-    ``digits`` before ranking, ties go to the smaller id. Vectors that are null, of another size
-    or without a number somewhere match nothing; zero vectors have similarity 0. No queries or no rows give no hits.
+    ``queries`` have columns ``query_id`` and ``query_vector``. A set of up to ``block`` queries,
+    which is looked at first, goes to all executors and is scored against each Arrow batch in
+    one pass over the index, without a shuffle. A larger set is a grid: boxes of rows meet sets
+    of queries, whatever the sizes of both. Each batch or box passes on its own k best only.
+    Similarities are rounded to ``digits`` before ranking, ties go to the smaller id. Vectors
+    that are null, of another size or without a number somewhere match nothing; zero vectors
+    have similarity 0. No queries or no rows give no hits.
     """
-    name = vectors.schema[key].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32()}.get(name, pa.string())
-    out = None
-    held: list = []
-
-    def search(part: list) -> DataFrame:
-        keys, matrix = [r.query_id for r in part], np.array([r.query_vector for r in part], dtype=np.float64)
-        rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-        return rows.mapInArrow(_partial(keys, matrix, k, metric, digits, kind), f"query_id {name}, id {name}, similarity double")
-
-    for row in queries.where("query_vector is not null and size(query_vector) > 0").toLocalIterator():
-        if held and (len(held) == block or len(row.query_vector) != len(held[0].query_vector)):
-            hits = search(held)
-            out = hits if out is None else out.unionAll(hits)
-            held = []
-        held.append(row)
-    if held:
-        hits = search(held)
-        out = hits if out is None else out.unionAll(hits)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {name}, id {name}, similarity double, rank int")
-    return rank_hits(out, k)
+    name, kind = _kind(vectors, key)
+    asked = queries.where("query_vector is not null and size(query_vector) > 0").select("query_id", "query_vector")
+    wanted, q_kind = _kind(asked, "query_id")
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    head = asked.limit(block + 1).toArrow()
+    if not len(head):
+        return vectors.sparkSession.createDataFrame([], f"query_id {wanted}, id {name}, similarity double, rank int")
+    if len(head) <= block:
+        keys = np.array(head.column("query_id").to_pylist())
+        sets = [(keys[at], matrix) for matrix, at in _by_size(head.column("query_vector").combine_chunks())]
+        schema = pa.schema([("query_id", q_kind), ("id", kind), ("similarity", pa.float64())])
+        return rank_hits(rows.mapInArrow(_one_pass(sets, k, metric, digits, schema), f"query_id {wanted}, id {name}, similarity double"), k)
+    spread = vectors.sparkSession.sparkContext.defaultParallelism
+    return rank_hits(_search_boxes(rows.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0)), k, metric, digits, ROW_BOX, 4 * block, spread), k)
 
 
 def rank_hits(hits: DataFrame, k: int, score: str = "similarity", query: str = "query_id", key: str = "id") -> DataFrame:
@@ -110,23 +175,80 @@ def rank_hits(hits: DataFrame, k: int, score: str = "similarity", query: str = "
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def mean_vectors(vectors: DataFrame, group: str, vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """The mean vector of each value of a column that has few: cell, centroid, rounded to ``digits``.
+
+    Each batch passes on one sum a group; vectors of another size than most of a group's are no part of it.
+    """
+    kind = vectors.schema[group].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, column = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1)
+            out: tuple[list, list, list] = ([], [], [])
+            for rows, at in _by_size(column):
+                own = cells[at]
+                for cell in {c for c in own.tolist() if c is not None}:
+                    mine = rows[own == cell]
+                    out[0].append(cell), out[1].append(mine.sum(axis=0)), out[2].append(len(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int64())], names=["cell", "total", "n"])
+
+    parts = vectors.select(F.col(group).alias("cell"), F.col(vector).alias("v")).mapInArrow(sums, f"cell {kind}, total array<double>, n long")
+    sized = parts.groupBy("cell", F.size("total").alias("dim")).agg(F.sum("n").alias("n"), F.collect_list("total").alias("totals"))
+    added = F.transform(F.sequence(F.lit(0), F.col("dim") - 1), lambda i: F.round(F.aggregate("totals", F.lit(0.0), lambda s, t: s + F.get(t, i)) / F.col("n"), digits))
+    return sized.select("cell", F.struct("n", "dim", added.alias("centroid")).alias("m")).groupBy("cell").agg(F.max("m").alias("m")).select("cell", "m.centroid")
+
+
+def _lists(centroids: DataFrame) -> tuple[list, np.ndarray]:
+    """Names and matrix of the index's lists in order of their names; their number is a parameter of the index."""
+    held = sorted((r.cell, r.centroid) for r in centroids.collect())
+    return [c for c, _ in held], np.array([v for _, v in held], dtype=np.float64)
+
+
+def _near(cells: list, matrix: np.ndarray, probes: int, field: pa.Field, digits: int = 9):
+    """Appends the names of the nearest lists; vectors of another size have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places = _rows(batch.column(batch.num_columns - 1), matrix.shape[1])
+            near: list = [None] * batch.num_rows
+            for a in range(0, len(rows), 1024):
+                part = rows[a : a + 1024]
+                far = np.round(np.stack([((part - c) ** 2).sum(axis=1) for c in matrix], axis=1), digits)
+                order = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                for at, own in zip(places[a : a + 1024].tolist(), order.tolist()):
+                    near[at] = cells[own[0]] if probes == 1 and not pa.types.is_list(field.type) else [cells[i] for i in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(near, field.type)], names=[*batch.schema.names[:-1], field.name])
+
+    return run
+
+
+def _with_near(df: DataFrame, centroids: DataFrame, vector: str, probes: int, to: str, many: bool) -> DataFrame:
+    cells, matrix = _lists(centroids)
+    name, kind = _kind(centroids, "cell")
+    field = pa.field(to, pa.list_(kind) if many else kind)
+    kept = [c for c in df.columns if c != to]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != to)
+    kind_sql = f"array<{name}>" if many else name
+    if not cells:
+        return df.select(*kept, F.lit(None).cast(kind_sql).alias(to))
+    return df.select(*kept, F.col(vector).alias("_vector")).mapInArrow(_near(cells, matrix, probes, field), f"{schema}, `{to}` {kind_sql}")
+
+
 def assign_cells(vectors: DataFrame, centroids: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
     """Each vector's nearest centroid by Euclidean distance: all columns and ``cell``; ties go to the smaller cell.
 
-    The centroids are the fixed lists of the index and are held in one array.
+    The centroids are the fixed lists of the index and go to the executors as one matrix. Vectors
+    that are null or of another size have a null cell.
     """
-    lists = centroids.agg(F.array_sort(F.collect_list(F.struct("cell", "centroid"))).alias("cells"))
-    near = F.transform("cells", lambda c: F.struct(F.round(V.squared_distance(F.col(vector), c["centroid"]), 9).alias("d"), c["cell"].alias("cell")))
-    return vectors.crossJoin(F.broadcast(lists)).withColumn("cell", F.array_min(near)["cell"]).drop("cells")
+    return _with_near(vectors, centroids, vector, 1, "cell", many=False)
 
 
 def probe_search(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probes: int, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """Top k among the members of each query's ``probes`` nearest lists: an equi-join on the list."""
-    lists = centroids.agg(F.array_sort(F.collect_list(F.struct("cell", "centroid"))).alias("cells"))
-    near = F.transform("cells", lambda c: F.struct(F.round(V.squared_distance(F.col("query_vector"), c["centroid"]), 9).alias("d"), c["cell"].alias("cell")))
-    probed = queries.crossJoin(F.broadcast(lists)).select("query_id", "query_vector", F.explode(F.transform(F.slice(F.array_sort(near), 1, probes), lambda x: x["cell"])).alias("cell"))
-    scored = probed.join(assigned, "cell").select("query_id", F.col(key).alias("id"), F.round(V.cosine("query_vector", vector), 6).alias("similarity"))
-    return rank_hits(scored, k)
+    """Top k among the members of each query's ``probes`` nearest lists, box by box, so a list that holds most vectors is many tasks."""
+    probed = _with_near(queries.select("query_id", "query_vector"), centroids, "query_vector", probes, "cells", many=True)
+    rows = assigned.where(F.col("cell").isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), "cell")
+    return rank_hits(_search_boxes(rows, probed.select("query_id", "query_vector", F.explode("cells").alias("cell")), k, "cosine", 6, ROW_BOX, 4 * QUERY_BLOCK), k)
 
 
 def fit_cells(vectors: DataFrame, k: int, vector: str = "embedding", seed: int = 7) -> DataFrame:

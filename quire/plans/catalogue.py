@@ -149,8 +149,7 @@ def vec_index_stats(spark, d):
 
 
 def _label_means(v: DataFrame) -> DataFrame:
-    one = v.select(F.col("label").alias("cell"), F.posexplode("embedding").alias("i", "x")).groupBy("cell", "i").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("x"))
-    return one.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
+    return S.mean_vectors(v, "label")
 
 
 _MEANS = f"{N}, m AS (SELECT label AS cell, i, round(avg(v[i]), 9) AS x FROM n, range(1, 65) r(i) GROUP BY label, i), c AS (SELECT cell, list(x ORDER BY i) AS v FROM m GROUP BY cell)"

@@ -277,3 +277,32 @@ def test_entries_are_added_once_and_updated(spark):
     assert new.count() == 1 and new.first().metadata["timestamp"] == "5.0" and new.first().id == L.added_segments(seg, 6.0).first().id
     changes = new.select("id", F.lit(None).cast("string").alias("new_text"), F.create_map(F.lit("source"), F.lit("x")).alias("new_metadata"))
     assert L.updated(new, changes).first().metadata["source"] == "x" and L.updated(new, changes).first().text == "text"
+
+
+def test_trim_counts_ranges(spark, monkeypatch):
+    monkeypatch.setattr(L, "RANGE_ROWS", 7)
+    rows = [(f"k{i:03d}", None if i % 11 == 0 else float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, score double")
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    for most in (10, 60, 190, 199, 200):
+        keep = int(0.8 * most) if most < 200 else 200
+        assert {r.id for r in L.trim(df, "score", most).collect()} == {r[0] for r in order[200 - keep :]}
+
+
+def test_grid_search_and_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROW_BOX", 30)
+    rows = [(i, [math.cos(i), math.sin(i), (i % 7) / 7]) for i in range(300)] + [(900, None), (901, [1.0]), (902, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = v.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    key = lambda df: sorted((r.query_id, r.rank, r.id, r.similarity) for r in df.collect())
+    want = key(S.top_k(v, q, 4))
+    assert key(S.top_k(v, q, 4, block=9)) == want and len(want) == 400
+    means = S.mean_vectors(v.withColumn("half", F.col("id") % 2), "half")
+    held = {r.cell: r.centroid for r in means.collect()}
+    for c in (0, 1):
+        own = [x for i, x in rows if i % 2 == c and x is not None and len(x) == 3]
+        assert held[c] == pytest.approx([sum(col) / len(own) for col in zip(*own)], abs=1e-9)
+    assigned = S.assign_cells(v, means)
+    near = {r.id: r.cell for r in assigned.collect()}
+    assert near[900] is None and near[901] is None and near[0] == min((0, 1), key=lambda c: math.dist(rows[0][1], held[c]))
+    assert key(S.probe_search(assigned, means, q.where("size(query_vector) = 3"), 4, 2)) == key(S.top_k(v.where("size(embedding) = 3"), q.where("size(query_vector) = 3"), 4))
