@@ -123,23 +123,28 @@ def _kind(df: DataFrame, key: str) -> tuple[str, pa.DataType]:
     return name, {"bigint": pa.int64(), "int": pa.int32()}.get(name, pa.string())
 
 
-def _search_boxes(vectors: DataFrame, queries: DataFrame, k: int, metric: str, digits: int, box: int, asked: int, least: int = 1) -> DataFrame:
-    """Hits of (id, v, cell) for (query_id, query_vector, cell), cell by cell.
+def meet(rows: DataFrame, asked: DataFrame, run, schema: str, box: int, most: int, least: int = 1) -> DataFrame:
+    """``run`` on every pair of a box of rows and a set of asked ones of the same ``cell``.
 
-    A cell of any size is dealt by hash into boxes of about ``box`` rows and its queries into
-    sets of about ``asked``; each box meets each set in one task, which returns k hits a query
-    at most. Only the counts of the cells, which the index bounds, are broadcast.
+    A cell of any size is dealt by hash into boxes of about ``box`` rows and what is asked of it
+    into sets of about ``most``; each box meets each set in one task. Only the counts of the
+    cells, which the index bounds, are broadcast. ``rows`` have an id, ``asked`` a query_id.
     """
+    rows_of = rows.groupBy("cell").agg(F.greatest(F.lit(least), F.ceil(F.count("*") / box)).cast("int").alias("_boxes"))
+    sets_of = asked.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias("_sets"))
+    plan = F.broadcast(rows_of.join(sets_of, "cell"))
+    left = rows.join(plan, "cell").select(*rows.columns, F.pmod(F.xxhash64(*[c for c in rows.columns if c != "cell"]), F.col("_boxes")).cast("int").alias("box"), F.explode(F.sequence(F.lit(0), F.col("_sets") - 1)).alias("set"))
+    right = asked.join(plan, "cell").select(*asked.columns, F.explode(F.sequence(F.lit(0), F.col("_boxes") - 1)).alias("box"), F.pmod(F.xxhash64("query_id"), F.col("_sets")).cast("int").alias("set"))
+    keys = ("cell", "box", "set")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _search_boxes(vectors: DataFrame, queries: DataFrame, k: int, metric: str, digits: int, box: int, asked: int, least: int = 1) -> DataFrame:
+    """Hits of (id, v, cell) for (query_id, query_vector, cell), cell by cell."""
     name, kind = _kind(vectors, "id")
     wanted, q_kind = _kind(queries, "query_id")
     schema = pa.schema([("query_id", q_kind), ("id", kind), ("similarity", pa.float64())])
-    rows_of = vectors.groupBy("cell").agg(F.greatest(F.lit(least), F.ceil(F.count("*") / box)).cast("int").alias("boxes"))
-    sets_of = queries.groupBy("cell").agg(F.ceil(F.count("*") / asked).cast("int").alias("sets"))
-    plan = F.broadcast(rows_of.join(sets_of, "cell"))
-    left = vectors.join(plan, "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id", "v"), F.col("boxes")).cast("int").alias("box"), F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("set"))
-    right = queries.join(plan, "cell").select("query_id", "query_vector", "cell", F.explode(F.sequence(F.lit(0), F.col("boxes") - 1)).alias("box"), F.pmod(F.xxhash64("query_id"), F.col("sets")).cast("int").alias("set"))
-    keys = ("cell", "box", "set")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_one_box(k, metric, digits, schema), f"query_id {wanted}, id {name}, similarity double")
+    return meet(vectors, queries, _one_box(k, metric, digits, schema), f"query_id {wanted}, id {name}, similarity double", box, asked, least)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "id", vector: str = "embedding", digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:

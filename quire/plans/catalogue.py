@@ -68,13 +68,17 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Each block as it was last delivered."""
     rows = _t(spark, d, "blocks")
-    return rows.drop("loaded_ts").dropDuplicates(["block_id"])
+    rest = [c for c in rows.columns if c not in ("block_id", "loaded_ts")]
+    last = rows.groupBy("block_id").agg(F.max_by(F.struct(*rest), "loaded_ts").alias("s"))
+    return last.select("block_id", *[F.col(f"s.{c}").alias(c) for c in rest])
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "cache_log").select("log_no", F.col("query_text").alias("key"), F.lower(F.trim("op")).alias("op"), "ttl_s", _epoch("logged_ts").alias("ts"))
-    return rows.dropDuplicates(["log_no"])
+    rows = _t(spark, d, "cache_log").select("log_no", F.col("query_text").alias("key"), F.lower(F.trim("op")).alias("op"), "ttl_s", _epoch("logged_ts").alias("ts"), "loaded_ts")
+    last = rows.groupBy("log_no").agg(F.max_by(F.struct("key", "op", "ttl_s", "ts"), "loaded_ts").alias("s"))
+    return last.select("log_no", "s.*")
 
 
 WS = T.SPACE
@@ -85,8 +89,8 @@ STORE = "round(1 - greatest(0, least(1, list_distance(q.v, x.v) * list_distance(
 SEG = f"""s AS (SELECT id, arg_max(text, loaded_ts) AS text, arg_max(doc_id, loaded_ts) AS doc_id, arg_max(seg_no, loaded_ts) AS seg_no, arg_max(metadata, loaded_ts) AS metadata,
  arg_max(added_ts, loaded_ts) AS added_ts, coalesce(try_cast(arg_max(metadata, loaded_ts)['timestamp'] AS DOUBLE), {NOW}) AS ts,
  coalesce(try_cast(arg_max(metadata, loaded_ts)['access_count'] AS DOUBLE), 0::DOUBLE) AS access_count, coalesce(try_cast(arg_max(metadata, loaded_ts)['importance'] AS DOUBLE), 0.5::DOUBLE) AS importance FROM segments GROUP BY id)"""
-BLK = "b AS (SELECT DISTINCT ON (block_id) * FROM blocks)"
-CAC = "c AS (SELECT DISTINCT ON (log_no) log_no, query_text AS key, lower(trim(op)) AS op, ttl_s, epoch(logged_ts) AS ts FROM cache_log)"
+BLK = "b AS (SELECT DISTINCT ON (block_id) * FROM blocks ORDER BY block_id, loaded_ts DESC)"
+CAC = "c AS (SELECT DISTINCT ON (log_no) log_no, query_text AS key, lower(trim(op)) AS op, ttl_s, epoch(logged_ts) AS ts FROM cache_log ORDER BY log_no, loaded_ts DESC)"
 
 
 def _top(frm: str, score: str, k: int, where: str = "true", cte: str | None = None) -> str:
@@ -276,14 +280,16 @@ def mem_context_reweight(spark, d):
 
 
 @query(
-    f"""WITH {E}, w AS {_kw("(SELECT * FROM e WHERE id % 100 = 0)", "id", "text", 5)}, wn AS (SELECT k, count(*) AS n FROM w GROUP BY k),
+    f"""WITH {E}, q AS (SELECT id, CASE WHEN id % 200 = 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM e WHERE id % 100 = 0), h AS (SELECT DISTINCT query_id FROM (SELECT q.id AS query_id, {COS} AS similarity FROM q, e x) WHERE similarity >= 0.41),
+ w AS {_kw("(SELECT * FROM e WHERE id % 100 = 0 AND id NOT IN (SELECT query_id FROM h))", "id", "text", 5)}, wn AS (SELECT k, count(*) AS n FROM w GROUP BY k),
  t AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(text), '{WS}+')) AS word FROM e), f AS (SELECT w.k AS query_id, t.id, round(greatest(0.1::DOUBLE, count(*) / any_value(wn.n)::DOUBLE * 0.3::DOUBLE), 6) AS similarity FROM w JOIN wn ON wn.k = w.k JOIN t ON t.word = w.word GROUP BY w.k, t.id)
  SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM f) WHERE rank <= 5"""
 )
 def mem_keyword_fallback(spark, d):
     e = _entries(spark, d)
-    nothing = M.indexed(e, _asked(e), 5, 2.4)
-    return M.keyword_fallback(e, _hybrid_queries(e), nothing.where("similarity > 1"), 5)
+    turned = F.when(F.col("query_id") % 200 == 0, F.transform("query_vector", lambda x: -x)).otherwise(F.col("query_vector"))
+    asked = _hybrid_queries(e).withColumn("query_vector", turned)
+    return M.keyword_fallback(e, asked, M.indexed(e, asked, 5, 0.82), 5)
 
 
 @query(

@@ -312,14 +312,21 @@ def graph_neighbours(spark, d):
     return graph.associations(v, v.where("id % 100 = 0"), depth=1)
 
 
-@query()
+_LEVELS = f"""{N}, l0 AS (SELECT query_id AS src, id AS dst, 0 AS level, similarity FROM ({_top('n', COS, 3, 'x.id % 100 <> 0', N)})), f1 AS (SELECT DISTINCT dst FROM l0),
+ l1 AS (SELECT q.id AS src, x.id AS dst, 1 AS level, {COS} AS similarity FROM n q, n x WHERE q.id IN (SELECT dst FROM f1) AND x.id % 100 <> 0 AND x.id NOT IN (SELECT dst FROM f1) QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY {COS} DESC, x.id) <= 3),
+ edges AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1)"""
+
+
+@query(f"WITH {_LEVELS} SELECT src, dst, level, similarity FROM edges")
 def graph_associations(spark, d):
     v = _vectors(spark, d)
     return graph.associations(v, v.where("id % 100 = 0"), depth=2)
 
 
-
-@query()
+@query(
+    f"""WITH {_LEVELS}, nodes AS (SELECT id, 0 AS level FROM n WHERE id % 100 = 0 UNION ALL SELECT dst, level + 1 FROM edges), dg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)
+ SELECT 'hundreds' AS topic, o.id, min(level) AS level, coalesce(any_value(degree), 0) AS degree FROM nodes o LEFT JOIN dg ON dg.id = o.id GROUP BY o.id"""
+)
 def graph_knowledge(spark, d):
     v = _vectors(spark, d)
     return graph.knowledge_graph(v, v.where("id % 100 = 0"), "hundreds")
