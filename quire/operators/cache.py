@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.errors import CacheError
+
 
 def ttl_hits(log: DataFrame) -> DataFrame:
     """Each get with the age of the put before it and its kind: exact, expired or miss.
@@ -44,7 +46,7 @@ def _fold(capacity: int, threshold: float | None):
 
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: OrderedDict = OrderedDict()
-        shard = None
+        shard = object()
         for rows in pages:
             out = []
             for r in rows.itertuples(index=False):
@@ -89,25 +91,58 @@ def _fold(capacity: int, threshold: float | None):
     return run
 
 
-def fold(log: DataFrame, capacity: int, threshold: float | None = None, shards: int = 1) -> DataFrame:
+def fold(log: DataFrame, capacity: int, threshold: float | None = None, shards: int = 1, owner: str | None = None) -> DataFrame:
     """Gets with their kind under a capacity (least recently used goes) and, with ``threshold``, similarity.
 
     One cache of ``capacity`` entries, its log folded in order of time: each step depends on
     all before it, so the fold is one task, which holds the entries of the cache and no more
-    of the log than a batch. ``shards`` above 1 asks for as many independent caches by hash of
-    the key instead, each of ``capacity`` entries; a similar entry may be in any of them, so
-    ``threshold`` has one cache only. It needs a column ``vector``. Columns: log_no, shard,
-    key, kind (exact, similar, expired, miss).
+    of the log than a batch. ``owner`` names a column (a user, a tenant) whose values have a cache
+    each; caches are folded side by side. ``shards`` above 1 asks for as many independent caches by
+    hash of the key instead, each of ``capacity`` entries; a similar entry may be in any of them, so
+    ``threshold`` has one cache an owner only. It needs a column ``vector``. Columns: log_no, shard,
+    key, kind (exact, similar, expired, miss), and the owner where one is named; null is an owner too.
     """
-    if threshold is not None and shards != 1:
-        raise ValueError("similarity is searched in one cache")
+    if shards != 1 and (threshold is not None or owner is not None):
+        raise CacheError("similarity is searched in one cache, and owners have one each")
     given = log.where("key is not null and ts is not null")
     vector = [] if threshold is None else ["vector"]
+    if owner is not None:
+        dealt = given.select("log_no", "key", "op", "ttl_s", "ts", *vector, F.col(owner).cast("string").alias("shard")).repartition("shard")
+        out = dealt.sortWithinPartitions("shard", "ts", "log_no").mapInPandas(_fold(capacity, threshold), "log_no long, shard string, key string, kind string")
+        return out.select("log_no", F.col("shard").cast(log.schema[owner].dataType).alias(owner), "key", "kind")
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
     dealt = given.withColumn("shard", shard).select("log_no", "key", "op", "ttl_s", "ts", *vector, "shard")
     order = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "ts", "log_no")
     return order.mapInPandas(_fold(capacity, threshold), "log_no long, shard int, key string, kind string")
 
 
+def fold_stats(gets: DataFrame) -> DataFrame:
+    """Figures of a fold: queries, and the counts and ratios of exact, similar, expired and missed gets."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    kinds = ("exact", "similar", "expired", "miss")
+    counts = [F.count_if(F.col("kind") == k) for k in kinds]
+    return gets.agg(F.count("*").alias("queries"), *[c.alias(f"n_{k}") for k, c in zip(kinds, counts)], *[F.round(c / n, 6).alias(f"{k}_ratio") for k, c in zip(kinds, counts)])
+
+
+def held_keys(log: DataFrame) -> DataFrame:
+    """Keys that are in a cache without a capacity, whatever their age: those whose last change is a put."""
+    last = log.where("op in ('put', 'evict') and key is not null and ts is not null").groupBy("key").agg(F.max_by("op", F.struct("ts", "log_no")).alias("op"))
+    return last.where("op = 'put'").select("key")
+
+
+def usage(log: DataFrame, capacity: int) -> DataFrame:
+    """Size of the cache, expired entries too, its capacity and the share in use."""
+    return held_keys(log).agg(F.least(F.count("*"), F.lit(capacity)).alias("size")).select("size", F.lit(capacity).alias("capacity"), F.round(F.col("size") / capacity, 6).alias("usage"))
+
+
+def members(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each wanted key and whether it is held; the time to live does not count."""
+    return keys.select("key").distinct().join(held_keys(log).withColumn("held", F.lit(True)), "key", "left").select("key", F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def vector_key(vector: Column | str) -> Column:
+    return F.md5(F.to_json(F.col(vector) if isinstance(vector, str) else vector))
+
+
 def query_key(text: str) -> Column:
     return F.md5(F.col(text))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.errors import OutputError
 from quire.functions import text as T
 
 SEPARATOR = "\n\n---\n\n"
@@ -170,6 +171,52 @@ def toc_html(listing: str) -> str:
     return "".join(out + ["</ul>"] * (depth + 1))
 
 
+#: Colours of a page's themes: background, text, links, borders.
+THEMES = {"light": ("#ffffff", "#222222", "#0a58ca", "#d0d0d0"), "dark": ("#1e1f22", "#dddddd", "#7ab7ff", "#444444")}
+
+
+def _toc_lines(text: str) -> str:
+    """The table of contents of a text as Markdown; what ``toc`` says in the JVM."""
+    out = []
+    for line in text.split("\n"):
+        if m := re.match(r"(#{1,6})(?!#)(.*)$", line):
+            title = m.group(2).strip(" ")
+            anchor = re.sub(r"[^\w-]", "", title.lower().replace(" ", "-"))
+            out.append("  " * (len(m.group(1)) - 1) + f"- [{title}](#{anchor})")
+    return "\n".join(out)
+
+
+def _anchored(body: str) -> str:
+    """Headings with the anchors that the table of contents links to."""
+
+    def mark(m: re.Match) -> str:
+        plain_title = re.sub(r"<[^<>]*>", "", m.group(2))
+        anchor = re.sub(r"[^\w-]", "", plain_title.strip().lower().replace(" ", "-"))
+        return f'<h{m.group(1)} id="{escape(anchor)}">{m.group(2)}</h{m.group(1)}>'
+
+    return re.sub(r"<h([1-6])>(.*?)</h\1>", mark, body)
+
+
+def html_page(text: str, title: str, theme: str = "light", assets: list[str] | None = None) -> str:
+    """A whole page: title, table of contents, body and colours of a theme (an unknown one is light). ``assets`` are style sheets it links to."""
+    back, ink, link, border = THEMES.get(theme, THEMES["light"])
+    style = f"body{{background:{back};color:{ink};max-width:60em;margin:auto;padding:1em}}a{{color:{link}}}td,th{{border:1px solid {border};padding:.3em}}pre{{overflow:auto}}nav{{border-bottom:1px solid {border}}}"
+    links = "".join(f'<link rel="stylesheet" href="{escape(a)}">' for a in assets or [])
+    contents = toc_html(_toc_lines(text))
+    nav = f"<nav>{contents}</nav>" if contents else ""
+    return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{escape(title)}</title>{links}<style>{style}</style></head>\n<body class="{escape(theme)}">{nav}\n{_anchored(to_html(text))}\n</body></html>'
+
+
+def plain_note(title: Column | str, text: Column | str) -> Column:
+    """The text that stands for a PDF where no engine can write one: the title as a heading, then the note."""
+    return F.concat(F.lit("# "), F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit("")), F.lit("\n\n"), F.col(text) if isinstance(text, str) else text)
+
+
+def title_of(name: Column | str) -> Column:
+    """The default title of a file name: underscores as blanks, words capitalised."""
+    return F.initcap(F.replace(F.col(name) if isinstance(name, str) else name, F.lit("_"), F.lit(" ")))
+
+
 def notebook(text: str, title: str) -> str:
     parts = [f"# {title}\n", *cells(text)]
     body = [{"cell_type": "markdown", "metadata": {}, "source": p.splitlines(keepends=True)} for p in parts]
@@ -177,8 +224,11 @@ def notebook(text: str, title: str) -> str:
 
 
 def render(df: DataFrame, key: str, text: str, form: str) -> DataFrame:
-    """Notes as ``cells`` (an array), ``html`` or ``notebook`` (strings): the key and the form's column. Null texts have no row."""
-    make = {"cells": cells, "html": to_html, "notebook": lambda t: notebook(t, "note")}[form]
+    """Notes as ``cells`` (an array), ``html``, ``page`` or ``notebook`` (strings): the key and the form's column. Null texts have no row."""
+    forms = {"cells": cells, "html": to_html, "page": lambda t: html_page(t, "note"), "notebook": lambda t: notebook(t, "note")}
+    if form not in forms:
+        raise OutputError(f"unknown form of output: {form}")
+    make = forms[form]
     kind = pa.list_(pa.string()) if form == "cells" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

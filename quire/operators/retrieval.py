@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.errors import IndexLogError
 from quire.functions import text as T
 from quire.functions import vector as V
 
@@ -240,7 +241,7 @@ def search_index(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "hy
     ``cells`` are the lists' centroids (``fit_cells``). An unknown kind is an error.
     """
     if kind not in ("flat", "hnsw", "hybrid", "ivf"):
-        raise ValueError(f"unknown kind of index: {kind}")
+        raise IndexLogError(f"unknown kind of index: {kind}")
     if kind != "ivf" or cells is None:
         return search.top_k(vectors, queries, k)
     return search.probe_search(search.assign_cells(vectors, cells), cells, queries, k, probes)
@@ -249,7 +250,7 @@ def search_index(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "hy
 def batch_pairs(ids: list, vectors: list) -> list[tuple]:
     """Pairs of a batch to be added; lists of different length are an error."""
     if len(ids) != len(vectors):
-        raise ValueError(f"{len(ids)} ids and {len(vectors)} vectors")
+        raise IndexLogError(f"{len(ids)} ids and {len(vectors)} vectors")
     return list(zip(ids, vectors))
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 # Forms of header lines and of their beginnings, and the sizes.
 HEADERS = [r"^#+\s+.+$", r"^第\s*[一二三四五六七八九十百千万\d]+\s*[章节篇部].*$", r"^Chapter\s+\d+.*$", r"^\d+\.\d+\s+.+$", r"^\d+\.\s+.+$", r"^[A-Z]\.\s+.+$", r"^[IVXivx]+\.\s+.+$"]
 FAMILIES = [r"^\d+", r"^第\s*[一二三四五六七八九十百千万\d]+\s*[章节篇部]", r"^(?i:Chapter)\s+\d+", r"^#+\s+", r"^\d+\.\d+", r"^\d+\."]
@@ -29,9 +31,9 @@ def sentences(text: Column | str) -> Column:
     return F.split(F.col(text) if isinstance(text, str) else text, SENTENCE)
 
 
-def header_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines of the text's beginning that have the form of a header: the key, line_no, form (from 0), line."""
-    lines = df.select(key, F.posexplode(F.split(F.substring(text, 1, SAMPLE), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
+def header_lines(df: DataFrame, key: str, text: str, sample: int | None = None) -> DataFrame:
+    """Lines that have the form of a header: the key, line_no, form (from 0), line. ``sample``: of that many first characters only."""
+    lines = df.select(key, F.posexplode(F.split(F.col(text) if sample is None else F.substring(text, 1, sample), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
     form = F.lit(None).cast("int")
     for i, rx in reversed(list(enumerate(HEADERS))):
         form = F.when(F.col("line").rlike(rx), F.lit(i)).otherwise(form)
@@ -59,9 +61,30 @@ def split_at(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     return joined.select(key, F.col("seg").cast("int").alias("seg_no"), "text")
 
 
-def detect_patterns(text: str) -> list[str]:
-    """Patterns of header beginnings that two or more header lines share, by form or else by the lines' features."""
-    lines = [line.strip() for line in text[:SAMPLE].split("\n") if line.strip()]
+# Beginnings of chapter lines by kind, in order of preference.
+CHAPTERS = [r"^# ", r"^第.*[章节篇部]", r"^(?i)chapter .*\d"]
+
+
+def split_chapters(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts cut at their chapter lines, if two or more lines of one kind begin one: the key, seg_no, text.
+
+    Lines are stripped; the first kind that has two is used; what stands before the first
+    chapter is left out. Texts without chapters have no row.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, rf"^{T.SPACE}+|{T.SPACE}+$", ""))
+    of = lambda rx: F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(rx))
+    starts = F.coalesce(*[F.when(F.size(of(rx)) >= 2, of(rx)) for rx in CHAPTERS])
+    rows = df.where(F.col(text).isNotNull()).select(key, lines.alias("lines")).withColumn("starts", starts).where("starts is not null")
+    parts = F.transform("starts", lambda a, n: F.array_join(F.slice("lines", a + 1, F.coalesce(F.get("starts", n + 1), F.size("lines")) - a), "\n"))
+    return rows.select(key, F.posexplode(parts).alias("seg_no", "text"))
+
+
+def detect_patterns(text: str, sample: int = SAMPLE) -> list[str]:
+    """Patterns of header beginnings that two or more header lines share, by form or else by the lines' features.
+
+    The reference looks at the first 5,000 characters to learn the patterns; they then cut the whole text.
+    """
+    lines = [line.strip() for line in text[:sample].split("\n") if line.strip()]
     headers = [line for line in lines if any(re.match(h, line) for h in HEADERS)]
     if len(headers) < 2:
         headers = _by_features(lines)

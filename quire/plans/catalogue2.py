@@ -119,7 +119,7 @@ def split_pack(spark, d):
 _FORM = "CASE " + " ".join(f"WHEN regexp_matches(line, '{rx}') THEN {i}" for i, rx in enumerate(split.HEADERS)) + " END"
 
 
-@query(f"WITH l AS (SELECT doc_id, generate_subscripts(string_split(left(text, 5000), chr(10)), 1)::INT - 1 AS line_no, trim(unnest(string_split(left(text, 5000), chr(10))), ' ') AS line FROM documents), f AS (SELECT doc_id, line_no, {_FORM} AS form, line FROM l) SELECT * FROM f WHERE form IS NOT NULL")
+@query(f"WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS line_no, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents), f AS (SELECT doc_id, line_no, {_FORM} AS form, line FROM l) SELECT * FROM f WHERE form IS NOT NULL")
 def split_header_lines(spark, d):
     return split.header_lines(_t(spark, d, "documents"), "doc_id", "text")
 
@@ -263,7 +263,7 @@ def life_update_entries(spark, d):
 
 # Notes -----------------------------------------------------------------------------
 def _notes(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "segments").where("doc_id is not null").dropDuplicates(["id"]).withColumn("place", F.struct("seg_no", "id"))
+    rows = _segments(spark, d).where("doc_id is not null").withColumn("place", F.struct("seg_no", "id"))
     return render.merge_notes(rows, "doc_id", "place", "text")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import graph, memory
+from quire.operators import graph, knowledge, memory, retrieval
 from quire.operators import search as S
+from quire.sources import documents as D
 
 MODES = ("simple", "time_weighted", "context_aware", "hybrid")
 
@@ -46,12 +47,63 @@ class KnowledgeBase:
         hits = self.query(queries, mode)
         return hits.join(self.entries.select("id", F.col("text").alias("content")), "id").select("query_id", "rank", "id", "content", "similarity")
 
-    def get(self, ids: DataFrame) -> DataFrame:
-        """The entries of the wanted ids."""
-        return self.entries.join(ids.select("id").distinct(), "id", "left_semi")
+    def search(self, texts: DataFrame, embed, dim: int, mode: str = "simple") -> DataFrame:
+        """Documents for texts (query_id, query_text): blank texts, and those the provider fails on, have none."""
+        asked = D.embedded(texts.where("length(trim(query_text)) > 0"), "query_text", embed, dim, "query_vector").where("error is null")
+        if mode == "hybrid":
+            words = memory.keywords(asked, "query_id", "query_text", 5)
+            asked = asked.join(words, "query_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+        return self.documents(asked, mode)
+
+    def get(self, ids: DataFrame, include: list[str] | None = None) -> DataFrame:
+        """The entries of the wanted ids; ``include`` names the columns that are read besides the id."""
+        return self.scan(include).join(ids.select("id").distinct(), "id", "left_semi")
+
+    def scan(self, include: list[str] | None = None) -> DataFrame:
+        """All entries, or the named columns of them."""
+        return self.entries if include is None else self.entries.select("id", *[c for c in include if c != "id"])
+
+    def sizes(self) -> DataFrame:
+        """Number of entries and their mean length."""
+        return self.entries.agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 6).alias("avg_length"))
+
+    def remove(self, ids: DataFrame) -> KnowledgeBase:
+        """The base without the entries of the ids."""
+        return replace(self, entries=knowledge.removed(self.entries, ids))
+
+    def clean_up(self, strategy: str, most: int) -> KnowledgeBase:
+        return replace(self, entries=knowledge.clean_up(self.entries, strategy, most, self.now))
 
     def associations(self, core: DataFrame, depth: int = 2) -> DataFrame:
         return graph.associations(self.entries, core, depth)
 
     def nearest(self, queries: DataFrame) -> DataFrame:
         return S.top_k(self.entries, queries, self.k)
+
+
+@dataclass
+class CachedKnowledgeBase:
+    """A knowledge base whose answers are kept: the options of the index and of the cache, and the cache as a log.
+
+    The key of an answer holds the text, k, threshold and mode. Adding entries clears the cache.
+    """
+
+    base: KnowledgeBase
+    cache: DataFrame
+    ttl: float | None = 3600.0
+    use_cache: bool = True
+
+    SCHEMA = "key string, result array<struct<id:bigint,similarity:double,rank:int>>, ts double, ttl_s double"
+
+    def query(self, queries: DataFrame, mode: str = "simple") -> tuple[DataFrame, CachedKnowledgeBase]:
+        """(answers, the base with what was computed in its cache). ``queries`` also have query_text."""
+        if not self.use_cache:
+            return self.base.query(queries, mode).select("query_id", "id", "similarity", "rank").withColumn("cached", F.lit(False)), self
+        b = self.base
+        answers, puts = retrieval.get_or_compute(self.cache, queries, lambda lost: b.query(lost, mode), b.now, self.ttl, b.k, b.threshold, mode)
+        return answers, replace(self, cache=self.cache.unionByName(puts))
+
+    def add(self, entries: DataFrame) -> CachedKnowledgeBase:
+        """With more entries; an id that is there already is replaced."""
+        kept = knowledge.removed(self.base.entries, entries).unionByName(entries)
+        return replace(self, base=replace(self.base, entries=kept), cache=self.cache.limit(0))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.errors import EngineError
 from quire.functions import text as T
 
 # Extensions of each category, those that are always admitted, and the size limit in MB.
@@ -117,6 +120,62 @@ def backup(entries: DataFrame, root: str, day: str) -> str:
     return path
 
 
+def export_memory(path: str, long_term: DataFrame, working: DataFrame, short_term: DataFrame, index_log: DataFrame, exported_at: float, version: str = "1") -> None:
+    """A snapshot of all tiers and the index below ``path``, one folder each, with a manifest of what is in it.
+
+    The manifest is written last: a snapshot without one is not whole.
+    """
+    spark = long_term.sparkSession
+    parts = {"long_term": long_term, "working": working, "short_term": short_term, "index": index_log}
+    rows = []
+    for name, df in parts.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        rows.append((version, exported_at, name, spark.read.parquet(f"{path}/{name}").count(), df.schema.json()))
+    spark.createDataFrame(rows, "version string, exported_at double, part string, n_rows long, schema string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def import_memory(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of a snapshot by name; one whose rows are not those of its manifest is an error."""
+    from pyspark.sql.types import StructType
+
+    out = {}
+    for r in spark.read.json(f"{path}/manifest").collect():
+        df = spark.read.schema(StructType.fromJson(json.loads(r.schema))).parquet(f"{path}/{r.part}")
+        if df.count() != r.n_rows:
+            raise EngineError(f"{r.part} has not the {r.n_rows} rows of its manifest")
+        out[r.part] = df
+    return out
+
+
+def due(spark: SparkSession, root: str, day: str, every_days: int = 7) -> bool:
+    """Whether the last dated snapshot below ``root`` is ``every_days`` or more before ``day``, or there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        last = spark.read.parquet(root).agg(F.max("dt").cast("string")).first()[0]
+    except AnalysisException:
+        return True
+    return last is None or (date.fromisoformat(day) - date.fromisoformat(last)).days >= every_days
+
+
+def backup_if_due(entries: DataFrame, root: str, day: str, every_days: int = 7) -> str | None:
+    """A dated snapshot, if the interval has passed; its path."""
+    return backup(entries, root, day) if due(entries.sparkSession, root, day, every_days) else None
+
+
+def rebuild(segments: DataFrame, path: str) -> DataFrame:
+    """The stored table made anew from segments, which are read before the old rows go; the stored rows."""
+    spark = segments.sparkSession
+    segments.write.mode("overwrite").parquet(f"{path}.new")
+    spark.read.parquet(f"{path}.new").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def dump_preprocessed(texts: DataFrame, path: str) -> None:
+    """Preprocessed texts as JSON lines in a folder for each category: name, text. Null and empty texts are left out."""
+    texts.where(F.length("text") > 0).select("category", "name", "text").write.mode("overwrite").partitionBy("category").json(path)
+
+
 def write_notes(notes: DataFrame, path: str, text: str = "text", by: str | None = None) -> None:
     """Notes as text files, in a folder for each value of ``by``."""
     kept = notes.select(*([by] if by else []), text)
