@@ -397,42 +397,26 @@ def text_md5_dump(spark, d):
     return _t(spark, d, "documents").where("text is not null").groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, text AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '^[[:space:]]|[[:space:]]$|```|^[\"'']|[\"'']$')")
+@query(f"SELECT doc_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def text_llm_postprocess(spark, d):
-    rows = _t(spark, d, "documents").where("text is not null").where(~F.col("text").rlike("^\\s|\\s$|```|^[\"']|[\"']$"))
-    return _answers(rows)
-
-
-def _answers(rows: DataFrame) -> DataFrame:
+    """Every text as a model's answer, in a fence and quotes; those that it has itself stay."""
+    rows = _t(spark, d, "documents").where("text is not null")
     return rows.select("doc_id", T.unwrap_answer(F.concat(F.lit(" ```markdown\n\""), "text", F.lit("\"\n```\n"))).alias("text"))
 
 
-@query()
-def text_llm_postprocess_all(spark, d):
-    """Every text, also those with blanks, quotes and fences of their own, on which the SQL above says nothing."""
-    return _answers(_t(spark, d, "documents").where("text is not null"))
-
-
 @query(
-    """SELECT doc_id, trim(source) AS title, CASE WHEN trim(source) <> '' THEN trim(source) || chr(10) ELSE '' END || array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) AS text
- FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '>')"""
+    r"""WITH h AS (SELECT doc_id, trim(coalesce(source, ''), ' ') AS title, regexp_replace('<nav>menu</nav><article><p>' || text || '</p></article>', '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>|<meta[^>]*>', '', 'g') AS body FROM documents WHERE text IS NOT NULL),
+ p AS (SELECT doc_id, title, CASE WHEN regexp_extract(body, '(?is)<main[^>]*>(.*?)</main>', 1) <> '' THEN regexp_extract(body, '(?is)<main[^>]*>(.*?)</main>', 1) ELSE regexp_extract(body, '(?is)<article[^>]*>(.*?)</article>', 1) END AS part FROM h),
+ l AS (SELECT doc_id, title, string_split(regexp_replace(part, '<!--[\s\S]*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>', chr(10), 'g'), chr(10)) AS ls FROM p)
+ SELECT doc_id, title, CASE WHEN title <> '' THEN title || chr(10) ELSE '' END || array_to_string(list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) AS text FROM l"""
 )
 def web_text(spark, d):
-    rows = _t(spark, d, "documents").where("text is not null and source is not null and not contains(text, '<') and not contains(text, '>')")
-    return _pages(rows)
-
-
-def _pages(rows: DataFrame) -> DataFrame:
-    html = F.concat(F.lit("<html><head><title>"), "source", F.lit("</title><script>var a = 1;</script></head><body><nav>menu</nav><article><p>"), "text", F.lit("</p></article></body></html>"))
+    """Every text in a page, with its source as the title."""
+    rows = _t(spark, d, "documents").where("text is not null")
+    html = F.concat(F.lit("<html><head><title>"), F.coalesce("source", F.lit("")), F.lit("</title><script>var a = 1;</script></head><body><nav>menu</nav><article><p>"), "text", F.lit("</p></article></body></html>"))
     return rows.withColumn("html", html).select("doc_id", T.page_title("html").alias("title"), T.page_text("html").alias("text"))
 
 
-@query()
-def web_text_all(spark, d):
-    """Every text with a source, also those that hold < or >, on which the SQL above says nothing."""
-    return _pages(_t(spark, d, "documents").where("text is not null and source is not null"))
-
-
 @query("SELECT source, left(regexp_replace(regexp_replace('https://host.example/' || source, '^https?://', ''), '[\\\\/:*?\"<>|]', '_', 'g'), 100) AS name FROM inputs")
 def web_link_name(spark, d):
     return _t(spark, d, "inputs").select("source", T.link_name(F.concat(F.lit("https://host.example/"), "source")).alias("name"))

@@ -279,7 +279,7 @@ CHECKS = {
 
 
 def test_every_query_is_compared():
-    assert set(QUERIES) - set(SQL) == set(CHECKS) | {"web_text_all", "text_llm_postprocess_all"}
+    assert set(QUERIES) - set(SQL) == set(CHECKS)
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
@@ -315,10 +315,10 @@ def test_all_answers_and_pages(spark, tmp_path):
         reader.close()
         return "s\n" + "\n".join(x for line in "".join(reader.at).split("\n") if (x := line.strip(" ")))
 
-    answers = {r.doc_id: r.text for r in QUERIES["text_llm_postprocess_all"](spark, str(tmp_path)).collect()}
+    answers = {r.doc_id: r.text for r in QUERIES["text_llm_postprocess"](spark, str(tmp_path)).collect()}
     assert answers.pop(99) == "<b>" and answers == {i: t.strip() for i, t, _ in rows if t is not None}
-    pages = {r.doc_id: (r.title, r.text) for r in QUERIES["web_text_all"](spark, str(tmp_path)).collect()}
-    assert pages == {i: ("s", page(t)) for i, t, _ in rows if t is not None}
+    pages = {r.doc_id: (r.title, r.text) for r in QUERIES["web_text"](spark, str(tmp_path)).collect()}
+    assert pages.pop(99) == ("", "") and pages == {i: ("s", page(t)) for i, t, _ in rows if t is not None}
 
 
 def test_entry(spark, data):
