@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread
+from .shared import cut, spread
 from .tokens import TOKEN
 
 # Element names of HTML, magic words and tags of wikis, commands of LaTeX.
@@ -261,75 +261,164 @@ MIN_TOKENS = 16
 SHARD_TOKENS = 1 << 18
 
 
+def _doubled(rank: np.ndarray, step: int) -> np.ndarray:
+    """Ranks by a prefix and the one that begins ``step`` tokens later; what is past the end sorts first."""
+    n = len(rank)
+    second = np.full(n, -1, np.int64)
+    if step < n:
+        second[: n - step] = rank[step:]
+    return np.unique(rank * (n + 1) + second + 1, return_inverse=True)[1].astype(np.int64)
+
+
 def suffix_order(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array by the first ``depth`` tokens, and each suffix's rank (equal rank: equal prefix).
 
     Prefix doubling: after the round with step s ranks tell prefixes of 2 s tokens apart. Steps that
     would pass ``depth`` are shortened, as two overlapping halves determine the whole.
     """
-    n = len(ids)
     rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
     have = 1
     while have < depth:
         step = min(have, depth - have)
-        second = np.full(n, -1, np.int64)
-        if step < n:
-            second[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 1) + second + 1, return_inverse=True)[1].astype(np.int64)
+        rank = _doubled(rank, step)
         have += step
     return np.argsort(rank, kind="stable"), rank
 
 
-def _shard_grams(k: int):
-    schema = pa.schema([("host", pa.string()), ("gram", pa.int64()), ("lo", pa.string()), ("hi", pa.string())])
+def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and the length of the prefix that each suffix shares with the one before it in that order.
+
+    The ranks of every doubling step are kept: the longest common prefix of two suffixes is found
+    by going down them, from long prefixes to single tokens, for all neighbours at once.
+    """
+    n = len(ids)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    levels = [np.unique(ids, return_inverse=True)[1].astype(np.int64)]
+    while levels[-1].max() < n - 1 and (1 << (len(levels) - 1)) < n:
+        levels.append(_doubled(levels[-1], 1 << (len(levels) - 1)))
+    order = np.argsort(levels[-1], kind="stable")
+    common = np.zeros(n, np.int64)
+    left, right, shared = order[:-1].copy(), order[1:].copy(), np.zeros(n - 1, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        inside = (right < n) & (left < n)
+        same = inside.copy()
+        same[inside] = levels[k][left[inside]] == levels[k][right[inside]]
+        step = same * (1 << k)
+        left, right, shared = left + step, right + step, shared + step
+    common[1:] = shared
+    return order, common
+
+
+def repeated_on_other_pages(ids: np.ndarray, page_of: np.ndarray) -> np.ndarray:
+    """For each token the length of the longest run from it on that also begins somewhere on another page.
+
+    The suffixes nearest in order on both sides that lie on another page share the longest
+    prefix with it; its length is the least common prefix on the way there.
+    """
+    n = len(ids)
+    order, common = suffix_array(ids)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    own, common = page_of[order].tolist(), common.tolist()
+    above, below = [0] * n, [0] * n
+    for r in range(1, n):
+        above[r] = common[r] if own[r] != own[r - 1] else min(above[r - 1], common[r])
+    for r in range(n - 2, -1, -1):
+        below[r] = common[r + 1] if own[r] != own[r + 1] else min(below[r + 1], common[r + 1])
+    out[order] = np.maximum(above, below)
+    return out
+
+
+def _spread_over(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the runs."""
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, np.minimum(starts + lengths, n), -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
+def _spans(covered: np.ndarray) -> list[int]:
+    """Begins and ends of the covered stretches, in turn."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0])))).tolist()
+
+
+#: Tokens of an anchor: any run of k tokens has the same least anchor among its own, wherever it stands.
+ANCHOR = 8
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _gram_hashes(words: list[str], k: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of each k consecutive words."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    n = len(words) - k + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        out = np.zeros(n, np.uint64)
+        for j in range(k):
+            out = out * np.uint64(_BASE) + h[j : j + n]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def _anchors(words: list[str], k: int, seed: int) -> np.ndarray:
+    """The least anchor of each k consecutive words."""
+    size = min(ANCHOR, k)
+    grams = _gram_hashes(words, size, seed)
+    wide = k - size + 1
+    return np.lib.stride_tricks.sliding_window_view(grams, wide).min(axis=1) if len(grams) >= wide else np.zeros(0, np.uint64)
+
+
+def _host_seed(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host)
+
+
+_LOCAL = "host string, shard long, page string, text string, spans array<int>, anchors array<bigint>"
+
+
+def _local(k: int):
+    """What the pages of a shard repeat of each other, by its suffix array; anchors, where the host has more shards."""
+    schema = pa.schema([("host", pa.string()), ("shard", pa.int64()), ("page", pa.string()), ("text", pa.string()), ("spans", pa.list_(pa.int32())), ("anchors", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
-        hosts, pages, texts = (table.column(c).to_pylist() for c in ("host", "page", "text"))
         vocabulary: dict[str, int] = {}
-        words: list[str] = []
         ids: list[int] = []
-        owner: list[int] = []
-        for p, text in enumerate(texts):
+        begins, pages = [], []
+        for p, text in enumerate(table.column("text").to_pylist()):
             own = TOKEN.findall(text.lower())
-            words += own
+            begins.append(len(ids))
             ids += [vocabulary.setdefault(w, len(vocabulary)) for w in own]
-            owner += [p] * len(own)
             # a separator of its own ends each page, so that no repeat crosses pages
             ids.append(-1 - p)
-            owner.append(p)
-            words.append("")
-        if not ids:
-            return schema.empty_table()
-        page_of = np.array(owner)
-        order, rank = suffix_order(np.array(ids, dtype=np.int64), k)
-        # a suffix whose first k tokens lie in one page; neighbours of equal rank share them
-        inside = np.zeros(len(ids), bool)
-        inside[: max(0, len(ids) - k + 1)] = page_of[: max(0, len(ids) - k + 1)] == page_of[k - 1 :]
-        inside &= np.array([bool(w) for w in words])
-        last = np.minimum(np.arange(len(ids)) + k - 1, len(ids) - 1)
-        inside &= np.array(ids)[last] >= 0
-        order = order[inside[order]]
-        if not len(order):
-            return schema.empty_table()
-        first = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
-        lo = np.minimum.reduceat(page_of[order], first)
-        hi = np.maximum.reduceat(page_of[order], first)
-        grams = [xxhash.xxh3_64_intdigest("\x1f".join(words[i : i + k])) for i in order[first].tolist()]
-        names = pa.array(pages)
-        return pa.Table.from_arrays([pa.array([hosts[0]] * len(first)), pa.array(np.array(grams, dtype=np.uint64).view(np.int64)), names.take(pa.array(lo)), names.take(pa.array(hi))], schema=schema)
+            pages.append(own)
+        page_of = np.repeat(np.arange(len(pages)), [len(own) + 1 for own in pages])
+        longest = repeated_on_other_pages(np.array(ids, dtype=np.int64), page_of)
+        starts = np.flatnonzero(longest >= k)
+        covered = _spread_over(len(ids), starts, longest[starts])
+        spans = [_spans(covered[b : b + len(own)]) for b, own in zip(begins, pages)]
+        seed = _host_seed(table.column("host")[0].as_py())
+        many = table.column("shards")[0].as_py() > 1
+        anchors = [np.unique(_anchors(own, k, seed)).view(np.int64) if many else [] for own in pages]
+        held = [table.column(c).combine_chunks() for c in ("host", "shard", "page", "text")]
+        return pa.Table.from_arrays([*held, pa.array(spans, pa.list_(pa.int32())), pa.array(anchors, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _positions(k: int):
-    schema = pa.schema([("host", pa.string()), ("page", pa.string()), ("at", pa.int32()), ("gram", pa.int64())])
+def _grams_at(k: int):
+    """Hashes of the runs of k tokens of a page whose anchor other shards have too."""
+    schema = pa.schema([("page", pa.string()), ("shard", pa.int64()), ("gram", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, page, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = TOKEN.findall(text.lower())
-                grams = np.array([xxhash.xxh3_64_intdigest("\x1f".join(words[i : i + k])) for i in range(len(words) - k + 1)], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(grams), pa.string()), pa.array([page] * len(grams), pa.string()), pa.array(np.arange(len(grams), dtype=np.int32)), pa.array(grams)], schema=schema)
+            for host, shard, page, text, shared in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                words, seed = TOKEN.findall(text.lower()), _host_seed(host)
+                met = np.isin(_anchors(words, k, seed), np.array(shared, np.int64).view(np.uint64))
+                grams = np.unique(_gram_hashes(words, k, seed)[met]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([page] * len(grams), pa.string()), pa.array([shard] * len(grams), pa.int64()), pa.array(grams)], schema=schema)
 
     return run
 
@@ -340,20 +429,22 @@ def _unique_runs(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if not places:
+            for host, text, spans, grams in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                if not spans and not grams:
                     texts.append(text), removed.append(0)
                     continue
-                spans = [m.span() for m in TOKEN.finditer(text.lower())]
-                cover = np.zeros(len(spans) + 1, np.int64)
-                for at in places:
-                    cover[at] += 1
-                    cover[min(at + k, len(spans))] -= 1
-                covered = np.cumsum(cover[:-1]) > 0
+                places = [m.span() for m in TOKEN.finditer(text.lower())]
+                covered = _spread_over(len(places), np.array(spans[::2], np.int64), np.array(spans[1::2], np.int64) - np.array(spans[::2], np.int64))
+                if grams:
+                    lower = text.lower()
+                    own = _gram_hashes([lower[a:b] for a, b in places], k, _host_seed(host))
+                    at = np.flatnonzero(np.isin(own, np.array(grams, np.int64).view(np.uint64)))
+                    covered |= _spread_over(len(places), at, np.full(len(at), k))
                 out, at = [], 0
-                for i in np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0])))).reshape(-1, 2).tolist():
-                    out.append(text[at : spans[i[0]][0]])
-                    at = spans[i[1] - 1][1]
+                edges = _spans(covered)
+                for a, b in zip(edges[::2], edges[1::2]):
+                    out.append(text[at : places[a][0]])
+                    at = places[b - 1][1]
                 out.append(text[at:])
                 texts.append("".join(out).strip()), removed.append(int(covered.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], schema=schema)
@@ -364,20 +455,26 @@ def _unique_runs(k: int):
 def boilerplate(df: DataFrame, host: str, key: str, text: str, min_tokens: int = MIN_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pages without what another page of their host repeats: the key, text (the unique runs), removed (tokens).
 
-    A token is removed if it lies in a run of ``min_tokens`` tokens that stands on two
-    or more distinct pages of the host. The pages of a host are dealt to shards of a
-    bounded number of tokens, so a host with a third of all pages is many shards; each
-    shard sorts its suffixes and reports one row for each distinct run with the first
-    and last page it saw. These rows meet by host and run, so repeats across shards count.
-    One row a key (a repeated key counts once); a null host is a host of its own; null and
-    empty texts have no row.
+    A token is removed if it lies in a run of ``min_tokens`` tokens or more that stands on two
+    or more distinct pages of the host. The pages of a host are dealt to shards of a bounded
+    number of tokens, so a host with a third of all pages is many shards. The suffix array of a
+    shard gives every maximal run that its pages repeat. Between the shards of one host first
+    anchors are exchanged, a fifth of the tokens, and then only the runs whose anchor occurs in
+    several shards; so a text that nothing repeats sends anchors only, and a host of one shard
+    nothing. One row a key (a repeated key counts once); a null host is a host of its own; null
+    and empty texts have no row.
     """
     pages = df.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(key).cast("string").alias("page"), F.col(text).alias("text")).where("length(text) > 0 and page is not null").dropDuplicates(["page"])
     size = pages.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("text")) / (4 * shard_tokens))).alias("shards"))
-    dealt = pages.join(size, "host").withColumn("shard", F.pmod(F.xxhash64("page"), F.col("shards"))).select("host", "page", "text", "shard")
-    seen = dealt.groupBy("host", "shard").applyInArrow(_shard_grams(min_tokens), "host string, gram long, lo string, hi string")
-    repeated = seen.groupBy("host", "gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("host", "gram")
-    places = pages.mapInArrow(_positions(min_tokens), "host string, page string, at int, gram long").join(repeated, ["host", "gram"], "left_semi")
-    covered = places.groupBy("page").agg(F.collect_list("at").alias("places"))
-    out = pages.join(covered, "page", "left").select("page", "text", "places").mapInArrow(_unique_runs(min_tokens), "page string, text string, removed int")
+    dealt = pages.join(size, "host").withColumn("shard", F.pmod(F.xxhash64("page"), F.col("shards")))
+    local = cut(dealt.select("host", "shard", "shards", "page", "text").groupBy("host", "shard").applyInArrow(_local(min_tokens), _LOCAL))
+
+    anchors = local.where(F.size("anchors") > 0).select("page", "shard", F.explode("anchors").alias("anchor"))
+    shared = anchors.groupBy("anchor").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).where("lo <> hi").select("anchor")
+    per_page = anchors.join(shared, "anchor", "left_semi").groupBy("page").agg(F.collect_list("anchor").alias("shared"))
+    grams = cut(local.join(per_page, "page").select("host", "shard", "page", "text", "shared").mapInArrow(_grams_at(min_tokens), "page string, shard long, gram long"))
+    crossing = grams.groupBy("gram").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).where("lo <> hi").select("gram")
+    found = grams.join(crossing, "gram", "left_semi").groupBy("page").agg(F.collect_list("gram").alias("grams"))
+    both = local.join(found, "page", "left").select("page", "host", "text", "spans", "grams")
+    out = both.mapInArrow(_unique_runs(min_tokens), "page string, text string, removed int")
     return out.withColumn("page", F.col("page").cast(df.schema[key].dataType)).withColumnRenamed("page", key)

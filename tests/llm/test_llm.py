@@ -294,6 +294,56 @@ def test_boilerplate_across_shards(spark, shard):
     assert got[29].removed == 0  # the only one of its host that has it
 
 
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(5)
+    for n, kinds in ((1, 1), (2, 1), (50, 1), (200, 2), (300, 40)):
+        ids = rng.integers(0, kinds, n)
+        order, common = markup.suffix_array(ids)
+        suffixes = sorted((tuple(ids[i:]), i) for i in range(n))
+        assert order.tolist() == [i for _, i in suffixes] and common[0] == 0
+        for r in range(1, n):
+            a, b = suffixes[r - 1][0], suffixes[r][0]
+            assert common[r] == next((k for k in range(len(a)) if k >= len(b) or a[k] != b[k]), len(a))
+    assert len(markup.suffix_array(np.zeros(0, np.int64))[0]) == 0
+
+
+def test_longest_runs_of_other_pages():
+    rng = np.random.default_rng(6)
+    ids, page = [], []
+    for p in range(6):
+        ids += [*rng.integers(0, 3, 30), -1 - p]
+        page += [p] * 31
+    got = markup.repeated_on_other_pages(np.array(ids), np.array(page))
+    for i in range(len(ids)):
+        want = max(next((k for k in range(len(ids)) if max(i, j) + k >= len(ids) or ids[i + k] != ids[j + k]), 0) for j in range(len(ids)) if page[j] != page[i])
+        assert got[i] == want
+
+
+@pytest.mark.parametrize("shard", [1 << 18, 150, 15])
+def test_boilerplate_is_that_of_brute_force(spark, shard):
+    rng = random.Random(12)
+    shared = [[f"s{rng.randrange(50)}" for _ in range(rng.choice([15, 16, 17, 40]))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            words += [f"u{rng.randrange(4000)}" for _ in range(rng.randint(0, 25))] + rng.choice(shared)
+        rows.append((i, " ".join(words)))
+    df = texts(spark, rows).withColumn("host", (F.col("id") % 3 == 0).cast("string"))
+    grams = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 15):
+            grams.setdefault((i % 3 == 0, *w[k : k + 16]), set()).add(i)
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - 15) if len(grams[i % 3 == 0, *w[k : k + 16]]) > 1 for j in range(16)}
+        if w:
+            want[i] = [x for k, x in enumerate(w) if k not in gone]
+    assert {r.id: r.text.split() for r in markup.boilerplate(df, "host", "id", "text", 16, shard).collect()} == want
+
+
 # 7 ----------------------------------------------------------------------------
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(4)
