@@ -138,6 +138,27 @@ def test_similar_groups_are_components(spark):
     assert {r.id: r.class_id for r in neardup.similar_groups(df, "id", "text", n=3, threshold=0.6).collect()} == label
 
 
+def test_classes_of_drifting_texts(spark):
+    # each text differs a little from the one before it: neighbours are similar, the ends are not, and the smallest of a band is often neither
+    rng = random.Random(31)
+    rows = []
+    for family in range(6):
+        words = [f"w{rng.randrange(500)}" for _ in range(40)]
+        for step in range(12):
+            rows.append((len(rows) * 7 % 997, " ".join(words)))
+            for _ in range(2):
+                words[rng.randrange(40)] = f"w{rng.randrange(500)}"
+    grams = {i: set(neardup.shingle_hashes(t, 3).tolist()) for i, t in rows}
+    label = {i: i for i in grams}
+    for _ in range(15):
+        for a in grams:
+            for b in grams:
+                if len(grams[a] & grams[b]) >= 0.6 * len(grams[a] | grams[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = {r.id: (r.class_id, r.n_texts) for r in neardup.similar_groups(texts(spark, rows), "id", "text", n=3, threshold=0.6).collect()}
+    assert got == {i: (c, sum(x == c for x in label.values())) for i, c in label.items()} and 6 <= len(set(label.values())) < 60
+
+
 def test_copies_are_one_text(spark):
     df = spark.range(3000).select("id", F.lit("one and the same text of many rows").alias("text"))
     groups = neardup.similar_groups(df, "id", "text")
