@@ -1,9 +1,11 @@
 """Sentence boundaries across languages and scripts (problem 5).
 
-A pushdown automaton runs over each line. Its stack holds the open quotations,
-brackets, titles and the list level of the line; its input are only the places
-that can matter: runs of terminators, quotation marks and brackets, and blanks
-between Thai letters. Whether a full stop ends a sentence is read from a trie of
+A pushdown automaton runs over each line. At the bottom of its stack stand the levels
+of the lists that the line lies in, which last from line to line; above them the open
+quotations, brackets and titles. Its input are only the places that can matter: list
+markers at the beginning of a sentence, runs of terminators, quotation marks and
+brackets, and blanks between Thai letters. A stop that belongs to a list marker ends
+nothing. Whether another full stop ends a sentence is read from a trie of
 abbreviations, walked backwards from it, and from what follows.
 """
 
@@ -137,8 +139,6 @@ def _stop_ends(text: str, begin: int, dot: int, end: int) -> bool:
     if len(word) == 1 and word.isalpha() and (k == 0 or text[k - 1] not in "'’"):
         return not word.isupper() and not word.islower()
     if word.isdigit():
-        if LIST_ITEM.match(text, begin, dot + 2) and _follows(text, begin, end) == k:
-            return False
         if nxt.isalpha() and _small(text, at):
             return False
         if nxt.isupper():
@@ -195,14 +195,21 @@ def _after_quote(text: str, at: int, end: int, begun: bool, colon: bool) -> bool
     return colon
 
 
-def _line(text: str, begin: int, end: int, ends: list[int], ignore: frozenset[int] = frozenset()) -> None:
-    """Appends the sentence ends (positions after the last character) of one line."""
+def _marker(text: str, start: int, end: int) -> int:
+    """Where the list marker ends with which a sentence begins, ``start`` if it begins with none."""
+    m = LIST_ITEM.match(text, start, end)
+    return m.end() if m else start
+
+
+def _read(text: str, begin: int, end: int, ignore: frozenset[int]) -> tuple[list[int], frozenset[int]]:
+    """Sentence ends (positions after the last character) of one line, and the marks that are still open at its end."""
+    ends: list[int] = []
     stack: list[tuple[str, int, bool, bool]] = []
     start = _follows(text, begin, end)
-    mark = len(ends)
+    item = _marker(text, start, end)
     for m in EVENT.finditer(text, begin, end):
         a, b = m.span()
-        if b <= start:
+        if b <= start or a < item:
             continue
         ch = text[a]
         if ch in TERMINATORS:
@@ -211,6 +218,7 @@ def _line(text: str, begin: int, end: int, ends: list[int], ignore: frozenset[in
                     b += 1
                 ends.append(b)
                 start = _follows(text, b, end)
+                item = _marker(text, start, end)
         elif ch.isspace():
             if not stack and (THAI.match(text, b) or _leaves_thai(text, b, end)):
                 ends.append(a)
@@ -229,6 +237,7 @@ def _line(text: str, begin: int, end: int, ends: list[int], ignore: frozenset[in
             if mark_open in BRACKETS and not begun or mark_open in QUOTES and _after_quote(text, b, end, begun, colon):
                 ends.append(b)
                 start = _follows(text, b, end)
+                item = _marker(text, start, end)
         elif ch in OPEN and a not in ignore:
             if ch == "‘" and a > begin and text[a - 1].isalnum():
                 continue
@@ -236,24 +245,49 @@ def _line(text: str, begin: int, end: int, ends: list[int], ignore: frozenset[in
             while k >= start and text[k].isspace():
                 k -= 1
             stack.append((ch, a, k >= start, k >= start and text[k] in ":："))
-    if stack:
-        # a mark that is never closed on its line is none: the line is read again without it
-        del ends[mark:]
-        _line(text, begin, end, ends, ignore | {s[1] for s in stack})
-        return
     last = end
     while last > start and text[last - 1].isspace():
         last -= 1
     if last > start:
         ends.append(last)
+    return ends, frozenset(s[1] for s in stack)
+
+
+def _line(text: str, begin: int, end: int) -> list[int]:
+    """Sentence ends of one line. A mark that is never closed on its line is none: the line is read again without it."""
+    ignore: frozenset[int] = frozenset()
+    while True:
+        ends, open_marks = _read(text, begin, end, ignore)
+        if not open_marks:
+            return ends
+        ignore |= open_marks
+
+
+def sentence_units(text: str) -> list[tuple[int, int]]:
+    """(1-based position of the last code point, list level) of each sentence; level 0 is outside any list.
+
+    A line that begins with a list marker opens a level, or goes on with one of its indentation;
+    a line that is indented further belongs to the item above it, any other closes the levels.
+    """
+    out: list[tuple[int, int]] = []
+    levels: list[int] = []
+    for m in LINE.finditer(text):
+        begin, end = m.span()
+        start = _follows(text, begin, end)
+        if start == end:
+            continue
+        indent, item = start - begin, _marker(text, start, end) > start
+        while levels and (levels[-1] > indent or levels[-1] == indent and not item):
+            levels.pop()
+        if item and (not levels or levels[-1] < indent):
+            levels.append(indent)
+        out += [(e, len(levels)) for e in _line(text, begin, end)]
+    return out
 
 
 def sentence_ends(text: str) -> list[int]:
     """1-based positions of the last code point of each sentence."""
-    ends: list[int] = []
-    for m in LINE.finditer(text):
-        _line(text, m.start(), m.end(), ends)
-    return ends
+    return [end for end, _ in sentence_units(text)]
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
@@ -266,19 +300,21 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row", pa.string()), ("ends", pa.list_(pa.int64()))])
+    unit = pa.struct([("sent_end", pa.int64()), ("list_level", pa.int32())])
+    schema = pa.schema([("row", pa.string()), ("units", pa.list_(unit))])
     for batch in batches:
-        ends = [sentence_ends(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, pa.list_(pa.int64()))], schema=schema)
+        units = [[{"sent_end": e, "list_level": n} for e, n in sentence_units(t)] for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(unit))], schema=schema)
 
 
-def split_sentences(df: DataFrame, key: str, text: str, with_text: bool = False) -> DataFrame:
-    """One row per sentence: the key, sent_no (from 0), sent_end (1-based place of its last code point).
+def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per sentence: the key, sent_no (from 0), sent_end (1-based place of its last code point), list_level (0 outside lists).
 
     A line break ends a unit, so headings are units. Null, empty and blank texts have no
     sentence. Repeated rows give their sentences again. A text without any terminator is
     one sentence a line.
     """
     kind = df.schema[key].dataType
-    found = spread(df.select(F.col(key).cast("string").alias("row"), F.col(text).alias("text")).where(F.length("text") > 0)).mapInArrow(_find, "row string, ends array<bigint>")
-    return found.select(F.col("row").cast(kind).alias(key), F.posexplode("ends").alias("sent_no", "sent_end"))
+    rows = spread(df.select(F.col(key).cast("string").alias("row"), F.col(text).alias("text")).where(F.length("text") > 0))
+    found = rows.mapInArrow(_find, "row string, units array<struct<sent_end:bigint,list_level:int>>")
+    return found.select(F.col("row").cast(kind).alias(key), F.posexplode("units").alias("sent_no", "u")).select(key, "sent_no", "u.sent_end", "u.list_level")

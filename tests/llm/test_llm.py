@@ -265,6 +265,14 @@ def test_sentences(text, parts):
     assert [text[a:b] for a, b in sentences.sentence_spans(text)] == parts
 
 
+def test_list_levels():
+    text = "Intro. More.\n1. First. Second!\n   a) Inner (v. 2). Next.\n   tail of it.\nii. Roman. End.\n- dash\n\nOut. 12. Mai ist da."
+    units = [(text[a:b], n) for (a, b), (_, n) in zip(sentences.sentence_spans(text), sentences.sentence_units(text))]
+    assert units == [("Intro.", 0), ("More.", 0), ("1. First.", 1), ("Second!", 1), ("a) Inner (v. 2).", 2), ("Next.", 2), ("tail of it.", 1), ("ii. Roman.", 1), ("End.", 1), ("- dash", 1), ("Out.", 0), ("12. Mai ist da.", 0)]
+    # marks that are never closed are none, however many there are
+    assert len(sentences.sentence_ends("(" * 5000 + "one went. Then «two came. End")) == 3
+
+
 def test_sentence_rows(spark):
     got = sentences.split_sentences(texts(spark, [(1, "One. Two."), (2, None), (3, ""), (4, "a. " * 20000)]), "id", "text")
     assert sorted((r.id, r.sent_no, r.sent_end) for r in got.where("id < 4").collect()) == [(1, 0, 4), (1, 1, 9)]
