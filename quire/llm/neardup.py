@@ -91,9 +91,12 @@ def _distinct_texts(base: DataFrame) -> DataFrame:
 
 
 def _banded(texts: DataFrame, n: int, threshold: float, recall: float, seed: int) -> DataFrame:
-    """(key, th) for each band of each text: one hash of the band's number and value, and the text's hash beside it."""
+    """(key, th) for each band of each text: one hash of the band's number and value, and the text's hash beside it.
+
+    Signatures are written once, so that both sides of a join on bands are one exchange of them.
+    """
     bands, rows = banding(threshold, recall)
-    signed = texts.mapInArrow(_signatures(n, bands, rows, seed), "th binary, bands array<bigint>")
+    signed = cut(texts.mapInArrow(_signatures(n, bands, rows, seed), "th binary, bands array<bigint>"))
     return signed.select(F.posexplode("bands").alias("no", "bh"), "th").select(F.xxhash64("no", "bh").alias("key"), "th")
 
 
