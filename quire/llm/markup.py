@@ -465,6 +465,7 @@ def boilerplate(df: DataFrame, host: str, key: str, text: str, min_tokens: int =
     and empty texts have no row.
     """
     pages = df.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(key).cast("string").alias("page"), F.col(text).alias("text")).where("length(text) > 0 and page is not null").dropDuplicates(["page"])
+    pages = cut(pages)
     size = pages.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("text")) / (4 * shard_tokens))).alias("shards"))
     dealt = pages.join(size, "host").withColumn("shard", F.pmod(F.xxhash64("page"), F.col("shards")))
     local = cut(dealt.select("host", "shard", "shards", "page", "text").groupBy("host", "shard").applyInArrow(_local(min_tokens), _LOCAL))
