@@ -5,12 +5,17 @@ vector is coded relative to the centroid c: the residual is rotated at random an
 only its signs are kept, with scalars that make the estimate of an inner product
 unbiased and give its error bound. Within a box (a cell, or a part of a large one)
 the bounds choose the candidates that are reranked with the full vectors. Each vector
-then visits the boxes of its next nearest cells as a code of eight bits a coordinate,
+then visits the boxes of its next nearest cells as a code of twelve bits a coordinate,
 carrying its k-th best similarity so far; the rows there whose upper bound passes it
 are reranked with their full vectors, and those that are better come back.
 
+The centroids of the cells are fitted on a bounded sample, so their number is bounded; a cell
+that holds more than a box is divided once more by centroids of its own, fitted where it lies
+on a sample of it, and only its nearest regions are visited. So a vector meets about as many
+others in an index of any size.
+
 Full vectors travel as 16 bits a coordinate: half the bytes, with an error of a
-cosine of about 2e-6. A visitor's eight bits leave an error of about 5e-4.
+cosine of about 2e-6. A visitor's twelve bits leave an error of about 3e-5.
 """
 
 from __future__ import annotations
@@ -25,16 +30,27 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-#: Vectors that the centroids are fitted on, vectors a cell has on average, and centroids at most.
-SAMPLE, CELL, MAX_CELLS = 16384, 512, 4096
+#: Vectors that the centroids are fitted on: so many, or 16 a centroid, up to a bound; vectors a cell has on average, and centroids at most.
+SAMPLE, MAX_SAMPLE, CELL, MAX_CELLS = 16384, 65536, 512, 4096
 #: Further cells that a vector visits; vectors a box and visits a task may have.
 PROBES, BOX, VISITS = 6, 8192, 16384
+#: In a divided cell: vectors a region has on average, regions at most, sampled vectors a region, rows a task, and
+#: further regions that a vector visits in its own cell and in another one.
+REGION, MAX_REGIONS, REGION_SAMPLE, ROUTED, OWN_REGIONS, OTHER_REGIONS = 2048, 1024, 16, 32768, 6, 2
+#: A region's number is its cell's, shifted, and its place in the cell.
+SHIFT = 20
 #: Width of the error bound, in units of the estimate's standard deviation.
 EPSILON = 2.4
-#: Superseded rows that are broadcast; beyond it they are joined by a shuffle.
+#: Narrow rows that are broadcast where they are counted to be no more; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """The rows, written once, and marked for a broadcast if they are counted to be few."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
 def live_rows(df: DataFrame, key: str, order: str, op: str, vector: str, dim: int) -> DataFrame:
     """(id, embedding) of the keys whose row of highest ``order`` is an add with ``dim`` elements.
 
@@ -43,8 +59,7 @@ def live_rows(df: DataFrame, key: str, order: str, op: str, vector: str, dim: in
     """
     narrow = df.select(F.col(key).alias("id"), F.col(order).alias("at")).where("id is not null and at is not null")
     last = narrow.groupBy("id").agg(F.max("at").alias("last"))
-    dead = cut(narrow.join(last, "id").where("at < last").select("at"), "superseded")
-    dead = F.broadcast(dead) if dead.count() <= BROADCAST_ROWS else dead
+    dead = _counted(narrow.join(last, "id").where("at < last").select("at"))
     adds = df.where((F.col(op) == "add") & (F.size(vector) == dim)).select(F.col(key).alias("id"), F.col(order).alias("at"), F.col(vector).alias("embedding"))
     return adds.where("id is not null").join(dead, "at", "left_anti").select("id", "embedding")
 
@@ -112,13 +127,21 @@ def estimate(bits: np.ndarray, scalars: np.ndarray, rotated_query: np.ndarray, a
     return at_centre[:, None] + scalars[:, 1][None, :] + inner * (scalars[:, 0] / scalars[:, 2])[None, :], scalars[:, 3]
 
 
-def eight_bits(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates in 256 steps between the row's extremes: codes, and (low, step, length of the rounding error)."""
+def twelve_bits(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates in 4096 steps between the row's extremes: packed codes, and (low, step, length of the rounding error)."""
     low = rotated.min(axis=1)
-    step = np.maximum((rotated.max(axis=1) - low) / 255, 1e-12)
-    code = np.clip(np.rint((rotated - low[:, None]) / step[:, None]), 0, 255).astype(np.uint8)
+    step = np.maximum((rotated.max(axis=1) - low) / 4095, 1e-12)
+    code = np.clip(np.rint((rotated - low[:, None]) / step[:, None]), 0, 4095).astype(np.uint16)
     off = np.linalg.norm(rotated - (low[:, None] + code * step[:, None]), axis=1)
-    return code, np.stack([low, step, off], axis=1).astype(np.float32)
+    last = np.pad((code & 15).astype(np.uint8), ((0, 0), (0, code.shape[1] % 2)))
+    return np.concatenate([(code >> 4).astype(np.uint8), last[:, ::2] << 4 | last[:, 1::2]], axis=1), np.stack([low, step, off], axis=1).astype(np.float32)
+
+
+def from_twelve(packed: np.ndarray, scale: np.ndarray, dim: int) -> np.ndarray:
+    """Coordinates of packed codes, as near as their steps allow."""
+    high, low = packed[:, :dim].astype(np.float32), packed[:, dim:]
+    last = np.stack([low >> 4, low & 15], axis=2).reshape(len(packed), -1)[:, :dim]
+    return scale[:, 0:1] + (high * 16 + last) * scale[:, 1:2]
 
 
 def pack16(unit: np.ndarray) -> pa.Array:
@@ -169,24 +192,80 @@ def _assign(centroids: np.ndarray, probes: int):
     return run
 
 
-_HOME = "id string, cell int, part int, code binary, scale binary, floor double, others array<string>, sims array<double>, probes array<int>"
+def _fit_regions(dim: int):
+    schema = pa.schema([("cell", pa.int32()), ("subs", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        sample = unpack16(table.column("vec").combine_chunks(), dim)
+        cell = table.column("cell")[0].as_py()
+        subs = fit_centroids(sample, min(len(sample), table.column("regions")[0].as_py()), seed=cell)
+        return pa.Table.from_arrays([pa.array([cell], pa.int32()), pa.array([subs.astype(np.float32).tobytes()], pa.binary())], schema=schema)
+
+    return run
+
+
+def _route(dim: int):
+    """The nearest regions of a divided cell for the vectors that live in it or visit it."""
+    schema = pa.schema([("id", pa.string()), ("nth", pa.int32()), ("near", pa.list_(pa.int64()))])
+
+    def run(rows: pa.Table, subs: pa.Table) -> pa.Table:
+        if not len(rows) or not len(subs):
+            return schema.empty_table()
+        centres = np.frombuffer(subs.column("subs")[0].as_py(), np.float32).reshape(-1, dim)
+        base = rows.column("cell")[0].as_py() << SHIFT
+        nth = rows.column("nth").to_numpy()
+        unit, near = unpack16(rows.column("vec").combine_chunks(), dim), []
+        for a in range(0, len(unit), 1024):
+            order = np.argsort(-(unit[a : a + 1024] @ centres.T), axis=1, kind="stable")
+            near += [base + own[: 1 + OWN_REGIONS if n == 0 else OTHER_REGIONS].astype(np.int64) for own, n in zip(order, nth[a : a + 1024].tolist())]
+        return pa.Table.from_arrays([rows.column("id").combine_chunks(), rows.column("nth").combine_chunks().cast(pa.int32()), pa.array(near, pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def _regions(placed: DataFrame, dim: int) -> DataFrame:
+    """(id, vec, region, probes): where each vector lives and the regions it visits, cells of more than a box divided.
+
+    A divided cell is sampled by hash in proportion to its regions, and its centroids are fitted
+    in one task on that bounded sample; they go to the tasks that route its vectors, never to the driver.
+    """
+    whole = F.col("cell").cast("long") * (1 << SHIFT)
+    big = cut(placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BOX).withColumn("regions", F.least(F.lit(MAX_REGIONS), F.ceil(F.col("n") / REGION)).cast("int")))
+    if not big.limit(1).count():
+        return placed.select("id", "vec", whole.alias("region"), F.transform("probes", lambda c: c.cast("long") * (1 << SHIFT)).alias("probes"))
+    # cells are at most MAX_CELLS, so what there is one row of for each is small
+    share = F.least(F.lit(1.0), F.col("regions") * (1.2 * REGION_SAMPLE) / F.col("n"))
+    sampled = placed.join(F.broadcast(big), "cell").where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20) + 1)
+    subs = cut(sampled.select("cell", "regions", "vec").groupBy("cell").applyInArrow(_fit_regions(dim), "cell int, subs binary"))
+    aims = placed.select("id", F.posexplode(F.concat(F.array("cell"), "probes")).alias("nth", "cell"))
+    meant = placed.select("id", "vec", F.posexplode(F.concat(F.array("cell"), "probes")).alias("nth", "cell")).join(F.broadcast(big.select("cell")), "cell")
+    tasks = F.broadcast(meant.groupBy("cell").agg(F.ceil(F.count("*") / ROUTED).cast("int").alias("tasks")))
+    rows = meant.join(tasks, "cell").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).drop("tasks")
+    centres = subs.join(tasks, "cell").select("cell", "subs", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    routed = rows.groupBy("cell", "task").cogroup(centres.groupBy("cell", "task")).applyInArrow(_route(dim), "id string, nth int, near array<bigint>")
+    plain = aims.join(F.broadcast(big.select("cell")), "cell", "left_anti").select("id", F.col("nth").cast("int").alias("nth"), F.array(whole).alias("near"))
+    found = plain.unionAll(routed).groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "near"))), lambda x: x["near"])).alias("near"))
+    near = found.select("id", F.get("near", F.lit(0)).alias("region"), F.slice("near", 2, F.greatest(F.size("near") - 1, F.lit(0))).alias("probes"))
+    return cut(placed.select("id", "vec").join(near, "id"))
+
+
+_HOME = "id string, region long, part int, code binary, scale binary, floor double, others array<string>, sims array<double>, probes array<bigint>"
 
 
 def _home(centroids: np.ndarray, k: int):
     dim = centroids.shape[1]
-    fields = [("id", pa.string()), ("cell", pa.int32()), ("part", pa.int32()), ("code", pa.binary()), ("scale", pa.binary()), ("floor", pa.float64()), ("others", pa.list_(pa.string())), ("sims", pa.list_(pa.float64())), ("probes", pa.list_(pa.int32()))]
+    fields = [("id", pa.string()), ("region", pa.int64()), ("part", pa.int32()), ("code", pa.binary()), ("scale", pa.binary()), ("floor", pa.float64()), ("others", pa.list_(pa.string())), ("sims", pa.list_(pa.float64())), ("probes", pa.list_(pa.int64()))]
     schema = pa.schema(fields)
 
     def run(table: pa.Table) -> pa.Table:
         turned = rotation(dim)
         unit = unpack16(table.column("vec").combine_chunks(), dim)
-        cell, n = table.column("cell")[0].as_py(), len(unit)
-        centre = centroids[cell]
+        n, centre = len(unit), centroids[table.column("region")[0].as_py() >> SHIFT]
         bits, scalars = encode(unit, centre, turned)
         rotated = (unit - centre) @ turned
         length = np.linalg.norm(rotated, axis=1)
         at_centre = unit @ centre
-        whole, scale = eight_bits(unit @ turned)
+        whole, scale = twelve_bits(unit @ turned)
         ids = table.column("id").to_pylist()
         floor = np.full(n, -2.0)
         others: list[list[str]] = []
@@ -216,7 +295,7 @@ def _home(centroids: np.ndarray, k: int):
                 sims.append(exact[s:e].tolist())
                 if e - s == k:
                     floor[a + i] = exact[e - 1]
-        arrays = [table.column("id").combine_chunks(), table.column("cell").combine_chunks(), table.column("part").combine_chunks(), _blobs(whole), _blobs(scale), pa.array(floor), pa.array(others, pa.list_(pa.string())), pa.array(sims, pa.list_(pa.float64())), table.column("probes").combine_chunks()]
+        arrays = [table.column("id").combine_chunks(), table.column("region").combine_chunks(), table.column("part").combine_chunks(), _blobs(whole), _blobs(scale), pa.array(floor), pa.array(others, pa.list_(pa.string())), pa.array(sims, pa.list_(pa.float64())), table.column("probes").combine_chunks()]
         return pa.Table.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
 
     return run
@@ -230,7 +309,7 @@ def _visit(centroids: np.ndarray):
         if not len(rows) or not len(visits):
             return schema.empty_table()
         turned = rotation(dim)
-        centre = centroids[rows.column("cell")[0].as_py()]
+        centre = centroids[rows.column("region")[0].as_py() >> SHIFT]
         unit = unpack16(rows.column("vec").combine_chunks(), dim)
         bits, scalars = encode(unit, centre, turned)
         full, moved = unit @ turned, centre @ turned
@@ -239,7 +318,7 @@ def _visit(centroids: np.ndarray):
         floor = visits.column("vfloor").to_numpy()
         left, right, sims = [], [], []
         for a in range(0, len(visits), 1024):
-            query = scale[a : a + 1024, 0:1] + code[a : a + 1024] * scale[a : a + 1024, 1:2]
+            query = from_twelve(code[a : a + 1024], scale[a : a + 1024], dim)
             residual = query - moved
             est, err = estimate(bits, scalars, residual, query @ moved, dim)
             length = np.linalg.norm(residual, axis=1)
@@ -265,36 +344,43 @@ def most_similar(df: DataFrame, key: str, order: str, op: str, vector: str, dim:
     values, not all zero. Lengths don't matter. Equal vectors under different keys are
     different ones; ties go to the smaller key. With fewer than k + 1 live vectors each
     gets all others. An empty index gives an empty result. The centroids are fitted on
-    at most ``SAMPLE`` vectors; every vector is indexed.
+    at most ``MAX_SAMPLE`` vectors; every vector is indexed.
     """
     unit = live_rows(df, key, order, op, vector, dim).mapInArrow(_units(dim), "id string, vec binary")
     # the centroids need no liveness: a bounded sample of the adds, by hash of the key
     adds = df.where((F.col(op) == "add") & (F.size(vector) == dim)).select(F.col(key).alias("id"), F.col(vector).alias("embedding"))
     total = adds.count()
-    share = min(1.0, 1.2 * SAMPLE / max(1, total))
+    cells = min(MAX_CELLS, max(1, total // CELL))
+    size = min(MAX_SAMPLE, max(SAMPLE, 16 * cells))
+    share = min(1.0, 1.2 * size / max(1, total))
     near = adds.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-    picked = near.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).mapInArrow(_units(dim), "id string, vec binary").select("vec").toArrow()
+    picked = near.orderBy(F.xxhash64("id"), "id").limit(size).mapInArrow(_units(dim), "id string, vec binary").select("vec").toArrow()
     sample = unpack16(picked.column("vec").combine_chunks(), dim) if len(picked) else np.zeros((0, dim), np.float32)
     if not len(sample):
         return df.sparkSession.createDataFrame([], "id string, rank int, other string, similarity double")
-    centroids = fit_centroids(sample, min(len(sample), MAX_CELLS, max(1, total // CELL)))
-
-    placed = cut(unit.mapInArrow(_assign(centroids, probes), "id string, vec binary, cell int, probes array<int>"), "cells")
-    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / BOX).cast("int").alias("parts"))
-    boxed = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    home = cut(boxed.select("id", "vec", "cell", "part", "probes").groupBy("cell", "part").applyInArrow(_home(centroids, k), _HOME), "home")
-
-    # the other parts of a large cell are visited like further cells
-    again = home.join(F.broadcast(parts.where("parts > 1")), "cell").select("id", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"), "part").where("to <> part").select("id", "cell", F.col("to").alias("part"))
-    further = home.select("id", F.explode("probes").alias("cell")).join(F.broadcast(parts), "cell").select("id", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    tasks = again.unionAll(further).groupBy("cell", "part").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("tasks"))
-
-    codes = home.select("id", "code", "scale", "floor", "cell", "part", "probes")
-    wide = codes.select("id", "code", "scale", "floor", F.col("part").alias("own"), F.posexplode(F.concat(F.array("cell"), "probes")).alias("nth", "cell")).join(F.broadcast(parts), "cell")
-    visits = wide.select("id", "code", "scale", "floor", "cell", "nth", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).where("nth > 0 or part <> own")
-    visits = visits.join(F.broadcast(tasks), ["cell", "part"]).withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).select(F.col("id").alias("visitor"), F.col("code").alias("vcode"), F.col("scale").alias("vscale"), F.col("floor").alias("vfloor"), F.col("cell").alias("vcell"), F.col("part").alias("vpart"), F.col("task").alias("vtask"))
-    rows = boxed.join(F.broadcast(tasks), ["cell", "part"]).select("id", "vec", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
-    far = rows.groupBy("cell", "part", "task").cogroup(visits.groupBy("vcell", "vpart", "vtask")).applyInArrow(_visit(centroids), "id string, other string, similarity double")
+    centroids = fit_centroids(sample, min(len(sample), cells))
+
+    placed = cut(unit.mapInArrow(_assign(centroids, probes), "id string, vec binary, cell int, probes array<int>"))
+    settled = _regions(placed, dim)
+    # a region that equal vectors make large is dealt into boxes by hash, which visit each other
+    parts = _counted(settled.groupBy("region").agg(F.ceil(F.count("*") / BOX).cast("int").alias("parts")))
+    boxed = settled.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    home = cut(boxed.select("id", "vec", "region", "part", "probes").groupBy("region", "part").applyInArrow(_home(centroids, k), _HOME))
+
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    aims = F.posexplode(F.concat(F.array("region"), "probes")).alias("nth", "region")
+    visited = home.select("id", F.col("part").alias("own"), aims).join(parts, "region").select("id", "region", "nth", "own", F.explode(every).alias("part")).where("nth > 0 or part <> own")
+    tasks = _counted(visited.groupBy("region", "part").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("tasks")))
+
+    wide = home.select("id", "code", "scale", "floor", F.col("part").alias("own"), aims).join(parts, "region")
+    visits = wide.select("id", "code", "scale", "floor", "region", "nth", "own", F.explode(every).alias("part")).where("nth > 0 or part <> own")
+    visits = visits.join(tasks, ["region", "part"]).select(
+        F.col("id").alias("visitor"), F.col("code").alias("vcode"), F.col("scale").alias("vscale"), F.col("floor").alias("vfloor"), F.col("region").alias("vregion"), F.col("part").alias("vpart"),
+        F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("vtask"),
+    )
+    rows = boxed.join(tasks, ["region", "part"]).select("id", "vec", "region", "part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    met = rows.groupBy("region", "part", "task").cogroup(visits.groupBy("vregion", "vpart", "vtask"))
+    far = met.applyInArrow(_visit(centroids), "id string, other string, similarity double")
     near_by = home.select("id", F.explode(F.arrays_zip("others", "sims")).alias("x")).select("id", F.col("x.others").alias("other"), F.col("x.sims").alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     return near_by.unionAll(far).withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "other", "similarity")

@@ -395,6 +395,33 @@ def test_neighbours_against_brute_force(spark):
     assert all(abs(near.get((r.id, r.other), r.similarity) - r.similarity) < 2e-3 for r in got)
 
 
+def test_divided_cells(spark, monkeypatch):
+    for name, value in (("BOX", 150), ("REGION", 60), ("CELL", 400), ("ROUTED", 500), ("BROADCAST_ROWS", 3)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(8)
+    data = rng.standard_normal((40, 48))[rng.integers(0, 40, 1600)] + 0.3 * rng.standard_normal((1600, 48))
+    data[1200:] = data[1200] * rng.uniform(1, 2, (400, 1)) + 1e-4 * rng.standard_normal((400, 48))
+    df = spark.createDataFrame([(i, f"v{i:05d}", "add", v.tolist()) for i, v in enumerate(data)], "seq long, id string, op string, embedding array<float>")
+    got = neighbours.most_similar(df, "id", "seq", "op", "embedding", dim=48).collect()
+    x = data / np.linalg.norm(data, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    best = np.sort(s, axis=1)[:, -5]
+    assert {r.id for r in got} == {f"v{i:05d}" for i in range(1600)} and len(got) == 8000 and len({(r.id, r.other) for r in got}) == 8000
+    # hits that are as near as the fifth nearest, but for the rounding of equal ones
+    good = [s[int(r.id[1:]), int(r.other[1:])] >= best[int(r.id[1:])] - 1e-5 for r in got]
+    assert np.mean(good) >= 0.95 and all(abs(s[int(r.id[1:]), int(r.other[1:])] - r.similarity) < 2e-4 for r in got)
+
+
+def test_twelve_bits():
+    rng = np.random.default_rng(9)
+    for dim in (7, 48):
+        x = rng.standard_normal((50, dim)).astype(np.float32)
+        packed, scale = neighbours.twelve_bits(x)
+        off = np.linalg.norm(neighbours.from_twelve(packed, scale, dim) - x, axis=1)
+        assert packed.shape[1] == dim + (dim + 1) // 2 and np.allclose(off, scale[:, 2], atol=1e-5) and off.max() < 6e-3
+
+
 def test_neighbours_of_few_and_none(spark):
     df = spark.createDataFrame([(1, "a", "add", [1.0, 0.0]), (2, "b", "add", [0.0, 1.0])], "seq long, id string, op string, embedding array<float>")
     assert sorted((r.id, r.other) for r in neighbours.most_similar(df, "id", "seq", "op", "embedding", dim=2).collect()) == [("a", "b"), ("b", "a")]
