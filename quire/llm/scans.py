@@ -2,14 +2,17 @@
 
 Headers and footers are lines at page edges that recur on pages of one document,
 compared in a folded form in which characters that are misread for each other are
-equal; what the folding leaves apart is joined on the line's beginning or end and held
-to an edit distance. Page numbers are recognised by form and checked as sequences. Words
-are judged by the vocabulary of the corpus, counted over all pages: it tells cut
-words from compounds and misread words from rare ones.
+equal; what the folding leaves apart is held to an edit distance from the recurring
+lines of its document. Page numbers are recognised by form and checked as sequences.
+Words are judged by the vocabulary of the corpus, counted over all pages: it tells cut
+words from compounds and misread words from rare ones. The frequent words, whose number
+is bounded, go to all executors; what a page asks about any other word is looked up by a
+join with the table of all counts.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import unicodedata
 from collections import Counter
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, spread
 
-#: Share of all words from which a word belongs to the vocabulary, which bounds it to 1 / share entries; and a least count.
+#: Share of all words from which a word is a frequent one, which bounds those to 1 / share entries; and the least count of any word that is known.
 SHARE, LEAST = 5e-6, 3
 #: A form is a misreading of a word that is so many times as frequent. Pages a header recurs on.
 RATIO, PAGES = 30, 3
@@ -159,7 +162,11 @@ def page_number(line: str) -> tuple[str, int | None, str]:
 
 
 class Vocabulary:
-    """Words and compounds of the corpus that are frequent enough, and the folded forms they have."""
+    """Words and compounds of the corpus, and the most frequent word of each folded form.
+
+    It holds the frequent ones; ``extra`` holds what was looked up about others: "w:" and a word
+    or "c:" and a compound to its count, "f:" and a folded form to its best (count, word).
+    """
 
     def __init__(self, words: dict[str, int], compounds: dict[str, int]):
         best: dict[str, tuple[int, str]] = {}
@@ -172,12 +179,37 @@ class Vocabulary:
         self.words = words
         self.known = {w for w, n in words.items() if len(w) < 4 or n * RATIO > best[fold(w)][0]}
         self.compounds = compounds
+        self.extra: dict[str, tuple[int, str]] = {}
+
+    def with_extra(self, rows: list[dict] | None) -> Vocabulary:
+        """The vocabulary with what was looked up for one page."""
+        if not rows:
+            return self
+        out = copy.copy(self)
+        out.extra = {r["key"]: (r["n"], r["word"] or "") for r in rows}
+        return out
+
+    def count(self, word: str) -> int:
+        return self.words.get(word) or self.extra.get(f"w:{word}", (0, ""))[0]
+
+    def compound(self, word: str) -> int:
+        return self.compounds.get(word) or self.extra.get(f"c:{word}", (0, ""))[0]
+
+    def best(self, folded: str) -> tuple[int, str] | None:
+        # a frequent word of that form is more frequent than any other
+        return self.folds.get(folded) or self.extra.get(f"f:{folded}")
+
+    def knows(self, word: str) -> bool:
+        if word in self.known:
+            return True
+        n = 0 if word in self.words else self.count(word)
+        return n > 0 and (len(word) < 4 or n * RATIO > (self.best(fold(word)) or (0, ""))[0])
 
     def meant(self, word: str) -> str | None:
         """The word that an unknown lower-case form is a misreading of, if the corpus knows one."""
-        if len(word) < 4 or word in self.known:
+        if len(word) < 4 or self.knows(word):
             return None
-        hit = self.folds.get(fold(word))
+        hit = self.best(fold(word))
         return hit[1] if hit and hit[1] != word else None
 
     def joins(self, left: str, mark: str, right: str) -> bool:
@@ -186,15 +218,30 @@ class Vocabulary:
             return True
         a, b = left.lower(), right.lower()
         whole, tail = a + b, a.rpartition("-")[2] + b
-        held = self.compounds.get(f"{a}-{b}", 0)
+        held = self.compound(f"{a}-{b}")
         if held:
-            return max(self.words.get(whole, 0), self.words.get(tail, 0)) > held / 4 and "-" not in a
+            return max(self.count(whole), self.count(tail)) > held / 4 and "-" not in a
         if "-" in a:
-            return tail in self.known and tail in self.words or self.meant(tail) is not None
-        if whole in self.words or self.meant(whole) is not None:
+            return self.knows(tail) and self.count(tail) > 0 or self.meant(tail) is not None
+        if self.count(whole) or self.meant(whole) is not None:
             return True
         # neither form is known: two known words of some length are a compound
-        return not (self.words.get(a, 0) and self.words.get(b, 0) and min(len(a), len(b)) >= 4 and a in self.known and b in self.known)
+        return not (self.count(a) and self.count(b) and min(len(a), len(b)) >= 4 and self.knows(a) and self.knows(b))
+
+    def asks(self, word: str) -> list[str]:
+        """What must be looked up to judge a word, nothing for a frequent one."""
+        if word in self.words:
+            return []
+        out = [f"w:{word}"]
+        if len(word) >= 4 and (f := fold(word)) not in self.folds:
+            out.append(f"f:{f}")
+        return out
+
+    def asks_cut(self, left: str, right: str) -> list[str]:
+        """What must be looked up to join a cut word."""
+        a, b = left.lower(), right.lower()
+        out = [k for w in {a, b, a + b, a.rpartition("-")[2] + b} for k in self.asks(w)]
+        return out if f"{a}-{b}" in self.compounds else [*out, f"c:{a}-{b}"]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,41 +253,71 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
 
-def vocabulary(df: DataFrame, text: str) -> Vocabulary:
-    """Words and hyphenated forms with a share of ``SHARE`` or more of all, counted over all rows.
+_TABLE = "key string, n long, word string"
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, counts, words = [], [], []
+        for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if len(w) >= 4:
+                keys.append(f"f:{fold(w)}"), counts.append(n), words.append(w)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(words, pa.string())], names=["key", "n", "word"])
+
+
+def vocabulary(df: DataFrame, text: str) -> tuple[Vocabulary, DataFrame]:
+    """The frequent words and compounds of all rows, and the table of all others to look up: key, n, word.
 
     No more than 1 / SHARE words can have that share, whatever the corpus; only those are collected.
+    Words that occur under ``LEAST`` times are not known.
     """
-    counts = cut(df.select(F.col(text).alias("text")).where(F.length("text") > 0).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    given = df.select(F.col(text).alias("text")).where(F.length("text") > 0)
+    counts = cut(given.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(LEAST, int(total * SHARE))).collect()
-    return Vocabulary({r.word: r.n for r in rows if "-" not in r.word}, {r.word: r.n for r in rows if "-" in r.word})
+    rows = counts.where(F.col("n") >= total * SHARE).collect()
+    rare = counts.where(F.col("n") < total * SHARE)
+    named = rare.select(F.concat(F.when(F.contains("word", F.lit("-")), "c:").otherwise("w:"), "word").alias("key"), "n", F.lit(None).cast("string").alias("word"))
+    folded = rare.where(~F.contains("word", F.lit("-"))).mapInArrow(_folded, _TABLE).groupBy("key").agg(F.max(F.struct("n", "word")).alias("b")).select("key", "b.n", "b.word")
+    return Vocabulary({r.word: r.n for r in rows if "-" not in r.word}, {r.word: r.n for r in rows if "-" in r.word}), named.unionAll(folded)
 
 
-def misread(text: str, vocab: Vocabulary) -> bool:
-    """Whether a page has misread, stray or scattered characters."""
+def suspects(text: str, vocab: Vocabulary) -> tuple[bool, set[str]]:
+    """Whether a page surely has misread, stray or scattered characters; if not, the words to be looked up for it."""
     plain = _ORDINAL.sub(" ", text) if _NEAR_DIGIT.search(text) else text
     if plainly_misread(plain):
-        return True
+        return True, set()
+    open_words: set[str] = set()
+    known = vocab.known
     for _, left, _, right, _ in cuts(plain):
         whole = (left + right).lower()
-        if right and whole.isalpha() and vocab.meant(whole):
-            return True
-    known = vocab.known
+        if right and whole.isalpha() and len(whole) > 3 and whole not in known:
+            open_words.add(whole)
     for w in _WORD.findall(uncut(plain).lower()):
-        if w not in known and len(w) > 3 and w < "　" and any(vocab.meant(p) for p in w.split("-")):
-            return True
-    return False
+        if w not in known and len(w) > 3 and w < "\u3000":
+            open_words.update(p for p in w.split("-") if len(p) > 3 and p not in known)
+    if any(not vocab.asks(w) and vocab.meant(w) for w in open_words):
+        return True, set()
+    return False, {w for w in open_words if vocab.asks(w)}
+
+
+def misread(text: str, vocab: Vocabulary) -> bool:
+    """Whether a page has misread, stray or scattered characters, by what the vocabulary holds."""
+    sure, rest = suspects(text, vocab)
+    return sure or any(vocab.meant(w) for w in rest)
+
+
+_EDGES = "array<struct<line:string,key:string,number:int,strength:string,place:int>>"
+_SEEN = f"rid long, row string, doc string, page int, hyphen boolean, char boolean, edges {_EDGES}, cut_words array<array<string>>, words array<string>, asks array<string>"
 
 
 def _features(vocab: Vocabulary):
     edge = pa.struct([("line", pa.string()), ("key", pa.string()), ("number", pa.int32()), ("strength", pa.string()), ("place", pa.int32())])
-    schema = pa.schema([("row", pa.string()), ("doc", pa.string()), ("page", pa.int32()), ("hyphen", pa.bool_()), ("char", pa.bool_()), ("edges", pa.list_(edge))])
+    schema = pa.schema([("rid", pa.int64()), ("row", pa.string()), ("doc", pa.string()), ("page", pa.int32()), ("hyphen", pa.bool_()), ("char", pa.bool_()), ("edges", pa.list_(edge)), ("cut_words", pa.list_(pa.list_(pa.string()))), ("words", pa.list_(pa.string())), ("asks", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hyphens, chars, edges = [], [], []
-            for text in batch.column(3).to_pylist():
+            hyphens, chars, edges, cut_words, words, asks = [], [], [], [], [], []
+            for text in batch.column(4).to_pylist():
                 lines = [line.strip() for line in text.split("\n") if line.strip()]
                 own = []
                 for inner, places in ((1, (0, 1)), (-1, (-1, -2))):
@@ -255,33 +332,72 @@ def _features(vocab: Vocabulary):
                         if not (number is not None and not rest):
                             break
                 edges.append(own)
-                hyphens.append(any(vocab.joins(left, mark, right) for _, left, mark, right, _ in cuts(text) if right or mark in "¬\xad"))
-                chars.append(misread(text, vocab))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hyphens), pa.array(chars), pa.array(edges, pa.list_(edge))], schema=schema)
+                # what the frequent words leave open is looked up
+                hyphen, open_cuts = False, []
+                for _, left, mark, right, _ in cuts(text):
+                    if not right and mark not in "¬\xad":
+                        continue
+                    if mark in "¬\xad" or not vocab.asks_cut(left, right):
+                        hyphen |= vocab.joins(left, mark, right)
+                    else:
+                        open_cuts.append([left, mark, right])
+                open_cuts = [] if hyphen else open_cuts
+                char, open_words = suspects(text, vocab)
+                hyphens.append(hyphen), chars.append(char), cut_words.append(open_cuts), words.append(sorted(open_words))
+                asks.append(sorted({k for c in open_cuts for k in vocab.asks_cut(c[0], c[2])} | {k for w in open_words for k in vocab.asks(w)}))
+            found = [pa.array(hyphens), pa.array(chars), pa.array(edges, pa.list_(edge)), pa.array(cut_words, schema.field("cut_words").type), pa.array(words, pa.list_(pa.string())), pa.array(asks, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + found, schema=schema)
+
+    return run
+
+
+def _settle(vocab: Vocabulary):
+    """Decides what was left open, with what was looked up."""
+    schema = pa.schema([("rid", pa.int64()), ("hyphen", pa.bool_()), ("char", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hyphens, chars = [], []
+            for open_cuts, words, extra in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                own = vocab.with_extra(extra)
+                hyphens.append(any(own.joins(*c) for c in open_cuts))
+                chars.append(any(own.meant(w) for w in words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hyphens, pa.bool_()), pa.array(chars, pa.bool_())], schema=schema)
 
     return run
 
 
-def page_noise(df: DataFrame, key: str, doc: str, page: str, text: str) -> DataFrame:
+def _looked_up(asking: DataFrame, by: str, table: DataFrame) -> DataFrame:
+    """(by, extra) of what the table of words holds of that which each row asks for."""
+    met = asking.select(by, F.explode("asks").alias("key")).join(table, "key")
+    return met.groupBy(by).agg(F.collect_list(F.struct("key", "n", "word")).alias("extra"))
+
+
+def page_noise(df: DataFrame, key: str, doc: str, page: str, text: str, known: tuple[Vocabulary, DataFrame] | None = None) -> DataFrame:
     """Noise of each scanned page.
 
     Columns: the key; hyphen, char, header, pageno (boolean); header_places and number_places
     (0, 1, -1 or -2: places of these lines from the page's first or last written line).
     A null page counts as a page of its own; pages of a null document have no headers.
     Null and empty texts have no row. Repeated rows of a key stay and count as one page.
+    ``known`` is the corpus's ``vocabulary``, if it was counted before.
     """
     rows = df.select(F.col(key).cast("string").alias("row"), F.col(doc).cast("string").alias("doc"), F.col(page).cast("int").alias("page"), F.col(text).alias("text")).where(F.length("text") > 0)
     rows = spread(rows)
-    edge = "array<struct<line:string,key:string,number:int,strength:string,place:int>>"
-    seen = cut(rows.mapInArrow(_features(vocabulary(rows, "text")), f"row string, doc string, page int, hyphen boolean, char boolean, edges {edge}"), "pages")
+    vocab, table = known or vocabulary(rows, "text")
+    numbered = rows.select(F.xxhash64("row", "doc", "page", "text").alias("rid"), "row", "doc", "page", "text")
+    seen = cut(numbered.mapInArrow(_features(vocab), _SEEN))
+    asking = seen.where(F.size("asks") > 0).select("rid", "cut_words", "words", "asks").dropDuplicates(["rid"])
+    settled = asking.join(_looked_up(asking, "rid", table), "rid", "left").select("rid", "cut_words", "words", "extra").mapInArrow(_settle(vocab), "rid long, hyphen boolean, char boolean")
     edges = seen.select("row", "doc", F.coalesce(F.col("page").cast("string"), F.concat(F.lit("?"), "row")).alias("page_id"), "page", F.explode("edges").alias("e")).select("row", "doc", "page_id", "page", "e.*").distinct()
 
     lines = edges.where("doc is not null and length(key) >= 3")
     recurring = lines.groupBy("doc", "key").agg(F.countDistinct("page_id").alias("pages"))
-    # folding leaves some misreadings apart: rarer lines that begin or end like a recurring one and are within an edit distance
-    parts = recurring.where("length(key) >= 6").select("doc", "key", "pages", F.posexplode(F.array(F.left("key", F.lit(4)), F.right("key", F.lit(4)))).alias("no", "part"))
-    most = parts.where("pages >= 2").select("doc", "no", "part", F.col("key").alias("main"), F.col("pages").alias("main_pages"))
-    near = parts.join(most, ["doc", "no", "part"]).where((F.col("pages") < F.col("main_pages")) & (F.col("key") != F.col("main")) & (F.levenshtein("key", "main") * 6 <= F.greatest(F.length("key"), F.lit(12))))
+    # folding leaves some misreadings apart: a rarer line within an edit of six letters (two at least) from a recurring one; under six letters none
+    most = recurring.where("pages >= 2 and length(key) >= 4").select("doc", F.col("key").alias("main"), F.col("pages").alias("main_pages"))
+    room = F.greatest(F.length("key"), F.lit(12))
+    close = (F.abs(F.length("key") - F.length("main")) * 6 <= room) & (F.levenshtein("key", "main") * 6 <= room)
+    near = recurring.where("length(key) >= 6").join(most, "doc").where((F.col("pages") < F.col("main_pages")) & (F.col("key") != F.col("main")) & close)
     alias = near.groupBy("doc", "key").agg(F.max_by("main", F.struct("main_pages", "main")).alias("main"))
     named = lines.join(alias, ["doc", "key"], "left").withColumn("main", F.coalesce("main", "key"))
     headers = named.groupBy("doc", "main").agg(F.countDistinct("page_id").alias("pages")).where(F.col("pages") >= PAGES).select("doc", "main")
@@ -296,7 +412,9 @@ def page_noise(df: DataFrame, key: str, doc: str, page: str, text: str) -> DataF
     with_number = checked.where(~lone).groupBy("row").agg(F.collect_set("place").alias("number_places"))
 
     none = F.array().cast("array<int>")
-    out = seen.select("row", "hyphen", "char").join(with_header, "row", "left").join(with_number, "row", "left")
+    later = settled.select("rid", F.col("hyphen").alias("h2"), F.col("char").alias("c2"))
+    flags = seen.select("rid", "row", "hyphen", "char").join(later, "rid", "left").select("row", (F.col("hyphen") | F.coalesce("h2", F.lit(False))).alias("hyphen"), (F.col("char") | F.coalesce("c2", F.lit(False))).alias("char"))
+    out = flags.join(with_header, "row", "left").join(with_number, "row", "left")
     out = out.withColumn("header_places", F.coalesce("header_places", none)).withColumn("number_places", F.coalesce("number_places", none))
     out = out.withColumn("header", F.size("header_places") > 0).withColumn("pageno", F.size("number_places") > 0)
     return out.select(F.col("row").cast(df.schema[key].dataType).alias(key), "hyphen", "char", "header", "pageno", "header_places", "number_places")
@@ -329,14 +447,34 @@ def repair(text: str, vocab: Vocabulary, header_places: list[int], number_places
     def word(m: re.Match) -> str:
         own = m.group()
         low = own.lower()
-        if low in vocab.known or not any(c.isalpha() for c in own):
+        if vocab.knows(low) or not any(c.isalpha() for c in own):
             return own
         to = vocab.meant(low)
         if to is None:
             return own
         return to.upper() if own.isupper() else to.capitalize() if own[0].isupper() or not own[0].isalpha() and low[0] != own[0] else to
 
-    return re.sub(r"[^\W_\d][\w@!|:]*(?<!:)|[0158@!][^\W\d_][\w@!|]*", word, body).strip()
+    return _REPAIRED.sub(word, body).strip()
+
+
+_REPAIRED = re.compile(r"[^\W_\d][\w@!|:]*(?<!:)|[0158@!][^\W\d_][\w@!|]*")
+
+
+def _asks_of(vocab: Vocabulary):
+    """What must be looked up to repair each page."""
+    schema = pa.schema([("row", pa.string()), ("asks", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asks = []
+            for text in batch.column(1).to_pylist():
+                own = {k for _, left, mark, right, _ in cuts(text) if right and mark not in "¬\xad" for k in vocab.asks_cut(left, right)}
+                whole = [(left + right).lower() for _, left, _, right, _ in cuts(text)]
+                own.update(k for w in {*whole, *(m.group().lower() for m in _REPAIRED.finditer(text))} if len(w) > 3 and w not in vocab.known for k in vocab.asks(w))
+                asks.append(sorted(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(asks, pa.list_(pa.string()))], schema=schema)
+
+    return run
 
 
 def _repair(vocab: Vocabulary):
@@ -344,7 +482,7 @@ def _repair(vocab: Vocabulary):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [repair(t, vocab, h or [], n or []) for t, h, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+            texts = [repair(t, vocab.with_extra(x), h or [], n or []) for t, h, n, x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
 
     return run
@@ -352,9 +490,10 @@ def _repair(vocab: Vocabulary):
 
 def repair_pages(df: DataFrame, key: str, doc: str, page: str, text: str) -> DataFrame:
     """The pages as readable paragraphs: the key and text, one row a key. Null and empty texts have no row."""
-    noise = page_noise(df, key, doc, page, text).select(key, "header_places", "number_places").dropDuplicates([key])
-    one = df.where(F.length(text) > 0).select(F.col(key), F.col(text).alias("text")).dropDuplicates([key])
-    vocab = vocabulary(df, text)
-    both = one.join(noise, key).select(F.col(key).cast("string").alias("row"), "text", "header_places", "number_places")
+    vocab, table = vocabulary(df, text)
+    noise = page_noise(df, key, doc, page, text, (vocab, table)).select(F.col(key).cast("string").alias("row"), "header_places", "number_places").dropDuplicates(["row"])
+    one = cut(df.where(F.length(text) > 0).select(F.col(key).cast("string").alias("row"), F.col(text).alias("text")).dropDuplicates(["row"]))
+    extra = _looked_up(one.mapInArrow(_asks_of(vocab), "row string, asks array<string>"), "row", table)
+    both = one.join(noise, "row").join(extra, "row", "left").select("row", "text", "header_places", "number_places", "extra")
     out = both.mapInArrow(_repair(vocab), "row string, text string")
     return out.select(F.col("row").cast(df.schema[key].dataType).alias(key), "text")

@@ -91,6 +91,25 @@ def test_repaired_pages(spark):
     assert "lattice explains" in got["b3"]
 
 
+def test_rare_words_are_looked_up(spark, monkeypatch):
+    df = pages(spark)
+    flags = lambda: {(r.block_id, r.hyphen, r.char, r.header, r.pageno) for r in scans.page_noise(df, "block_id", "doc_id", "page", "content").collect()}
+    fixed = lambda: {(r.block_id, r.text) for r in scans.repair_pages(df, "block_id", "doc_id", "page", "content").collect()}
+    noise, repaired = flags(), fixed()
+    vocab, table = scans.vocabulary(df, "content")
+    assert table.count() == 0 and vocab.count("lattice") > 2
+    # the same, if every word is too rare to be held by the executors
+    monkeypatch.setattr(scans, "SHARE", 1.0)
+    vocab, table = scans.vocabulary(df, "content")
+    assert not vocab.words and table.count() > 5 and flags() == noise and fixed() == repaired
+
+
+def test_headers_misread_at_both_ends(spark):
+    rows = [(f"b{p}", 1, p, f"{head}\nsome text of page {p} that goes on\nand ends {p * 7}x") for p, head in enumerate(["Harbour and signal theory", "Harbour and signal theory", "Xarbour and signal theorq", "nothing like it at all"], 1)]
+    got = {r.block_id: r.header for r in scans.page_noise(spark.createDataFrame(rows, "block_id string, doc_id long, page int, content string"), "block_id", "doc_id", "page", "content").collect()}
+    assert got == {"b1": True, "b2": True, "b3": True, "b4": False}
+
+
 def test_scan_parts():
     v = scans.Vocabulary({"signal": 90, "well": 50, "known": 50, "brittle": 400, "brittlc": 2}, {"well-known": 40})
     assert v.joins("sig", "-", "nal") and not v.joins("well", "-", "known") and v.joins("well", "\xad", "known")
