@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import counted, cut
 from .tokens import tokens
 
 _PRIME = np.uint64(0xFFFFFFFFFFFFFFC5)
@@ -101,9 +101,12 @@ def _banded(texts: DataFrame, n: int, threshold: float, recall: float, seed: int
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The pairs (ta, tb) whose full n-gram sets are similar enough. Sets are made for the texts of candidates only."""
-    wanted = pairs.select(F.col("ta").alias("th")).unionAll(pairs.select(F.col("tb").alias("th"))).distinct()
-    full = texts.join(wanted, "th", "left_semi").select("th", "text").mapInArrow(_gram_sets(n), "th binary, grams array<bigint>")
+    """The pairs (ta, tb) whose full n-gram sets are similar enough.
+
+    Sets are made for the texts of candidates only, which need not be distinct in ``texts``.
+    """
+    wanted = counted(pairs.select(F.col("ta").alias("th")).unionAll(pairs.select(F.col("tb").alias("th"))).distinct())
+    full = texts.join(wanted, "th", "left_semi").dropDuplicates(["th"]).select("th", "text").mapInArrow(_gram_sets(n), "th binary, grams array<bigint>")
     both = pairs.join(full.select(F.col("th").alias("ta"), F.col("grams").alias("ga")), "ta").join(full.select(F.col("th").alias("tb"), F.col("grams").alias("gb")), "tb")
     common = F.size(F.array_intersect("ga", "gb"))
     joint = both.select("ta", "tb", common.alias("common"), (F.size("ga") + F.size("gb") - common).alias("joint"))
@@ -125,10 +128,9 @@ def similar_pairs(df: DataFrame, key: str, text: str, src: str | None = None, n:
     """
     base = _base(df, key, text, src)
     members = base.select("src", "id", "th").distinct()
-    whole = _distinct_texts(base)
-    band = _banded(whole, n, threshold, recall, seed)
+    band = _banded(_distinct_texts(base), n, threshold, recall, seed)
     met = band.select("key", F.col("th").alias("ta")).join(band.select("key", F.col("th").alias("tb")), "key").where("ta < tb").select("ta", "tb").distinct()
-    texts = _verified(cut(met), whole, n, threshold)
+    texts = _verified(cut(met), base, n, threshold)
     same = members.groupBy("th").agg(F.count("*").alias("k")).where("k > 1").select(F.col("th").alias("ta"), F.col("th").alias("tb"))
     a = members.select("src", F.col("id").alias("x"), F.col("th").alias("ta"))
     b = members.select(F.col("id").alias("y"), F.col("th").alias("tb"))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import BROADCAST_ROWS, counted, cut
 
 #: Vectors that the centroids are fitted on: so many, or 16 a centroid, up to a bound; vectors a cell has on average, and centroids at most.
 SAMPLE, MAX_SAMPLE, CELL, MAX_CELLS = 16384, 65536, 512, 4096
@@ -41,14 +41,6 @@ REGION, MAX_REGIONS, REGION_SAMPLE, ROUTED, OWN_REGIONS, OTHER_REGIONS = 2048, 1
 SHIFT = 20
 #: Width of the error bound, in units of the estimate's standard deviation.
 EPSILON = 2.4
-#: Narrow rows that are broadcast where they are counted to be no more; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def _counted(df: DataFrame) -> DataFrame:
-    """The rows, written once, and marked for a broadcast if they are counted to be few."""
-    held = cut(df)
-    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
 
 
 def live_rows(df: DataFrame, key: str, order: str, op: str, vector: str, dim: int) -> DataFrame:
@@ -59,7 +51,7 @@ def live_rows(df: DataFrame, key: str, order: str, op: str, vector: str, dim: in
     """
     narrow = df.select(F.col(key).alias("id"), F.col(order).alias("at")).where("id is not null and at is not null")
     last = narrow.groupBy("id").agg(F.max("at").alias("last"))
-    dead = _counted(narrow.join(last, "id").where("at < last").select("at"))
+    dead = counted(narrow.join(last, "id").where("at < last").select("at"), BROADCAST_ROWS)
     adds = df.where((F.col(op) == "add") & (F.size(vector) == dim)).select(F.col(key).alias("id"), F.col(order).alias("at"), F.col(vector).alias("embedding"))
     return adds.where("id is not null").join(dead, "at", "left_anti").select("id", "embedding")
 
@@ -363,14 +355,14 @@ def most_similar(df: DataFrame, key: str, order: str, op: str, vector: str, dim:
     placed = cut(unit.mapInArrow(_assign(centroids, probes), "id string, vec binary, cell int, probes array<int>"))
     settled = _regions(placed, dim)
     # a region that equal vectors make large is dealt into boxes by hash, which visit each other
-    parts = _counted(settled.groupBy("region").agg(F.ceil(F.count("*") / BOX).cast("int").alias("parts")))
+    parts = counted(settled.groupBy("region").agg(F.ceil(F.count("*") / BOX).cast("int").alias("parts")), BROADCAST_ROWS)
     boxed = settled.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     home = cut(boxed.select("id", "vec", "region", "part", "probes").groupBy("region", "part").applyInArrow(_home(centroids, k), _HOME))
 
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     aims = F.posexplode(F.concat(F.array("region"), "probes")).alias("nth", "region")
     visited = home.select("id", F.col("part").alias("own"), aims).join(parts, "region").select("id", "region", "nth", "own", F.explode(every).alias("part")).where("nth > 0 or part <> own")
-    tasks = _counted(visited.groupBy("region", "part").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("tasks")))
+    tasks = counted(visited.groupBy("region", "part").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("tasks")), BROADCAST_ROWS)
 
     wide = home.select("id", "code", "scale", "floor", F.col("part").alias("own"), aims).join(parts, "region")
     visits = wide.select("id", "code", "scale", "floor", "region", "nth", "own", F.explode(every).alias("part")).where("nth > 0 or part <> own")

@@ -1,29 +1,20 @@
-"""Cutting lineage through the shared folder of the cluster."""
+"""What the operators share: written intermediate tables, counted broadcasts, small inputs for all cores."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from quire.operators.lineage import cut
 
-def cut(df: DataFrame, what: str = "") -> DataFrame:
-    """The same rows, written once to ``spark.checkpoint.dir``, which all executors share.
+#: Narrow rows that are broadcast where they are counted to be no more.
+BROADCAST_ROWS = 200_000
 
-    Executors can be lost afterwards: the rows are read from the folder again. Only
-    on one machine without such a folder, as in tests, one of its own is set; a cluster
-    must name it.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="quire-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+
+def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, written once, and marked for a broadcast if they are counted to be few; beyond that they are joined by a shuffle."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= most else held
 
 
 #: Bytes a core for which an input in fewer files than cores is small enough to be dealt out.
