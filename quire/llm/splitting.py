@@ -11,6 +11,7 @@ sums, stretches without a boundary by the first boundary of later ranges.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -232,7 +233,7 @@ def _open(path: str):
 
 
 def _read(path: str, start: int, end: int, size: int) -> tuple[str, int]:
-    """The code points whose first byte lies in the range, and that byte's place."""
+    """The code points whose first byte lies in the range, and that byte's place. A byte that is no UTF-8 is a code point of its own."""
     with _open(path) as f:
         raw = f.read_at(min(size, end + 3) - start, start)
     a = 0
@@ -241,7 +242,14 @@ def _read(path: str, start: int, end: int, size: int) -> tuple[str, int]:
     b = min(end - start, len(raw))
     while b < len(raw) and (raw[b] & 0xC0) == 0x80:
         b += 1
-    return raw[a:b].decode("utf-8", "replace"), start + a
+    return raw[a:b].decode("utf-8", "surrogateescape"), start + a
+
+
+_NO_UTF8 = re.compile("[\udc80-\udcff]")
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogateescape")
 
 
 def _tables(limit: int):
@@ -255,14 +263,14 @@ def _tables(limit: int):
                 has = len(after) > 0
                 gaps = [int(a) for a, b in zip(after[:-1], after[1:]) if b - 1 - a > limit]
                 anchor = int(after[0]) if has else 0
-                row = (r["path"], r["k"], len(text), int(after[0]) if has else None, int(after[-1]) if has else None, gaps, byte + len(text[:anchor].encode()))
+                row = (r["path"], r["k"], len(text), int(after[0]) if has else None, int(after[-1]) if has else None, gaps, byte + len(_bytes(text[:anchor])))
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     return run
 
 
 def _emit(limit: int, overlap: int):
-    schema = pa.schema([("path", pa.string()), ("k", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("piece", pa.string())])
+    schema = pa.schema([("path", pa.string()), ("k", pa.int64()), ("i", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("piece", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,13 +278,13 @@ def _emit(limit: int, overlap: int):
                 # the anchor's bytes up to the next anchor's, with a halo of the overlap before
                 halo = min(r["anchor_byte"], 4 * overlap)
                 text, _ = _read(r["path"], r["anchor_byte"] - halo, r["stop_byte"], r["length"])
-                own = text.encode()
+                own = _bytes(text)
                 back = len(own) - (r["stop_byte"] - r["anchor_byte"])
-                before = len(own[:back].decode("utf-8", "replace"))
+                before = len(own[:back].decode("utf-8", "surrogateescape"))
                 base = r["anchor"] - before
                 after = boundary_places(text)
                 cuts = cut_between(after, overlap_start(after, before, overlap), before, before + r["stop"] - r["anchor"], limit, overlap)
-                rows = ([r["path"]] * len(cuts), [r["k"]] * len(cuts), [base + a for a, _ in cuts], [base + b for _, b in cuts], [text[a:b] for a, b in cuts])
+                rows = ([r["path"]] * len(cuts), [r["k"]] * len(cuts), list(range(len(cuts))), [base + a for a, _ in cuts], [base + b for _, b in cuts], [_NO_UTF8.sub("\ufffd", text[a:b]) for a, b in cuts])
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema)], schema=schema)
 
     return run
@@ -284,8 +292,8 @@ def _emit(limit: int, overlap: int):
 
 def _ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").where("length > 0")
-    cut = files.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / range_bytes))))
-    return cut.select("path", "length", "k", (F.col("k") * range_bytes).alias("start"), F.least("length", (F.col("k") + 1) * range_bytes).alias("end")).repartition("path", "k")
+    dealt = files.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / range_bytes))))
+    return dealt.select("path", "length", "k", (F.col("k") * range_bytes).alias("start"), F.least("length", (F.col("k") + 1) * range_bytes).alias("end")).repartition("path", "k")
 
 
 def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
@@ -293,20 +301,21 @@ def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int
 
     Returns (path, piece_no, start, end, piece) and (path, run_start). No worker holds
     more than two ranges. Empty files have no row. A range without any boundary begins
-    a piece at its own start.
+    a piece at its own start. A byte that is no UTF-8 counts as a code point and comes out
+    as the replacement character. Each file is read twice: for its boundary tables, which are
+    written and stitched, and for its pieces, which are written and numbered.
     """
     ranges = _ranges(spark, path, range_bytes)
-    scan = ranges.mapInArrow(_tables(limit), "path string, k long, n long, first long, last long, inner array<bigint>, first_byte long")
+    scan = cut(ranges.mapInArrow(_tables(limit), "path string, k long, n long, first long, last long, inner array<bigint>, first_byte long"))
     order = Window.partitionBy("path").orderBy("k")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = scan.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("path")))
     placed = placed.withColumn("anchor", F.when(F.col("k") == 0, 0).otherwise(F.col("base") + F.coalesce("first", F.lit(0)))).withColumn("anchor_byte", F.when(F.col("k") == 0, 0).otherwise(F.col("first_byte")))
     sized = placed.join(ranges.select("path", "length", "k"), ["path", "k"])
     owned = sized.withColumn("stop", F.coalesce(F.lead("anchor").over(order), "total")).withColumn("stop_byte", F.coalesce(F.lead("anchor_byte").over(order), "length"))
-    cuts = owned.where("stop > anchor").select("path", "length", "k", "anchor", "anchor_byte", "stop", "stop_byte").mapInArrow(_emit(limit, overlap), "path string, k long, start long, end long, piece string")
+    cuts = cut(owned.where("stop > anchor").select("path", "length", "k", "anchor", "anchor_byte", "stop", "stop_byte").mapInArrow(_emit(limit, overlap), "path string, k long, i long, start long, end long, piece string"))
     per = cuts.groupBy("path", "k").agg(F.count("*").alias("m")).withColumn("skip", F.coalesce(F.sum("m").over(before), F.lit(0))).select("path", "k", "skip")
-    numbered = cuts.withColumn("i", F.row_number().over(Window.partitionBy("path", "k").orderBy("start", "end"))).join(per, ["path", "k"])
-    out = numbered.select("path", (F.col("skip") + F.col("i") - 1).alias("piece_no"), "start", "end", "piece")
+    out = cuts.join(per, ["path", "k"]).select("path", (F.col("skip") + F.col("i")).alias("piece_no"), "start", "end", "piece")
     left = F.coalesce(F.last(F.col("base") + F.col("last"), ignorenulls=True).over(before), F.lit(0))
     stitched = placed.withColumn("left", left)
     seams = stitched.where(F.col("first").isNotNull() & (F.col("base") + F.col("first") - 1 - F.col("left") > limit)).select("path", F.col("left").alias("run_start"))

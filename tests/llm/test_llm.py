@@ -260,6 +260,18 @@ def test_files_by_ranges(spark, tmp_path):
     assert [r.run_start for r in runs.where("path like '%b.txt'").collect()] == [0]
 
 
+def test_files_that_are_no_utf8(spark, tmp_path):
+    rng = random.Random(8)
+    raw = b"".join(rng.choice([b"word ", "日本語。".encode(), b"\xff", b"\xe6\x97", "é, ".encode(), b"x" * rng.randint(1, 300)]) for _ in range(1500))
+    (tmp_path / "a.txt").write_bytes(raw)
+    text = raw.decode("utf-8", "surrogateescape")
+    cuts, runs = splitting.split_files(spark, str(tmp_path), range_bytes=1999)
+    rows = cuts.orderBy("piece_no").collect()
+    assert [r.piece_no for r in rows] == list(range(len(rows))) and all(splitting._NO_UTF8.sub("\ufffd", text[r.start : r.end]) == r.piece for r in rows)
+    check_cuts(text, [(r.start, r.end) for r in rows], 500, 100)
+    assert sorted(r.run_start for r in runs.collect()) == splitting.long_runs(splitting.boundary_places(text), len(text), 500)
+
+
 # 5 ----------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "text, parts",
