@@ -247,6 +247,17 @@ def search_index(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "hy
     return search.probe_search(search.assign_cells(vectors, cells), cells, queries, k, probes)
 
 
+def build_index(vectors: DataFrame, kind: str = "hybrid", lists: int | None = None, most: int = 10000) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, centroids) of an index. Only ``ivf`` has lists, as many as the root of its capacity, or of its rows if they are fewer."""
+    if kind != "ivf":
+        return vectors, None
+    n = vectors.where(F.col("embedding").isNotNull()).limit(lists or max(1, int(most**0.5))).count()
+    if not n:
+        return vectors, None
+    cells = search.fit_cells(vectors, n)
+    return search.assign_cells(vectors, cells), cells
+
+
 def batch_pairs(ids: list, vectors: list) -> list[tuple]:
     """Pairs of a batch to be added; lists of different length are an error."""
     if len(ids) != len(vectors):

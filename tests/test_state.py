@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.errors import CacheError, EngineError, OutputError, ProviderError
+from quire.functions.messages import message
 from quire.operators import cache as C
 from quire.operators import knowledge as KN
 from quire.operators import process as P
-from quire.operators import render, split
+from quire.operators import render, split, warnings
+from quire.operators import retrieval as R
 from quire.operators import working as W
 from quire.plans.pipeline import Pipeline
 from quire.plans.session import CachedKnowledgeBase, KnowledgeBase
@@ -313,3 +315,23 @@ def test_facades(spark):
     more = after.add(entries.where("id = 2").withColumn("text", F.lit("new")))
     assert more.cache.count() == 0 and {r.text for r in more.base.entries.collect()} == {"aa", "new"}
     assert CachedKnowledgeBase(base, cached.cache, use_cache=False).query(q)[0].first().cached is False
+
+
+def test_warning_log_and_messages(spark):
+    rows = spark.createDataFrame([("ocr", "blurred", 1.0), (None, "odd", 2.0), ("ocr", None, 3.0), ("pdf", "torn", 4.0)], "kind string, text string, at double")
+    log = warnings.logged(rows, "kind", "text", "at")
+    assert {(r.type, r.n) for r in warnings.warning_counts(log, "type", ["ocr", "pdf"]).collect()} == {("ocr", 1), ("pdf", 1), ("other_warnings", 1)} and warnings.total(log).first().n == 3
+    assert warnings.logged(rows, "kind", "text", "at", enabled=False).count() == 0
+    resets = spark.createDataFrame([(2.0,)], "ts double")
+    assert [r.message for r in warnings.since_reset(log, resets).collect()] == ["torn"] and warnings.since_reset(log, resets.limit(0)).count() == 3
+    words = {"en": {"hi": "hello {name}"}, "zh": {"hi": "你好 {name}"}}
+    assert message(words, "hi", "zh", name="A") == "你好 A" and message(words, "hi", "de", name="A") == "hello A" and message(words, "no", "zh") == "no" and message(words, "hi", "en") == "hello {name}"
+
+
+def test_index_is_built_with_lists(spark):
+    v = spark.range(40).select("id", F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    q = v.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    rows, cells = R.build_index(v, "ivf", lists=4)
+    hits = R.search_index(v, q, 3, "ivf", cells, probes=4)
+    assert cells.count() == 4 and rows.where("cell is null").count() == 0 and sorted(map(tuple, hits.collect())) == sorted(map(tuple, R.search_index(v, q, 3, "flat").collect()))
+    assert R.build_index(v)[1] is None and R.build_index(v.limit(0), "ivf")[1] is None
