@@ -9,10 +9,11 @@ then visits the boxes of its next nearest cells as a code of twelve bits a coord
 carrying its k-th best similarity so far; the rows there whose upper bound passes it
 are reranked with their full vectors, and those that are better come back.
 
-The centroids of the cells are fitted on a bounded sample, so their number is bounded; a cell
-that holds more than a box is divided once more by centroids of its own, fitted where it lies
-on a sample of it, and only its nearest regions are visited. So a vector meets about as many
-others in an index of any size.
+The centroids of the cells are fitted on a bounded sample, many vectors a centroid, so their
+number is bounded; a cell that outgrows its size is divided once more by centroids of its own,
+fitted where it lies on a sample of it. A vector lives in the nearest of the regions that its
+nearest cells offer and visits the next ones. So it meets about as many others in an index of
+any size.
 
 Full vectors travel as 16 bits a coordinate: half the bytes, with an error of a
 cosine of about 2e-6. A visitor's twelve bits leave an error of about 3e-5.
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, counted, cut
 
-#: Vectors that the centroids are fitted on: so many, or 16 a centroid, up to a bound; vectors a cell has on average, and centroids at most.
-SAMPLE, MAX_SAMPLE, CELL, MAX_CELLS = 16384, 65536, 512, 4096
-#: Further cells that a vector visits; vectors a box and visits a task may have.
+#: Vectors a cell has on average, and cells at most; vectors that a centroid is fitted on, and those that the sample has at least.
+CELL, MAX_CELLS, PER_CENTROID, SAMPLE = 512, 512, 128, 16384
+#: Further regions that a vector visits; vectors a box and visits a task may have.
 PROBES, BOX, VISITS = 6, 8192, 16384
-#: In a divided cell: vectors a region has on average, regions at most, sampled vectors a region, rows a task, and
-#: further regions that a vector visits in its own cell and in another one.
-REGION, MAX_REGIONS, REGION_SAMPLE, ROUTED, OWN_REGIONS, OTHER_REGIONS = 2048, 1024, 16, 32768, 6, 2
+#: Vectors from which a cell is divided, its regions at most, sampled vectors a region, rows a task, the regions that a cell offers
+#: to a vector that only visits it, and the regions that a vector visits where cells are divided: they lie less neatly than cells.
+DIVIDE, MAX_REGIONS, REGION_SAMPLE, ROUTED, OFFERED, REGION_PROBES = 4096, 1024, 64, 32768, 3, 10
 #: A region's number is its cell's, shifted, and its place in the cell.
 SHIFT = 20
 #: Width of the error bound, in units of the estimate's standard deviation.
@@ -166,20 +167,22 @@ def _units(dim: int):
 
 
 def _assign(centroids: np.ndarray, probes: int):
-    schema = pa.schema([("id", pa.string()), ("vec", pa.binary()), ("cell", pa.int32()), ("probes", pa.list_(pa.int32()))])
+    """Each vector's nearest cells, nearest first, and how near their centroids are."""
+    schema = pa.schema([("id", pa.string()), ("vec", pa.binary()), ("cells", pa.list_(pa.int32())), ("sims", pa.list_(pa.float32()))])
     dim = centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = unpack16(batch.column(1), dim)
             near = np.empty((len(unit), min(probes + 1, len(centroids))), np.int32)
+            sims = np.empty(near.shape, np.float32)
             for k in range(0, len(unit), 1024):
                 s = unit[k : k + 1024] @ centroids.T
                 top = np.argpartition(-s, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
                 near[k : k + 1024] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable"), axis=1)
-            offsets = np.arange(len(unit) + 1, dtype=np.int32) * (near.shape[1] - 1)
-            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(near[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near[:, 0] if len(unit) else np.zeros(0, np.int32)), rest], schema=schema)
+                sims[k : k + 1024] = np.take_along_axis(s, near[k : k + 1024], axis=1)
+            offsets = pa.array(np.arange(len(unit) + 1, dtype=np.int32) * near.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(near.ravel())), pa.ListArray.from_arrays(offsets, pa.array(sims.ravel()))], schema=schema)
 
     return run
 
@@ -196,48 +199,52 @@ def _fit_regions(dim: int):
     return run
 
 
-def _route(dim: int):
-    """The nearest regions of a divided cell for the vectors that live in it or visit it."""
-    schema = pa.schema([("id", pa.string()), ("nth", pa.int32()), ("near", pa.list_(pa.int64()))])
+def _route(dim: int, probes: int):
+    """The nearest regions of a divided cell for the vectors that are nearest to it or may visit it."""
+    offer = pa.struct([("sim", pa.float32()), ("region", pa.int64())])
+    schema = pa.schema([("id", pa.string()), ("near", pa.list_(offer))])
 
     def run(rows: pa.Table, subs: pa.Table) -> pa.Table:
         if not len(rows) or not len(subs):
             return schema.empty_table()
         centres = np.frombuffer(subs.column("subs")[0].as_py(), np.float32).reshape(-1, dim)
         base = rows.column("cell")[0].as_py() << SHIFT
-        nth = rows.column("nth").to_numpy()
+        most = np.where(rows.column("nth").to_numpy() == 0, probes + 1, OFFERED)
         unit, near = unpack16(rows.column("vec").combine_chunks(), dim), []
         for a in range(0, len(unit), 1024):
-            order = np.argsort(-(unit[a : a + 1024] @ centres.T), axis=1, kind="stable")
-            near += [base + own[: 1 + OWN_REGIONS if n == 0 else OTHER_REGIONS].astype(np.int64) for own, n in zip(order, nth[a : a + 1024].tolist())]
-        return pa.Table.from_arrays([rows.column("id").combine_chunks(), rows.column("nth").combine_chunks().cast(pa.int32()), pa.array(near, pa.list_(pa.int64()))], schema=schema)
+            sims = unit[a : a + 1024] @ centres.T
+            for own, order, n in zip(sims, np.argsort(-sims, axis=1, kind="stable"), most[a : a + 1024].tolist()):
+                near.append([{"sim": float(own[r]), "region": base + int(r)} for r in order[:n]])
+        return pa.Table.from_arrays([rows.column("id").combine_chunks(), pa.array(near, pa.list_(offer))], schema=schema)
 
     return run
 
 
-def _regions(placed: DataFrame, dim: int) -> DataFrame:
-    """(id, vec, region, probes): where each vector lives and the regions it visits, cells of more than a box divided.
+def _regions(placed: DataFrame, dim: int, probes: int) -> DataFrame:
+    """(id, vec, region, probes): where each vector lives and the regions it visits, cells that outgrew their size divided.
 
     A divided cell is sampled by hash in proportion to its regions, and its centroids are fitted
-    in one task on that bounded sample; they go to the tasks that route its vectors, never to the driver.
+    in one task on that bounded sample; they go to the tasks that route vectors to it, never to the driver.
     """
-    whole = F.col("cell").cast("long") * (1 << SHIFT)
-    big = cut(placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BOX).withColumn("regions", F.least(F.lit(MAX_REGIONS), F.ceil(F.col("n") / REGION)).cast("int")))
+    whole = lambda c: c.cast("long") * (1 << SHIFT)
+    big = cut(placed.groupBy(F.get("cells", F.lit(0)).alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > DIVIDE).withColumn("regions", F.least(F.lit(MAX_REGIONS), F.ceil(F.col("n") / CELL)).cast("int")))
     if not big.limit(1).count():
-        return placed.select("id", "vec", whole.alias("region"), F.transform("probes", lambda c: c.cast("long") * (1 << SHIFT)).alias("probes"))
+        all_cells = F.transform("cells", whole)
+        return placed.select("id", "vec", F.get(all_cells, F.lit(0)).alias("region"), F.slice(all_cells, 2, probes).alias("probes"))
     # cells are at most MAX_CELLS, so what there is one row of for each is small
+    big, probes = F.broadcast(big), max(probes, REGION_PROBES)
     share = F.least(F.lit(1.0), F.col("regions") * (1.2 * REGION_SAMPLE) / F.col("n"))
-    sampled = placed.join(F.broadcast(big), "cell").where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20) + 1)
+    sampled = placed.select("id", "vec", F.get("cells", F.lit(0)).alias("cell")).join(big, "cell").where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20) + 1)
     subs = cut(sampled.select("cell", "regions", "vec").groupBy("cell").applyInArrow(_fit_regions(dim), "cell int, subs binary"))
-    aims = placed.select("id", F.posexplode(F.concat(F.array("cell"), "probes")).alias("nth", "cell"))
-    meant = placed.select("id", "vec", F.posexplode(F.concat(F.array("cell"), "probes")).alias("nth", "cell")).join(F.broadcast(big.select("cell")), "cell")
+    aim = F.posexplode(F.arrays_zip("cells", "sims")).alias("nth", "c")
+    meant = placed.select("id", "vec", aim).select("id", "vec", "nth", F.col("c.cells").alias("cell")).join(big.select("cell"), "cell")
     tasks = F.broadcast(meant.groupBy("cell").agg(F.ceil(F.count("*") / ROUTED).cast("int").alias("tasks")))
     rows = meant.join(tasks, "cell").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).drop("tasks")
     centres = subs.join(tasks, "cell").select("cell", "subs", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
-    routed = rows.groupBy("cell", "task").cogroup(centres.groupBy("cell", "task")).applyInArrow(_route(dim), "id string, nth int, near array<bigint>")
-    plain = aims.join(F.broadcast(big.select("cell")), "cell", "left_anti").select("id", F.col("nth").cast("int").alias("nth"), F.array(whole).alias("near"))
-    found = plain.unionAll(routed).groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "near"))), lambda x: x["near"])).alias("near"))
-    near = found.select("id", F.get("near", F.lit(0)).alias("region"), F.slice("near", 2, F.greatest(F.size("near") - 1, F.lit(0))).alias("probes"))
+    routed = rows.groupBy("cell", "task").cogroup(centres.groupBy("cell", "task")).applyInArrow(_route(dim, probes), "id string, near array<struct<sim:float,region:bigint>>")
+    plain = placed.select("id", aim).select("id", F.col("c.cells").alias("cell"), F.col("c.sims").alias("sim")).join(big.select("cell"), "cell", "left_anti").select("id", F.array(F.struct("sim", whole(F.col("cell")).alias("region"))).alias("near"))
+    found = plain.unionAll(routed).groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near")), asc=False).alias("near"))
+    near = found.select("id", F.transform("near", lambda x: x["region"]).alias("near")).select("id", F.get("near", F.lit(0)).alias("region"), F.slice("near", 2, probes).alias("probes"))
     return cut(placed.select("id", "vec").join(near, "id"))
 
 
@@ -336,14 +343,14 @@ def most_similar(df: DataFrame, key: str, order: str, op: str, vector: str, dim:
     values, not all zero. Lengths don't matter. Equal vectors under different keys are
     different ones; ties go to the smaller key. With fewer than k + 1 live vectors each
     gets all others. An empty index gives an empty result. The centroids are fitted on
-    at most ``MAX_SAMPLE`` vectors; every vector is indexed.
+    at most ``PER_CENTROID * MAX_CELLS`` vectors; every vector is indexed.
     """
     unit = live_rows(df, key, order, op, vector, dim).mapInArrow(_units(dim), "id string, vec binary")
     # the centroids need no liveness: a bounded sample of the adds, by hash of the key
     adds = df.where((F.col(op) == "add") & (F.size(vector) == dim)).select(F.col(key).alias("id"), F.col(vector).alias("embedding"))
     total = adds.count()
     cells = min(MAX_CELLS, max(1, total // CELL))
-    size = min(MAX_SAMPLE, max(SAMPLE, 16 * cells))
+    size = max(SAMPLE, PER_CENTROID * cells)
     share = min(1.0, 1.2 * size / max(1, total))
     near = adds.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
     picked = near.orderBy(F.xxhash64("id"), "id").limit(size).mapInArrow(_units(dim), "id string, vec binary").select("vec").toArrow()
@@ -352,8 +359,8 @@ def most_similar(df: DataFrame, key: str, order: str, op: str, vector: str, dim:
         return df.sparkSession.createDataFrame([], "id string, rank int, other string, similarity double")
     centroids = fit_centroids(sample, min(len(sample), cells))
 
-    placed = cut(unit.mapInArrow(_assign(centroids, probes), "id string, vec binary, cell int, probes array<int>"))
-    settled = _regions(placed, dim)
+    placed = cut(unit.mapInArrow(_assign(centroids, probes), "id string, vec binary, cells array<int>, sims array<float>"))
+    settled = _regions(placed, dim, probes)
     # a region that equal vectors make large is dealt into boxes by hash, which visit each other
     parts = counted(settled.groupBy("region").agg(F.ceil(F.count("*") / BOX).cast("int").alias("parts")), BROADCAST_ROWS)
     boxed = settled.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))

@@ -427,7 +427,7 @@ def test_neighbours_against_brute_force(spark):
 
 
 def test_divided_cells(spark, monkeypatch):
-    for name, value in (("BOX", 150), ("REGION", 60), ("CELL", 400), ("ROUTED", 500), ("BROADCAST_ROWS", 3)):
+    for name, value in (("BOX", 150), ("DIVIDE", 150), ("CELL", 60), ("MAX_CELLS", 4), ("ROUTED", 500), ("BROADCAST_ROWS", 3)):
         monkeypatch.setattr(neighbours, name, value)
     rng = np.random.default_rng(8)
     data = rng.standard_normal((40, 48))[rng.integers(0, 40, 1600)] + 0.3 * rng.standard_normal((1600, 48))
