@@ -54,8 +54,9 @@ def _asked(df: DataFrame, *more: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, with a vector where there is one of their number."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang", _epoch("added_ts").alias("ts"))
-    return docs.join(_vectors(spark, d), "id")
+    return docs.join(_vectors(spark, d), "id", "left")
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +83,7 @@ def _cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 WS = T.SPACE
-E = "e AS (SELECT d.doc_id AS id, d.text, d.source, d.lang, epoch(d.added_ts) AS ts, v.embedding::DOUBLE[] AS v, v.label FROM documents d JOIN embeddings v ON d.doc_id = v.vec_id)"
+E = "e AS (SELECT d.doc_id AS id, d.text, d.source, d.lang, epoch(d.added_ts) AS ts, v.embedding::DOUBLE[] AS v, v.label FROM documents d LEFT JOIN embeddings v ON d.doc_id = v.vec_id)"
 N = "n AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 COS = "round(greatest(0, least(1, list_cosine_similarity(q.v, x.v))), 6)"
 STORE = "round(1 - greatest(0, least(1, list_distance(q.v, x.v) * list_distance(q.v, x.v))), 6)"
@@ -94,7 +95,7 @@ CAC = "c AS (SELECT DISTINCT ON (log_no) log_no, query_text AS key, lower(trim(o
 
 
 def _top(frm: str, score: str, k: int, where: str = "true", cte: str | None = None) -> str:
-    return f"WITH {cte or N}, h AS (SELECT q.id AS query_id, x.id AS id, {score} AS similarity FROM {frm} q, {frm} x WHERE q.id % 100 = 0 AND {where}) SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM h) WHERE rank <= {k}"
+    return f"WITH {cte or N}, h AS (SELECT q.id AS query_id, x.id AS id, {score} AS similarity FROM {frm} q, {frm} x WHERE q.id % 100 = 0 AND q.v IS NOT NULL AND x.v IS NOT NULL AND {where}) SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM h) WHERE rank <= {k}"
 
 
 # Vector index ------------------------------------------------------------------
@@ -204,10 +205,10 @@ def _with_context(e: DataFrame) -> DataFrame:
     return _asked(e).join(following, "query_id").select("query_id", V.mean_vector("query_vector", "context_vector").alias("query_vector"))
 
 
-_CTX = f"{E}, q AS (SELECT a.id, list_transform(range(1, 65), lambda i: (a.v[i] + b.v[i]) / 2) AS v FROM e a JOIN e b ON b.id = a.id + 1 WHERE a.id % 100 = 0)"
+_CTX = f"{E}, q AS (SELECT a.id, list_transform(range(1, 65), lambda i: (a.v[i] + b.v[i]) / 2) AS v FROM e a JOIN e b ON b.id = a.id + 1 WHERE a.id % 100 = 0 AND a.v IS NOT NULL AND b.v IS NOT NULL)"
 
 
-@query(f"WITH {_CTX}, h AS (SELECT q.id AS query_id, x.id, {STORE} AS similarity FROM q, e x) SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM h) WHERE rank <= 5 AND similarity >= 0.1")
+@query(f"WITH {_CTX}, h AS (SELECT q.id AS query_id, x.id, {STORE} AS similarity FROM q, e x WHERE x.v IS NOT NULL) SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM h) WHERE rank <= 5 AND similarity >= 0.1")
 def mem_context_aware(spark, d):
     e = _entries(spark, d)
     return M.simple(e, _with_context(e), 5, 0.1)
@@ -245,7 +246,7 @@ def mem_hybrid(spark, d):
 
 @query(
     _hybrid_sql(
-        _CTX.removeprefix(E) + f", a AS (SELECT query_id, id, similarity FROM ({_top('e', STORE, 15, cte=E)}) WHERE similarity >= 0.2), c AS (SELECT query_id, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM (SELECT q.id AS query_id, x.id, {STORE} AS similarity FROM q, e x)) WHERE r <= 10)",
+        _CTX.removeprefix(E) + f", a AS (SELECT query_id, id, similarity FROM ({_top('e', STORE, 15, cte=E)}) WHERE similarity >= 0.2), c AS (SELECT query_id, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM (SELECT q.id AS query_id, x.id, {STORE} AS similarity FROM q, e x WHERE x.v IS NOT NULL)) WHERE r <= 10)",
         "SELECT query_id, id, max(similarity) AS similarity FROM (SELECT * FROM a UNION ALL SELECT * FROM c) GROUP BY query_id, id",
     )
 )
@@ -267,20 +268,20 @@ def mem_merge_tiers(spark, d):
 
 
 @query(
-    f"""WITH {E}, h AS ({_top('e', COS, 10, cte=E)}), g AS (SELECT h.query_id, h.id, h.similarity AS original_similarity, round(greatest(0, least(1, list_cosine_similarity(x.v, c.v))), 6) AS context_similarity FROM h JOIN e x ON x.id = h.id JOIN e c ON c.id = h.query_id + 1),
+    f"""WITH {E}, h AS ({_top('e', COS, 10, cte=E)}), g AS (SELECT h.query_id, h.id, h.similarity AS original_similarity, round(greatest(0, least(1, list_cosine_similarity(x.v, c.v))), 6) AS context_similarity FROM h JOIN e x ON x.id = h.id JOIN e c ON c.id = h.query_id + 1 WHERE c.v IS NOT NULL),
  f AS (SELECT *, round(0.7::DOUBLE * original_similarity + 0.3::DOUBLE * context_similarity, 6) AS similarity FROM g)
  SELECT query_id, id, similarity, original_similarity, context_similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM f"""
 )
 def mem_context_reweight(spark, d):
     e = _entries(spark, d)
-    context = e.select((F.col("id") - 1).alias("query_id"), F.col("embedding").alias("c"))
+    context = e.where("embedding is not null").select((F.col("id") - 1).alias("query_id"), F.col("embedding").alias("c"))
     hits = S.top_k(e, _asked(e), 10).join(e.select("id", "embedding"), "id").join(context, "query_id")
     hits = hits.withColumn("context_similarity", F.round(V.cosine("embedding", "c"), 6)).drop("embedding", "c")
     return M.context_reweight(hits, 0.3).select("query_id", "id", "similarity", "original_similarity", "context_similarity", "rank")
 
 
 @query(
-    f"""WITH {E}, q AS (SELECT id, CASE WHEN id % 200 = 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM e WHERE id % 100 = 0), h AS (SELECT DISTINCT query_id FROM (SELECT q.id AS query_id, {COS} AS similarity FROM q, e x) WHERE similarity >= 0.41),
+    f"""WITH {E}, q AS (SELECT id, CASE WHEN id % 200 = 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM e WHERE id % 100 = 0), h AS (SELECT DISTINCT query_id FROM (SELECT q.id AS query_id, {COS} AS similarity FROM q, e x WHERE q.v IS NOT NULL AND x.v IS NOT NULL) WHERE similarity >= 0.41),
  w AS {_kw("(SELECT * FROM e WHERE id % 100 = 0 AND id NOT IN (SELECT query_id FROM h))", "id", "text", 5)}, wn AS (SELECT k, count(*) AS n FROM w GROUP BY k),
  t AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(text), '{WS}+')) AS word FROM e), f AS (SELECT w.k AS query_id, t.id, round(greatest(0.1::DOUBLE, count(*) / any_value(wn.n)::DOUBLE * 0.3::DOUBLE), 6) AS similarity FROM w JOIN wn ON wn.k = w.k JOIN t ON t.word = w.word GROUP BY w.k, t.id)
  SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM f) WHERE rank <= 5"""

@@ -25,7 +25,7 @@ _QST = f"{E}, q AS (SELECT id, text, CASE WHEN id % 200 = 0 THEN list_transform(
 
 
 def _ranked(score: str, k: int, where: str = "true") -> str:
-    return f"(SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (SELECT q.id AS query_id, x.id, {score} AS similarity FROM q, e x WHERE {where}) QUALIFY rank <= {k})"
+    return f"(SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (SELECT q.id AS query_id, x.id, {score} AS similarity FROM q, e x WHERE q.v IS NOT NULL AND x.v IS NOT NULL AND {where}) QUALIFY rank <= {k})"
 
 
 _SHARE = f"""SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank, 'keyword' AS kind FROM (SELECT l.id AS query_id, x.id, round(greatest(0.1::DOUBLE, coalesce(len(list_filter(l.w, lambda k: contains(lower(x.text), k))) / nullif(len(l.w), 0)::DOUBLE, 0) * 0.3::DOUBLE), 6) AS similarity
@@ -48,14 +48,14 @@ def ret_indexed_in_context(spark, d):
     return R.indexed_retrieve(e, _questions(e).join(following, "query_id", "left"), 5, 0.82)
 
 
-@query(f"WITH {_QST}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM {_ranked(STORE, 15)} WHERE similarity >= 0.5) WHERE r <= 5), f AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM (SELECT id FROM e ORDER BY id LIMIT 5)) SELECT query_id, id, similarity, r AS rank FROM h UNION ALL SELECT q.id, f.id, 0.1::DOUBLE, f.rank FROM q, f WHERE q.id NOT IN (SELECT query_id FROM h)")
+@query(f"WITH {_QST}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM {_ranked(STORE, 15)} WHERE similarity >= 0.5) WHERE r <= 5), f AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM (SELECT id FROM e ORDER BY id LIMIT 5)) SELECT query_id, id, similarity, r AS rank FROM h UNION ALL SELECT q.id, f.id, 0.1::DOUBLE, f.rank FROM q, f WHERE q.v IS NOT NULL AND q.id NOT IN (SELECT query_id FROM h)")
 def ret_fallback(spark, d):
     e = _entries(spark, d)
     return R.fallback_retrieve(e, _questions(e), 5, 0.9)
 
 
 @query(
-    f"""WITH {_QST}, g AS (SELECT q.id AS query_id, x.id, greatest({COS}, CASE WHEN len(list_filter(regexp_split_to_array(lower(q.text), '{WS}+'), lambda k: k <> '' AND contains(lower(x.text), k))) > 0 THEN 0.4::DOUBLE ELSE 0 END) AS similarity FROM q, e x WHERE x.text IS NOT NULL),
+    f"""WITH {_QST}, g AS (SELECT q.id AS query_id, x.id, greatest(CASE WHEN q.v IS NULL OR x.v IS NULL THEN 0 ELSE {COS} END, CASE WHEN len(list_filter(regexp_split_to_array(lower(q.text), '{WS}+'), lambda k: k <> '' AND contains(lower(x.text), k))) > 0 THEN 0.4::DOUBLE ELSE 0 END) AS similarity FROM q, e x WHERE x.text IS NOT NULL),
  h AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM g WHERE similarity >= 0.1 QUALIFY rank <= 5) SELECT * FROM h UNION ALL SELECT q.id, (SELECT min(id) FROM e), 0.1::DOUBLE, 1 FROM q WHERE q.id NOT IN (SELECT query_id FROM h)"""
 )
 def ret_fallback_single(spark, d):
