@@ -278,7 +278,7 @@ def _ambiguous(forms: DataFrame) -> DataFrame:
 
 def _hashes(df: DataFrame, key: str, text: str) -> DataFrame:
     """The key, form_hash and text_hash of every row, written once: what is asked of them is asked several times."""
-    return cut(canonical(df, key, text).select(key, "form_hash", "text_hash"), "forms")
+    return cut(canonical(df, key, text).select(key, "form_hash", "text_hash"))
 
 
 def same_look_groups(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -144,7 +144,7 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, group_ite
     kind = df.schema[key].dataType
     texts = df.select(F.col(key).cast("string").alias("key"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
     pieces = texts.where(F.length("text") > 0).mapInArrow(_pieces(capacity), "key string, content long, piece_no int, byte_start long, tokens int")
-    counted = cut(pieces.groupBy("key", "content", "piece_no", "byte_start", "tokens").agg(F.count("*").alias("copies")), "pieces")
+    counted = cut(pieces.groupBy("key", "content", "piece_no", "byte_start", "tokens").agg(F.count("*").alias("copies")))
     total = counted.agg(F.sum("copies")).first()[0] or 0
     groups = max(1, math.ceil(total / group_items))
     single = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
