@@ -468,9 +468,10 @@ def _asks_of(vocab: Vocabulary):
         for batch in batches:
             asks = []
             for text in batch.column(1).to_pylist():
-                own = {k for _, left, mark, right, _ in cuts(text) if right and mark not in "¬\xad" for k in vocab.asks_cut(left, right)}
-                whole = [(left + right).lower() for _, left, _, right, _ in cuts(text)]
-                own.update(k for w in {*whole, *(m.group().lower() for m in _REPAIRED.finditer(text))} if len(w) > 3 and w not in vocab.known for k in vocab.asks(w))
+                cut_words = [(left, mark, right) for _, left, mark, right, _ in cuts(text) if right]
+                own = {k for left, mark, right in cut_words if mark not in "¬\xad" for k in vocab.asks_cut(left, right)}
+                words = {(left + right).lower() for left, _, right in cut_words} | set(_REPAIRED.findall(text.lower()))
+                own.update(k for w in words if len(w) > 3 and w not in vocab.known for k in vocab.asks(w))
                 asks.append(sorted(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(asks, pa.list_(pa.string()))], schema=schema)
 
