@@ -21,10 +21,14 @@ DAY = 86400.0
 
 
 def _most_common(n: int):
+    stop = frozenset(T.STOPWORDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = [[w for w, _ in Counter(words).most_common(n)] for words in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.list_(pa.string()))], names=[batch.schema.names[0], "keywords"])
+            # Python's blanks are those of SPACE
+            best = [[w for w, _ in Counter(w for w in text.split() if len(w) > 1 and w not in stop).most_common(n)] for text in batch.column(1).to_pylist()]
+            kept = pa.array([bool(x) for x in best], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), pa.array(best, pa.list_(pa.string())).filter(kept)], names=[batch.schema.names[0], "keywords"])
 
     return run
 
@@ -35,8 +39,7 @@ def keywords(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     Words of one character and stop words are none; texts without a word have no row. Each row is
     counted where it lies, without a shuffle.
     """
-    words = F.filter(F.split(F.lower(text), T.SPACE + "+"), lambda w: (F.length(w) > 1) & ~w.isin(*T.STOPWORDS))
-    rows = df.where(F.col(text).isNotNull()).select(key, words.alias("words")).where(F.size("words") > 0)
+    rows = df.where(F.col(text).isNotNull()).select(key, F.lower(text).alias("_text"))
     return rows.mapInArrow(_most_common(n), f"`{key}` {df.schema[key].dataType.simpleString()}, keywords array<string>")
 
 
