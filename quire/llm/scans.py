@@ -370,7 +370,7 @@ def _settle(vocab: Vocabulary):
 def _looked_up(asking: DataFrame, by: str, table: DataFrame) -> DataFrame:
     """(by, extra) of what the table of words holds of that which each row asks for."""
     met = asking.select(by, F.explode("asks").alias("key")).join(table, "key")
-    return met.groupBy(by).agg(F.collect_list(F.struct("key", "n", "word")).alias("extra"))
+    return met.groupBy(by).agg(F.collect_set(F.struct("key", "n", "word")).alias("extra"))
 
 
 def page_noise(df: DataFrame, key: str, doc: str, page: str, text: str, known: tuple[Vocabulary, DataFrame] | None = None) -> DataFrame:
@@ -493,8 +493,9 @@ def repair_pages(df: DataFrame, key: str, doc: str, page: str, text: str) -> Dat
     """The pages as readable paragraphs: the key and text, one row a key. Null and empty texts have no row."""
     vocab, table = vocabulary(df, text)
     noise = page_noise(df, key, doc, page, text, (vocab, table)).select(F.col(key).cast("string").alias("row"), "header_places", "number_places").dropDuplicates(["row"])
-    one = cut(df.where(F.length(text) > 0).select(F.col(key).cast("string").alias("row"), F.col(text).alias("text")).dropDuplicates(["row"]))
-    extra = _looked_up(one.mapInArrow(_asks_of(vocab), "row string, asks array<string>"), "row", table)
+    given = df.where(F.length(text) > 0).select(F.col(key).cast("string").alias("row"), F.col(text).alias("text"))
+    one = given.dropDuplicates(["row"])
+    extra = _looked_up(given.mapInArrow(_asks_of(vocab), "row string, asks array<string>"), "row", table)
     both = one.join(noise, "row").join(extra, "row", "left").select("row", "text", "header_places", "number_places", "extra")
     out = both.mapInArrow(_repair(vocab), "row string, text string")
     return out.select(F.col("row").cast(df.schema[key].dataType).alias(key), "text")
