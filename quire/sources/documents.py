@@ -110,8 +110,11 @@ def without_overlaps(rects: DataFrame, others: DataFrame, least: float = 0.5, do
 
     Both have doc, page and coordinates, the first also a ``block_id``. Malformed rectangles overlap nothing.
     """
-    at = lambda c, i: F.get(c, F.lit(i))
-    side = lambda df, p, *more: df.where("size(coordinates) = 4 and page is not null").select(doc, "page", *more, *[at("coordinates", i).alias(f"{p}{n}") for i, n in enumerate(("x0", "y0", "x1", "y1"))]).where(f"{p}x1 > {p}x0 and {p}y1 > {p}y0")
+
+    def side(df: DataFrame, p: str, *more: str) -> DataFrame:
+        corners = [F.get("coordinates", F.lit(i)).alias(f"{p}{n}") for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+        return df.where("size(coordinates) = 4 and page is not null").select(doc, "page", *more, *corners).where(f"{p}x1 > {p}x0 and {p}y1 > {p}y0")
+
     a, b = side(rects, "a", "block_id"), side(others, "b").distinct()
     shared = (F.least("ax1", "bx1") - F.greatest("ax0", "bx0")) * (F.least("ay1", "by1") - F.greatest("ay0", "by0"))
     area = F.least((F.col("ax1") - F.col("ax0")) * (F.col("ay1") - F.col("ay0")), (F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")))
@@ -183,6 +186,13 @@ def ingest(spark: SparkSession, root: str, read_pdf: Callable[[bytes], list[dict
     return every.select(order.alias("src_order"), "source", "category", F.when(F.length("text") > 0, tag).alias("text"), F.coalesce("error", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "no text")).alias("error"))
 
 
+def _as_blocks(files: DataFrame, document_type: str, **given: Column) -> DataFrame:
+    """One block for each file: path, document_type, the block's columns and error; what is not given is null."""
+    columns = [c.split(" ", 1) for c in f"{BLOCK}, error string".split(", ")]
+    made = [given.get(n, F.lit(0) if n == "seq" else F.lit(None)).cast(kind).alias(n) for n, kind in columns]
+    return files.select("path", F.lit(document_type).alias("document_type"), *made)
+
+
 def analyze(spark: SparkSession, path: str, read_pdf: Callable[[bytes], list[dict]] | None = None, read_image: Callable[[bytes], list[dict]] | None = None) -> DataFrame:
     """The blocks of all files below a path by their kind: path, document_type, the block's columns, error.
 
@@ -191,17 +201,16 @@ def analyze(spark: SparkSession, path: str, read_pdf: Callable[[bytes], list[dic
     finds, with its order in ``seq``. Other files are one row with an error.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", extension("path").alias("ext"))
-    zero = F.array(*[F.lit(0.0)] * 4)
-    null = lambda kind: F.lit(None).cast(kind)
-    text = files.where(F.col("ext").isin(*TEXTS)).select("path", F.lit("text").alias("document_type"), F.lit(0).alias("seq"), F.lit("text").alias("type"), F.lit(1).alias("page"), zero.alias("coordinates"), decode("content").alias("content"), null("string").alias("caption"), F.lit("direct").alias("extraction_method"), null("binary").alias("image_data"), F.lit(1.0).alias("confidence"), null("string").alias("error"))
+    of = lambda kinds: files.where(F.col("ext").isin(*kinds))
+    whole = {"page": F.lit(1), "coordinates": F.array(*[F.lit(0.0)] * 4), "extraction_method": F.lit("direct"), "confidence": F.lit(1.0)}
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    image_files = files.where(F.col("ext").isin(*IMAGES))
+    text = _as_blocks(of(TEXTS), "text", type=F.lit("text"), content=decode("content"), **whole)
     if read_image is None:
-        image = image_files.select("path", F.lit("image").alias("document_type"), F.lit(0).alias("seq"), F.lit("image").alias("type"), F.lit(1).alias("page"), zero.alias("coordinates"), null("string").alias("content"), name.alias("caption"), F.lit("direct").alias("extraction_method"), F.col("content").alias("image_data"), F.lit(1.0).alias("confidence"), null("string").alias("error"))
+        image = _as_blocks(of(IMAGES), "image", type=F.lit("image"), caption=name, image_data=F.col("content"), **whole)
     else:
-        image = pages(image_files, read_image).withColumn("caption", F.coalesce("caption", name)).withColumn("document_type", F.lit("image")).select(text.columns)
-    pdf = pages(files.where(F.col("ext").isin(*PDFS)), read_pdf).withColumn("document_type", F.lit("pdf")).select(text.columns)
-    other = files.where(~F.col("ext").isin(*TEXTS, *IMAGES, *PDFS)).select("path", F.lit("unknown").alias("document_type"), *[null(text.schema[c].dataType).alias(c) for c in text.columns[2:-1]], F.concat(F.lit("unsupported: "), "ext").alias("error"))
+        image = pages(of(IMAGES), read_image).withColumn("caption", F.coalesce("caption", name)).withColumn("document_type", F.lit("image")).select(text.columns)
+    pdf = pages(of(PDFS), read_pdf).withColumn("document_type", F.lit("pdf")).select(text.columns)
+    other = _as_blocks(files.where(~F.col("ext").isin(*TEXTS, *IMAGES, *PDFS)), "unknown", error=F.concat(F.lit("unsupported: "), "ext"))
     return text.unionByName(image).unionByName(pdf).unionByName(other)
 
 
