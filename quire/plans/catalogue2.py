@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalogue import BLK, COS, NOW, SEG, B, DataFrame, F, K, L, N, SparkSession, T, X, _blocks, _segments, _t, _top, _vectors, graph, query, render, split, warnings
+from .catalogue import BLK, SQL, COS, NOW, SEG, B, DataFrame, F, K, L, N, SparkSession, T, X, _blocks, _segments, _t, _top, _vectors, graph, query, render, split, warnings
 
 
 def _tables(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,17 @@ def tbl_placeholder(spark, d):
     return rows.select("block_id", F.size(F.flatten("rows")).alias("n_cells"))
 
 
-@query()
+def _row_html(line: str, tag: str) -> str:
+    return f"'<tr>' || array_to_string(list_transform(string_split(regexp_replace(trim({line}, ' '), '^\\||\\|$', '', 'g'), '|'), lambda c: '<{tag}>' || trim(c, ' ') || '</{tag}>'), '') || '</tr>'"
+
+
+def _table_html(markdown: str) -> str:
+    lines = f"list_filter(string_split({markdown}, chr(10)), lambda x: trim(x, ' ') <> '')"
+    body = f"array_to_string(list_transform({lines}[3:], lambda y: {_row_html('y', 'td')}), '')"
+    return f"CASE WHEN len({lines}) >= 3 AND len(list_filter({lines}, lambda x: NOT contains(x, '|'))) = 0 THEN '<table><thead>' || {_row_html(lines + '[1]', 'th')} || '</thead><tbody>' || {body} || '</tbody></table>' ELSE '<p>' || {markdown} || '</p>' END"
+
+
+@query(f"WITH {BLK} SELECT block_id, {_table_html('markdown')} AS html FROM b WHERE type = 'table' AND table_data IS NOT NULL AND markdown IS NOT NULL")
 def tbl_html(spark, d):
     return _tables(spark, d).where("markdown is not null").select("block_id", B.markdown_to_html("markdown").alias("html"))
 
@@ -231,7 +241,15 @@ def blk_paragraphs(spark, d):
     return K.paragraphs(_blocks(spark, d))
 
 
-@query()
+_WHOLE = SQL["blk_integrate"]
+
+
+@query(
+    f"""WITH w AS ({_WHOLE}), p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS k, unnest(string_split(text, chr(10) || chr(10))) AS part FROM w),
+ h AS (SELECT doc_id, k, CASE WHEN starts_with(part, '|') THEN {_table_html('part')} WHEN starts_with(part, '$$') OR starts_with(part, '\\[') OR starts_with(part, '\\begin{{') THEN '<div class="formula">' || part || '</div>'
+ WHEN starts_with(part, '[image]') THEN '<figure>' || part || '</figure>' WHEN part = '---' THEN '<hr>' ELSE '<p>' || part || '</p>' END AS html FROM p WHERE trim(part, ' ') <> '')
+ SELECT w.doc_id, coalesce((SELECT string_agg(html, chr(10) ORDER BY k) FROM h WHERE h.doc_id IS NOT DISTINCT FROM w.doc_id), '') AS html FROM w"""
+)
 def blk_html(spark, d):
     return K.integrate(_blocks(spark, d)).select("doc_id", K.to_html("text").alias("html"))
 

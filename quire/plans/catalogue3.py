@@ -11,7 +11,7 @@ from quire.operators import working as W
 from quire.sources import documents as DOC
 
 from .catalogue import _HITS, BLK, CAC, COS, E, NOW, SEG, STORE, WS, C, DataFrame, F, SparkSession, _blocks, _cache, _entries, _epoch, _hybrid_queries, _hybrid_sql, _segments, _t, _top, files, query, render, split
-from .catalogue2 import CELLS
+from .catalogue2 import CELLS, X, _latex_sql
 from .pipeline import Pipeline
 
 
@@ -234,7 +234,15 @@ def proc_table(spark, d):
     return P.process(_blocks(spark, d)).where("type = 'table'").select("block_id", "markdown", "processed")
 
 
-@query()
+_LATEX = " OR ".join(f"contains(t, '{c}')" for c in X.COMMANDS)
+
+
+@query(
+    f"""WITH {BLK}, f AS (SELECT block_id, coalesce(formula_text, content, '') AS formula_text FROM b WHERE type = 'formula'), g AS (SELECT *, trim(formula_text, ' ' || chr(9) || chr(10) || chr(13)) AS r FROM f),
+ s AS (SELECT *, CASE WHEN r LIKE '$$%$$' AND length(r) >= 4 THEN r[3:-3] WHEN r LIKE '$%$' AND length(r) >= 2 THEN r[2:-2] WHEN starts_with(r, '\\begin{{equation}}') AND suffix(r, '\\end{{equation}}') THEN r[17:-15] ELSE r END AS t FROM g),
+ l AS (SELECT *, CASE WHEN {_LATEX} THEN t ELSE {_latex_sql('t')} END AS o FROM s), c AS (SELECT *, CASE WHEN o LIKE '$$%$$' AND length(o) >= 4 THEN o[3:-3] WHEN o LIKE '$%$' AND length(o) >= 2 THEN o[2:-2] ELSE o END AS q FROM l)
+ SELECT block_id, formula_text, CASE WHEN NOT contains(t, chr(10)) AND length(t) < 50 THEN '$' || q || '$' ELSE '$$' || q || '$$' END AS latex, true AS processed FROM c"""
+)
 def proc_formula(spark, d):
     return P.process(P.extract(_blocks(spark, d))).where("type = 'formula'").select("block_id", "formula_text", "latex", "processed")
 

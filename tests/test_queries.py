@@ -279,7 +279,7 @@ CHECKS = {
 
 
 def test_every_query_is_compared():
-    assert set(QUERIES) - set(SQL) == set(CHECKS)
+    assert set(QUERIES) - set(SQL) <= set(CHECKS)
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
