@@ -118,15 +118,15 @@ def entry_id(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(_col(p).cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def added_segments(segments: DataFrame, now: float, source: str = "unknown") -> DataFrame:
+def added_segments(segments: DataFrame, now: float, source: str = "unknown", keep: tuple[str, ...] = ()) -> DataFrame:
     """Texts as new entries: id, text and metadata with source, timestamp, access_count and importance as strings.
 
-    ``segments`` has doc_id, seg_no, text; empty texts are no entries.
+    ``segments`` has doc_id, seg_no, text; empty texts are no entries. Columns to ``keep`` stand behind.
     """
     meta = F.create_map(
         F.lit("source"), F.lit(source), F.lit("timestamp"), F.lit(str(now)), F.lit("access_count"), F.lit("0"), F.lit("importance"), T.initial_importance("text", F.lit(source)).cast("string"), F.lit("index"), F.coalesce(F.col("seg_no").cast("string"), F.lit("0"))
     )
-    return segments.where(F.length(F.trim("text")) > 0).select(entry_id("doc_id", "seg_no", "text").alias("id"), "text", meta.alias("metadata"))
+    return segments.where(F.length(F.trim("text")) > 0).select(entry_id("doc_id", "seg_no", "text").alias("id"), "text", meta.alias("metadata"), *keep)
 
 
 def indexed_blocks(blocks: DataFrame) -> DataFrame:

@@ -144,6 +144,11 @@ def neighbour_context(segments: DataFrame, doc: str, order: str, text: str) -> D
     return segments.withColumn("before", F.lag(text).over(w)).withColumn("after", F.lead(text).over(w))
 
 
+def reference(key: Column, similarity: Column) -> Column:
+    """The line that refers to a hit."""
+    return F.format_string("- %s (%.2f)", key, similarity)
+
+
 def augment(segments: DataFrame, hits: DataFrame, min_similarity: float, most: int = 3) -> DataFrame:
     """Each segment's text with up to ``most`` references below it: query_id, text, refs.
 
@@ -151,7 +156,7 @@ def augment(segments: DataFrame, hits: DataFrame, min_similarity: float, most: i
     """
     own = hits.withColumnRenamed("text", "hit_text").join(segments.select(F.col("id").alias("query_id"), F.col("text")), "query_id")
     kept = rank_hits(own.where((F.col("hit_text") != F.col("text")) & (F.col("similarity") >= min_similarity)), most)
-    line = F.format_string("- %s (%.2f)", F.col("id").cast("string"), "similarity")
+    line = reference(F.col("id").cast("string"), F.col("similarity"))
     refs = kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]).alias("refs"))
     out = segments.select(F.col("id").alias("query_id"), "text").join(refs, "query_id", "left").withColumn("n_refs", F.coalesce(F.size("refs"), F.lit(0)))
     return out.select("query_id", "n_refs", F.when(F.col("n_refs") > 0, F.concat("text", F.lit("\n\n"), F.array_join("refs", "\n"))).otherwise(F.col("text")).alias("text"))

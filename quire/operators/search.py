@@ -10,9 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Query vectors that one pass over the index answers; a larger query set meets the index in a grid of boxes of about so many rows.
 QUERY_BLOCK = 4096
 ROW_BOX = 65536
+#: Vectors of a pack, rows of the index that are divided into cells together, rows of such a cell, and rows that one task sees.
+PACK, SHARE, CELL_ROWS, TASK_ROWS = 16384, 65536, 256, 1_048_576
 
 
 def latest_state(log: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
@@ -180,6 +184,314 @@ def rank_hits(hits: DataFrame, k: int, score: str = "similarity", query: str = "
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+
+def _names(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Ids in a form that sorts as they do; strings as their bytes, which take a quarter of the space."""
+    return column.to_numpy() if pa.types.is_integer(column.type) and not column.null_count else np.array(column.cast(pa.binary()).to_pylist())
+
+
+def _fold_equal(rows: np.ndarray, table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """Each distinct vector once, how many rows stand for it, and these: the ones of its k smallest ids."""
+    plain = np.ascontiguousarray(rows + 0.0)
+    _, first, same = np.unique(plain.view(np.dtype((np.void, plain.itemsize * plain.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((_names(table.column("id")), same))
+    order = order[_places(same[order]) < k]
+    return rows[first], np.bincount(same[order]), table.take(pa.array(order))
+
+
+def _places(sorted_keys: np.ndarray) -> np.ndarray:
+    """The place of each element among those of its key, from 0."""
+    starts = np.flatnonzero(np.r_[True, np.diff(sorted_keys) != 0]) if len(sorted_keys) else np.empty(0, np.int64)
+    return np.arange(len(sorted_keys)) - np.repeat(starts, np.diff(np.r_[starts, len(sorted_keys)]))
+
+
+def _means(table: pa.Table, vectors: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(matrix, places) by size of the mean of a row's vectors; the first must be there, the others count if they are of its size."""
+    first, *others = (table.column(c).combine_chunks() for c in vectors)
+    for matrix, at in _by_size(first):
+        total, n = matrix.copy(), np.ones(len(at))
+        for column in others:
+            more, places = _rows(column.take(pa.array(at)), matrix.shape[1])
+            total[places] += more
+            n[places] += 1
+        yield total / n[:, None], at
+
+
+def _sealed(*tables: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    for table in tables:
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _raw(**arrays: np.ndarray) -> pa.Table:
+    return pa.table({name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in arrays.items()})
+
+
+def packs(df: DataFrame, sides: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """Rows packed for ``pack_hits``: side, dim, n, pack. ``sides``: for ``rows`` and ``asked`` the vectors, of which the mean counts, and the columns to keep.
+
+    A pack holds some thousand vectors of one size, compressed. Vectors that are null or lack a number are left out.
+    """
+    needed = sorted({c for vectors, kept in sides.values() for c in (*vectors, *kept)})
+
+    def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for side, (vectors, kept) in sides.items():
+            for matrix, at in _means(table, vectors):
+                for a in range(0, len(matrix), PACK):
+                    data = _sealed(_raw(v=matrix[a : a + PACK]), table.select(kept).take(pa.array(at[a : a + PACK])))
+                    yield pa.RecordBatch.from_pydict({"side": [side], "dim": pa.array([matrix.shape[1]], pa.int32()), "n": [len(at[a : a + PACK])], "pack": [data]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACK:
+                yield from packed(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield from packed(pa.Table.from_batches(held))
+
+    return df.select(*needed).mapInArrow(run, "side string, dim int, n long, pack binary")
+
+
+def _opened(pack: pa.Buffer) -> tuple[pa.Table, pa.Table]:
+    source = pa.BufferReader(pack)
+    return tuple(pa.ipc.open_stream(source).read_all() for _ in range(2))
+
+
+def _matrix(table: pa.Table, name: str, kind: type, *shape: int) -> np.ndarray:
+    return np.frombuffer(table.column(name)[0].as_buffer(), kind).reshape(*shape)
+
+
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = np.sqrt((rows**2).sum(axis=1))
+    return length, np.divide(rows, length[:, None], out=np.zeros_like(rows), where=length[:, None] > 0).astype(np.float32)
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([(rows[a : a + 4096] @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1) for a in range(0, len(rows), 4096)])
+
+
+def _centres(rows: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """Centres of cells, only to look at near rows first and to leave out far ones; they decide about no hit."""
+    rng = np.random.default_rng(7)
+    some = rows[rng.permutation(len(rows))[: 64 * k]]
+    centres = some[:k].copy()
+    for _ in range(rounds):
+        own = _nearest(some, centres)
+        n = np.bincount(own, minlength=k)
+        for i in range(rows.shape[1]):
+            centres[:, i] = np.where(n > 0, np.bincount(own, some[:, i], k) / np.maximum(n, 1), centres[:, i])
+    return centres
+
+
+def _apart(centres: np.ndarray) -> np.ndarray:
+    """Distances of the centres; without end where they are too small to divide by."""
+    far = np.sqrt(np.maximum(0, (centres**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * centres @ centres.T))
+    return np.where(far > 0.01, far, np.inf).astype(np.float32)
+
+
+def _share(tables: list[tuple[pa.Table, pa.Table]], dim: int, k: int) -> bytes:
+    """Rows in the order of their cells: centres, how far each cell reaches towards each other centre, sizes, and the rows.
+
+    Equal vectors are one, with the rows of its k smallest ids.
+    """
+    values, counts, rest = _fold_equal(np.concatenate([_matrix(data, "v", np.float64, -1, dim) for data, _ in tables]), pa.concat_tables([x for _, x in tables]), k)
+    unit = _unit(values)[1]
+    centres = _centres(unit, max(1, len(unit) // CELL_ROWS))
+    cell = _nearest(unit, centres)
+    order = np.argsort(cell, kind="stable")
+    sizes, apart = np.bincount(cell, minlength=len(centres)), _apart(centres)
+    reach = np.full(apart.shape, -np.inf, np.float32)
+    ends = np.cumsum(sizes)
+    for c in np.flatnonzero(sizes):
+        along = unit[order[ends[c] - sizes[c] : ends[c]]] @ centres.T
+        reach[c] = ((along - along[:, c : c + 1]) / apart[c]).max(axis=0)
+    starts = np.cumsum(counts) - counts
+    n = counts[order]
+    members = np.repeat(starts[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return _sealed(_raw(v=values[order], n=n, centres=centres, sizes=sizes, reach=reach), rest.take(pa.array(members)))
+
+
+class _Asked:
+    """A pack of asked vectors and the best rows that it has met.
+
+    Cells that lie too far away, by the triangle inequality, are left out, and so is what a product in
+    single precision, whose error is bounded, shows to be no hit. The rest is scored in double precision,
+    and only that decides: the hits are those of a comparison with every row.
+    """
+
+    def __init__(self, values: np.ndarray, keys: pa.Table, k: int, digits: int, least: float):
+        self.values, self.keys, self.k, self.digits = values, keys, k, digits
+        self.length, self.unit = _unit(values)
+        self.slack = (values.shape[1] + 8) * 2.0**-24 + 0.5 * 10.0**-digits
+        self.bound = np.full(len(values), least)  # no row below it is among the k best
+        self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # asked, row, similarity
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting, self.members, self.pairs = 0, 0, 0
+        self.rows: list[pa.Table] = []
+
+    def _low(self, of: np.ndarray | slice) -> np.ndarray:
+        return np.where(self.bound[of] > 0, self.bound[of] - self.slack, -np.inf).astype(np.float32)
+
+    def meet(self, data: pa.Table, rest: pa.Table) -> None:
+        dim = self.values.shape[1]
+        values, counts, sizes = _matrix(data, "v", np.float64, -1, dim), _matrix(data, "n", np.int64, -1), _matrix(data, "sizes", np.int64, -1)
+        centres, reach = _matrix(data, "centres", np.float32, -1, dim), _matrix(data, "reach", np.float32, len(sizes), -1)
+        first = self.members + np.cumsum(counts) - counts
+        self.rows.append(rest)
+        self.members += len(rest)
+        length, unit = _unit(values)
+        ends, apart = np.cumsum(sizes), _apart(centres)
+
+        def cells(chosen: np.ndarray, asked: int, cut: bool) -> None:
+            for c in np.flatnonzero(chosen.any(axis=1) & (sizes > 0)):
+                some = asked + np.flatnonzero(chosen[c])
+                for b in range(ends[c] - sizes[c], ends[c], 1024):
+                    part = np.ascontiguousarray(unit[b : min(b + 1024, ends[c])].T)
+                    step = max(64, 2**19 // part.shape[1])
+                    for a in range(0, len(some), step):
+                        own = some[a : a + step]
+                        score = self.unit[own] @ part
+                        if cut and part.shape[1] > 4 * self.k:
+                            # k rows of this cell are as good as the k-th of them
+                            kth = np.partition(score, part.shape[1] - self.k, axis=1)[:, part.shape[1] - self.k]
+                            self.bound[own] = np.maximum(self.bound[own], kth - self.slack)
+                        at = np.flatnonzero(score >= self._low(own)[:, None])
+                        self.pairs += score.size
+                        if len(at):
+                            self._score(own[at // part.shape[1]], b + at % part.shape[1], values, length, first, counts)
+            self._merge()
+
+        for a in range(0, len(self.unit), 4096):
+            along = self.unit[a : a + 4096] @ centres.T
+            near = along - 0.5 * (centres**2).sum(axis=1)
+            own, lines = near.argmax(axis=1), np.arange(len(near))
+            most = max(0, len(centres) - 4)
+            done = np.zeros(near.shape[::-1], bool)
+            done[own, lines] = True
+            cells(done, a, True)
+            more = np.zeros_like(done)
+            more[np.argpartition(near, most, axis=1)[:, most:] if most else np.arange(len(centres)), lines[:, None]] = True
+            cells(more & ~done, a, False)
+            done |= more
+            low = self._low(slice(a, a + 4096))
+            far = np.sqrt(np.maximum(0, 2 - 2 * np.where(np.isfinite(low), low, -1))) + 0.001 + 400 * (dim + 8) * 2.0**-24
+            way = np.where(np.isfinite(apart[own]), (along[lines, own][:, None] - along) / apart[own] - reach.T[own], -np.inf)
+            cells((way <= far[:, None]).T & ~done, a, False)
+
+    def _score(self, asked: np.ndarray, rows: np.ndarray, values: np.ndarray, length: np.ndarray, first: np.ndarray, counts: np.ndarray) -> None:
+        for a in range(0, len(asked), 65536):
+            q, r = asked[a : a + 65536], rows[a : a + 65536]
+            inner, both = np.einsum("ij,ij->i", self.values[q], values[r]), self.length[q] * length[r]
+            score = np.round(np.clip(np.divide(inner, both, out=np.zeros_like(inner), where=both > 0), 0, 1), self.digits) + 0.0
+            kept = score >= self.bound[q]
+            q, r, score = q[kept], r[kept], score[kept]
+            n = counts[r]
+            self.found.append((np.repeat(q, n), np.repeat(first[r] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(score, n)))
+            self.waiting += len(self.found[-1][0])
+            if self.waiting > 2_000_000:
+                self._merge()
+
+    def _merge(self) -> None:
+        """Keeps the k best of each asked vector and what equals the last of them, as far as that are not too many."""
+        self.best, self.found, self.waiting = tuple(np.concatenate(x) for x in zip(self.best, *self.found)), [], 0
+        self._keep(ties=True)
+        if len(self.best[0]) > max(65536, 4 * self.k * len(self.values)):
+            self._keep(ties=False)
+
+    def _keep(self, ties: bool) -> None:
+        at, row, score = self.best
+        order = np.lexsort((-score, at) if ties else (_names(self._taken(row).column("id")), -score, at))
+        at, row, score = at[order], row[order], score[order]
+        place = _places(at)
+        last = np.full(len(self.values), -np.inf)
+        last[at[place == self.k - 1]] = score[place == self.k - 1]
+        self.bound = np.maximum(self.bound, last)
+        kept = (place < self.k) | (score == last[at]) if ties else place < self.k
+        self.best = at[kept], row[kept], score[kept]
+
+    def _taken(self, row: np.ndarray) -> pa.Table:
+        return pa.concat_tables(self.rows).take(pa.array(row))
+
+    def hits(self, schema: pa.Schema) -> pa.RecordBatch:
+        """The asked columns and their hits, best first; asked vectors without any have no row."""
+        self._merge()
+        if not len(self.best[0]):
+            return pa.RecordBatch.from_pylist([], schema=schema)
+        self._keep(ties=False)
+        at, row, score = self.best
+        rows, field = self._taken(row), schema.field("hits").type.value_field
+        parts = {"similarity": pa.array(score)} | {c: rows.column(c).combine_chunks() for c in rows.column_names}
+        each = pa.StructArray.from_arrays([parts[f.name].cast(f.type) for f in field.type], fields=list(field.type))
+        starts = np.flatnonzero(_places(at) == 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)].astype(np.int32)), each, type=schema.field("hits").type)
+        keys = self.keys.take(pa.array(at[starts]))
+        return pa.RecordBatch.from_arrays([*(keys.column(f.name).combine_chunks().cast(f.type) for f in schema if f.name != "hits"), lists], schema=schema)
+
+
+def pack_hits(packed: DataFrame, asked: str, rows: str, k: int, digits: int = 6, least: float = 0.0) -> DataFrame:
+    """The k rows of highest cosine, ``least`` or more, for each asked vector: the asked columns and ``hits``, best first.
+
+    ``asked`` and ``rows`` are the columns that the packs keep (DDL); rows have an ``id``. A hit has the similarity,
+    rounded before it is ranked, and the columns of its row. Ties go to the smaller id. Packs are written once and rows
+    put into the order of cells; each pack of asked vectors meets up to ``TASK_ROWS`` rows in a task, which passes on its
+    own k best. So nothing is copied for the pairs, and only these hits are shuffled, if there is more than one such task.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = f"{asked}, hits array<struct<similarity: double, {rows}>>"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    held = cut(packed).withColumn("no", F.monotonically_increasing_id())
+    count = {r.side: r for r in held.groupBy("side").agg(F.count("*").alias("packs"), F.sum("n").alias("n")).collect()}
+    if len(count) < 2:
+        return packed.sparkSession.createDataFrame([], ddl)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {}
+
+        def done(dim: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"row_dim": pa.array([dim], pa.int32()), "rows": [_share(waiting.pop(dim), dim, k)]})
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim = batch.column(0)[i].as_py()
+                waiting.setdefault(dim, []).append(_opened(batch.column(1)[i].as_buffer()))
+                if sum(len(x) for _, x in waiting[dim]) >= SHARE:
+                    yield done(dim)
+        for dim in list(waiting):
+            yield done(dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no, now = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, dim = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if n != no:
+                    if now:
+                        yield now.hits(schema)
+                    data, keys = _opened(batch.column(2)[i].as_buffer())
+                    no, now = n, _Asked(_matrix(data, "v", np.float64, -1, dim), keys, k, digits, least)
+                now.meet(*_opened(batch.column(3)[i].as_buffer()))
+        if now:
+            yield now.hits(schema)
+
+    tasks = -(-count["rows"].n // TASK_ROWS)
+    raw = held.where("side = 'rows'").select("dim", "pack", "no").repartitionByRange(-(-count["rows"].n // SHARE), "no").select("dim", "pack")
+    right = cut(raw.mapInArrow(shares, "row_dim int, rows binary")).withColumn("row_no", F.monotonically_increasing_id()).repartitionByRange(tasks, "row_no")
+    left = held.where("side = 'asked'").select("no", "dim", F.col("pack").alias("asked")).repartitionByRange(count["asked"].packs, "no")
+    pairs = left.join(right.hint("shuffle_replicate_nl"), F.col("dim") == F.col("row_dim")).select("no", "dim", "asked", "rows")
+    found = pairs.mapInArrow(run, ddl)
+    if tasks == 1:
+        return found
+    keys = [c for c in found.columns if c != "hits"]
+    best = F.array_sort(F.transform(F.flatten(F.collect_list("hits")), lambda x: F.struct((-x["similarity"]).alias("far"), x["id"].alias("id"), x.alias("hit"))))
+    return found.groupBy(*keys).agg(F.transform(F.slice(best, 1, k), lambda x: x["hit"]).alias("hits"))
+
+
 def mean_vectors(vectors: DataFrame, group: str, vector: str = "embedding", digits: int = 9) -> DataFrame:
     """The mean vector of each value of a column that has few: cell, centroid, rounded to ``digits``.
 

@@ -35,26 +35,31 @@ class Pipeline:
         return kept.withColumn("id", lifecycle.entry_id("doc_id", "seg_no", "text"))
 
     def entries(self, segments: DataFrame) -> DataFrame:
-        """Long-term entries of segments, with their vectors, null where the provider gives none."""
-        added = lifecycle.added_segments(segments, self.now, "generated")
+        """Long-term entries of segments, with their places and their vectors, null where the provider gives none."""
+        added = lifecycle.added_segments(segments, self.now, "generated", ("doc_id", "seg_no"))
         return documents.embedded(added, "text", self.embed, self.dim).drop("error")
 
     def augmented(self, segments: DataFrame, entries: DataFrame) -> DataFrame:
         """Segments with references to similar ones below them: doc_id, seg_no, id, text.
 
-        A segment asks with the mean of its own vector and those of its neighbours in the note.
+        A segment asks with the mean of its own vector and those of its neighbours in the note. Texts
+        are met with their references by note, and told apart by a digest before.
         """
         if self.embed is None:
             return segments
-        own = segments.join(entries.select("id", "embedding"), "id")
-        near = memory.neighbour_context(own, "doc_id", "seg_no", "embedding")
-        parts = F.filter(F.array("embedding", "before", "after"), lambda v: v.isNotNull())
-        mean = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.aggregate(parts, F.lit(0.0), lambda s, v: s + F.get(v, i)) / F.size(parts))
-        asked = near.where("embedding is not null").select(F.col("id").alias("query_id"), mean.alias("query_vector"))
-        hits = search.top_k(entries, asked, 2 * self.references).where(F.col("similarity") >= 0.8 * self.min_similarity)
-        hits = hits.drop("rank").join(entries.select("id", "text"), "id")
-        done = memory.augment(segments.select("id", "text"), hits, self.min_similarity, self.references)
-        return segments.drop("text").join(done.select(F.col("query_id").alias("id"), "text"), "id")
+        own = entries.select("doc_id", "seg_no", "id", F.unhex(F.md5("text")).alias("digest"), "embedding")
+        near = memory.neighbour_context(own, "doc_id", "seg_no", "embedding").where("embedding is not null")
+        most, note = 2 * self.references, segments.schema["doc_id"].dataType.simpleString()
+        sides = {"rows": (["embedding"], ["id", "digest"]), "asked": (["embedding", "before", "after"], ["doc_id", "seg_no", "id", "digest"])}
+        packed = search.packs(near, sides)
+        hits = search.pack_hits(packed, f"doc_id {note}, seg_no int, id string, digest binary", "id: string, digest: binary", most, least=self.min_similarity)
+        others = F.slice(F.filter("hits", lambda x: (x["digest"] != F.col("digest")) & (x["similarity"] >= self.min_similarity)), 1, self.references)
+        lines = F.array_join(F.transform(others, lambda x: memory.reference(x["id"], x["similarity"])), "\n")
+        found = hits.select("doc_id", F.struct("seg_no", "id", lines.alias("lines")).alias("ref")).where("ref.lines != ''")
+        by_note = found.groupBy("doc_id").agg(F.collect_list("ref").alias("refs"))
+        mine = F.get(F.filter("refs", lambda x: (x["seg_no"] == F.col("seg_no")) & (x["id"] == F.col("id"))), 0)["lines"]
+        text = F.concat("text", F.coalesce(F.concat(F.lit("\n\n"), mine), F.lit("")))
+        return segments.join(by_note, "doc_id", "left").withColumn("text", text).select("doc_id", "seg_no", "id", "text")
 
     def notes(self, segments: DataFrame) -> DataFrame:
         """Each note's segments as one text: note, n_segments, text."""

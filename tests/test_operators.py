@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,3 +308,34 @@ def test_grid_search_and_hot_cell(spark, monkeypatch):
     near = {r.id: r.cell for r in assigned.collect()}
     assert near[900] is None and near[901] is None and near[0] == min((0, 1), key=lambda c: math.dist(rows[0][1], held[c]))
     assert key(S.probe_search(assigned, means, q.where("size(query_vector) = 3"), 4, 2)) == key(S.top_k(v.where("size(embedding) = 3"), q.where("size(query_vector) = 3"), 4))
+
+
+def test_packed_search_is_the_same(spark, monkeypatch):
+    for name, size in (("PACK", 16), ("SHARE", 64), ("TASK_ROWS", 150)):
+        monkeypatch.setattr(S, name, size)
+    rng = np.random.default_rng(1)
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, 2.0], [float("nan"), 1.0, 1.0], [-1.0, -1.0, -1.0]]
+    rows = [(f"r{i:03}", [float(x) for x in rng.integers(0, 4, 3)] if i % 9 else odd[i // 9 % len(odd)]) for i in range(400)]
+    v = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(3)
+    q = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    for least in (0.0, 0.9):
+        packed = S.packs(v, {"rows": (["embedding"], ["id"])}).union(S.packs(q, {"asked": (["query_vector"], ["query_id"])}))
+        got = S.pack_hits(packed, "query_id string", "id: string", 5, least=least).select("query_id", F.posexplode("hits").alias("at", "hit"))
+        want = S.top_k(v, q, 5).where(F.col("similarity") >= least)
+        assert sorted((r.query_id, r.at + 1, r.hit.id, r.hit.similarity) for r in got.collect()) == sorted((r.query_id, r["rank"], r.id, r.similarity) for r in want.collect())
+    assert S.pack_hits(S.packs(v.limit(0), {"rows": (["embedding"], ["id"])}), "query_id string", "id: string", 5).count() == 0
+
+
+def test_far_cells_are_left_out_and_no_hit_with_them(monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 16)
+    rng = np.random.default_rng(2)
+    vectors = (np.repeat(rng.normal(size=(60, 8)), 50, axis=0) + 0.1 * rng.normal(size=(3000, 8))).round(2)
+    asked, ids = vectors[::7] + 0.05 * rng.normal(size=vectors[::7].shape), pa.table({"id": [f"{i * 7919 % 3000:04}" for i in range(3000)]})
+    one = S._Asked(asked, pa.table({"no": range(len(asked))}), 6, 6, 0.0)
+    for part in (slice(0, 1700), slice(1700, 3000)):
+        one.meet(*S._opened(pa.py_buffer(S._share([(S._raw(v=vectors[part]), ids.slice(part.start, part.stop - part.start))], 8, 6))))
+    kind = pa.list_(pa.struct([("similarity", pa.float64()), ("id", pa.string())]))
+    hits = {no: [(h["similarity"], h["id"]) for h in found] for no, found in zip(*one.hits(pa.schema([("no", pa.int64()), ("hits", kind)])).to_pydict().values())}
+    score = np.round(np.clip((asked @ vectors.T) / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(vectors, axis=1), 0, 1), 6)
+    assert hits == {q: sorted(zip(row.tolist(), ids.column("id").to_pylist()), key=lambda x: (-x[0], x[1]))[:6] for q, row in enumerate(score)}
+    assert one.pairs < 0.5 * score.size
