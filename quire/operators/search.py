@@ -383,8 +383,8 @@ class _Asked:
             cells((way <= far[:, None]).T & ~done, a, False)
 
     def _score(self, asked: np.ndarray, rows: np.ndarray, values: np.ndarray, length: np.ndarray, first: np.ndarray, counts: np.ndarray) -> None:
-        for a in range(0, len(asked), 65536):
-            q, r = asked[a : a + 65536], rows[a : a + 65536]
+        for a in range(0, len(asked), 16384):
+            q, r = asked[a : a + 16384], rows[a : a + 16384]
             inner, both = np.einsum("ij,ij->i", self.values[q], values[r]), self.length[q] * length[r]
             score = np.round(np.clip(np.divide(inner, both, out=np.zeros_like(inner), where=both > 0), 0, 1), self.digits) + 0.0
             kept = score >= self.bound[q]
@@ -392,7 +392,7 @@ class _Asked:
             n = counts[r]
             self.found.append((np.repeat(q, n), np.repeat(first[r] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(score, n)))
             self.waiting += len(self.found[-1][0])
-            if self.waiting > 2_000_000:
+            if self.waiting > 400_000:
                 self._merge()
 
     def _merge(self) -> None:
@@ -476,6 +476,7 @@ def pack_hits(packed: DataFrame, asked: str, rows: str, k: int, digits: int = 6,
                     data, keys = _opened(batch.column(2)[i].as_buffer())
                     no, now = n, _Asked(_matrix(data, "v", np.float64, -1, dim), keys, k, digits, least)
                 now.meet(*_opened(batch.column(3)[i].as_buffer()))
+                pa.default_memory_pool().release_unused()
         if now:
             yield now.hits(schema)
 

@@ -47,17 +47,17 @@ class Pipeline:
         """
         if self.embed is None:
             return segments
-        own = entries.select("doc_id", "seg_no", "id", F.unhex(F.md5("text")).alias("digest"), "embedding")
+        own = entries.select("doc_id", "seg_no", F.unhex("id").alias("id"), F.unhex(F.md5("text")).alias("digest"), "embedding")
         near = memory.neighbour_context(own, "doc_id", "seg_no", "embedding").where("embedding is not null")
         most, note = 2 * self.references, segments.schema["doc_id"].dataType.simpleString()
         sides = {"rows": (["embedding"], ["id", "digest"]), "asked": (["embedding", "before", "after"], ["doc_id", "seg_no", "id", "digest"])}
         packed = search.packs(near, sides)
-        hits = search.pack_hits(packed, f"doc_id {note}, seg_no int, id string, digest binary", "id: string, digest: binary", most, least=self.min_similarity)
+        hits = search.pack_hits(packed, f"doc_id {note}, seg_no int, id binary, digest binary", "id: binary, digest: binary", most, least=self.min_similarity)
         others = F.slice(F.filter("hits", lambda x: (x["digest"] != F.col("digest")) & (x["similarity"] >= self.min_similarity)), 1, self.references)
-        lines = F.array_join(F.transform(others, lambda x: memory.reference(x["id"], x["similarity"])), "\n")
+        lines = F.array_join(F.transform(others, lambda x: memory.reference(F.lower(F.hex(x["id"])), x["similarity"])), "\n")
         found = hits.select("doc_id", F.struct("seg_no", "id", lines.alias("lines")).alias("ref")).where("ref.lines != ''")
         by_note = found.groupBy("doc_id").agg(F.collect_list("ref").alias("refs"))
-        mine = F.get(F.filter("refs", lambda x: (x["seg_no"] == F.col("seg_no")) & (x["id"] == F.col("id"))), 0)["lines"]
+        mine = F.get(F.filter("refs", lambda x: (x["seg_no"] == F.col("seg_no")) & (x["id"] == F.unhex("id"))), 0)["lines"]
         text = F.concat("text", F.coalesce(F.concat(F.lit("\n\n"), mine), F.lit("")))
         return segments.join(by_note, "doc_id", "left").withColumn("text", text).select("doc_id", "seg_no", "id", "text")
 
